@@ -26,6 +26,7 @@ from tracelake.llm.common import shuffle_partitions, staged, table
 HOT_SHARE = 0.001
 
 _RUN = "slot int, sha binary, second long, n_bytes long, keep_id long, rows long, keep_row long"
+_RUN_COLUMNS = [field.split()[0] for field in _RUN.split(", ")]
 _SMALLEST, _LARGEST = -(1 << 63), (1 << 63) - 1
 
 
@@ -45,10 +46,14 @@ def _fold(sha: pa.Array, second, n_bytes, keep, rows, keep_row):
 def _merge_runs(slot_digit: int, radix: int, last: bool):
     """Merge a partition's sorted stream of entries and address each result for the next round."""
 
+    def addressed(out):
+        slots = _next_slot(out["slot"].to_numpy(), out["sha"], slot_digit, radix, last)
+        return out.set_column(0, "slot", pa.array(slots, pa.int32())).to_batches()
+
     def merge(batches):
         carry = None
         for batch in batches:
-            current = pa.Table.from_batches([batch])
+            current = pa.Table.from_arrays(batch.columns, names=_RUN_COLUMNS)  # without nullability flags
             if carry is not None:
                 current = pa.concat_tables([carry, current])
             if not current.num_rows:
@@ -59,23 +64,12 @@ def _merge_runs(slot_digit: int, radix: int, last: bool):
                 current["sha"].combine_chunks(), cols["second"], cols["n_bytes"], cols["keep_id"], cols["rows"], cols["keep_row"]
             )
             sha = current["sha"].take(pa.array(start))
-            out = pa.table(
-                {
-                    "slot": pa.array(_next_slot(cols["slot"][start], sha, slot_digit, radix, last), pa.int32()),
-                    "sha": sha,
-                    "second": pa.array(cols["second"][start]),
-                    "n_bytes": pa.array(cols["n_bytes"][start]),
-                    "keep_id": pa.array(best),
-                    "rows": pa.array(total),
-                    "keep_row": pa.array(row),
-                }
-            )
-            held = out.slice(out.num_rows - 1)  # may go on in the next batch
-            carry = held.set_column(0, "slot", pa.array(cols["slot"][start[-1:]], pa.int32()))
-            yield from out.slice(0, out.num_rows - 1).to_batches()
+            columns = [cols["slot"][start], sha, cols["second"][start], cols["n_bytes"][start], best, total, row]
+            out = pa.Table.from_arrays([c if c is sha else pa.chunked_array([pa.array(c)]) for c in columns], names=_RUN_COLUMNS)
+            carry = out.slice(out.num_rows - 1)  # may go on in the next batch
+            yield from addressed(out.slice(0, out.num_rows - 1))
         if carry is not None:
-            slots = _next_slot(carry["slot"].to_numpy(), carry["sha"], slot_digit, radix, last)
-            yield from carry.set_column(0, "slot", pa.array(slots, pa.int32())).to_batches()
+            yield from addressed(carry)
 
     return merge
 
