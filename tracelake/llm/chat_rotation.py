@@ -33,10 +33,10 @@ def rotate(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
         F.coalesce(F.col("turn"), F.lit(-1)).cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"),
         F.replace(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("<|"), F.lit("<\\|")).alias("body"),
-    ).distinct()
+    )
     part = F.greatest(F.lit(0).cast("long"), F.floor(F.col("turn") / part_turns).cast("long"))
     parts = clean.groupBy("conv_id", part.alias("part")).agg(
-        F.sort_array(F.collect_list(F.struct("turn", "role", "body"))).alias("turns")
+        F.sort_array(F.collect_set(F.struct("turn", "role", "body"))).alias("turns")
     )
     speakers = F.array_sort(F.array_distinct(F.filter(F.col("turns.role"), lambda r: r != CONTEXT_ROLE)))
     views = parts.select("conv_id", "part", "turns", F.explode(speakers).alias("perspective"))
