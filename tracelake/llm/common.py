@@ -62,3 +62,24 @@ def held_out(column: Column) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: A group above this share of all rows is attached by broadcast; at most 1 / HOT_SHARE groups can be.
+HOT_SHARE = 0.001
+
+
+def attach_groups(rows: DataFrame, groups: DataFrame, key: list[str], size: str, total: int) -> DataFrame:
+    """Inner join of rows with their groups (one row per key, `size` rows each, `total` in all).
+
+    The rows of hot groups stay where they are; only the rest is shuffled by key."""
+    hot = F.col(size) > max(1, int(total * HOT_SHARE))
+    marked = rows.join(F.broadcast(groups.where(hot)), key, "left")  # at most 1 / HOT_SHARE groups
+    done = marked.where(F.col(size).isNotNull())
+    rest = marked.where(F.col(size).isNull()).select(rows.columns).join(groups.where(~hot), key)
+    return done.unionByName(rest)
+
+
+def drop_rows(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """docs without the rows whose doc_id is in ids[column]; all columns stay."""
+    gone = ids.select(F.col(column).alias("_gone"))
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

@@ -20,10 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import shuffle_partitions, staged, table
-
-#: A digest class above this share of all rows is attached by broadcast; at most 1 / share classes can be.
-HOT_SHARE = 0.001
+from tracelake.llm.common import attach_groups, shuffle_partitions, staged, table
 
 _RUN = "slot int, sha binary, second long, n_bytes long, keep_id long, rows long, keep_row long"
 _RUN_COLUMNS = [field.split()[0] for field in _RUN.split(", ")]
@@ -122,11 +119,8 @@ def exact_dedup(docs: DataFrame, radix: int = 4) -> DataFrame:
     total = merged.agg(F.sum("rows")).first()[0] or 0
     key = ["sha", "second", "n_bytes"]
     found = merged.withColumnRenamed("rows", "group_size")
-    hot = F.col("group_size") > max(1, int(total * HOT_SHARE))
-    marked = rows.join(F.broadcast(found.where(hot)), key, "left")  # at most 1 / HOT_SHARE classes
-    done = marked.where(F.col("group_size").isNotNull())
-    rest = marked.where(F.col("group_size").isNull()).select(rows.columns).join(found.where(~hot), key)
-    return done.unionByName(rest).select(
+    joined = attach_groups(rows, found, key, "group_size", total)
+    return joined.select(
         "doc_id",
         F.when(F.col("keep_id") != _SMALLEST, F.col("keep_id")).alias("keep_id"),
         "group_size",
