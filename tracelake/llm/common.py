@@ -83,3 +83,26 @@ def drop_rows(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """docs without the rows whose doc_id is in ids[column]; all columns stay."""
     gone = ids.select(F.col(column).alias("_gone"))
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+
+
+#: 64-bit words of the row filter: its size does not depend on the data.
+FILTER_WORDS = 1 << 17
+
+
+def maybe_in(rows: DataFrame, column: str, ids: DataFrame, id_column: str, wanted: bool = True) -> DataFrame:
+    """Rows whose id may be among the ids (wanted) or surely is not (not wanted); a null id surely is not.
+
+    A one-hash Bloom filter of FILTER_WORDS words is broadcast; false hits are left to an exact join."""
+    spark = rows.sparkSession
+
+    def place(c):
+        return F.pmod(F.xxhash64(c), F.lit(FILTER_WORDS * 64))
+
+    bits = F.expr("bit_or(shiftleft(1L, cast(place % 64 as int)))")
+    words = ids.where(F.col(id_column).isNotNull()).select(place(F.col(id_column)).alias("place"))
+    words = words.groupBy((F.col("place") / 64).cast("long").alias("_word")).agg(bits.alias("_bits"))
+    words = staged(words, "row-filter")  # FILTER_WORDS rows at most
+    at = place(F.col(column))
+    marked = rows.join(F.broadcast(words), (at / 64).cast("long") == words["_word"], "left")
+    hit = F.coalesce(F.expr("_bits").bitwiseAND(F.expr(f"shiftleft(1L, cast(pmod(xxhash64({column}), {FILTER_WORDS * 64}) % 64 as int))")) != 0, F.lit(False))
+    return marked.where((F.col(column).isNotNull() & hit) if wanted else ~(F.col(column).isNotNull() & hit)).select(rows.columns)

@@ -3,9 +3,19 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tracelake.llm import chat_rotation, decontaminate, exact_dedup, language_mixture, mixing, near_dedup, toxicity_knn, url_rank
+from tracelake.llm import chat_rotation, decontaminate, exact_dedup, language_mixture, mixing, near_dedup, suffix_dedup, toxicity_knn, url_rank
 
-MODULES = (language_mixture, mixing, decontaminate, chat_rotation, exact_dedup, url_rank, near_dedup, toxicity_knn)
+MODULES = (
+    language_mixture,
+    mixing,
+    decontaminate,
+    chat_rotation,
+    exact_dedup,
+    suffix_dedup,
+    url_rank,
+    near_dedup,
+    toxicity_knn,
+)
 
 
 def queries() -> dict:
