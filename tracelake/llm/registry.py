@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tracelake.llm import chat_rotation, decontaminate, exact_dedup, language_mixture, mixing, near_dedup, suffix_dedup, toxicity_knn, url_rank
+from tracelake.llm import chat_rotation, decontaminate, exact_dedup, language_mixture, mixing, near_dedup, pii_tagger, suffix_dedup, toxicity_knn, url_rank
 
 MODULES = (
     language_mixture,
@@ -11,6 +11,7 @@ MODULES = (
     decontaminate,
     chat_rotation,
     exact_dedup,
+    pii_tagger,
     suffix_dedup,
     url_rank,
     near_dedup,
