@@ -1,12 +1,60 @@
-"""The corpus pipeline: stages over `documents`, each written and reread (see STAGES)."""
+"""The corpus pipeline: five stages over `documents`, each a corpus operator applied to all its predecessor kept.
+
+A stage takes (spark, docs, sf_dir) and returns the documents that go on, with the columns of documents; the
+last adds how often each document is taken.  `run` writes each stage to the shared folder and reads it again.
+Nulls, empty tables and repeated rows are handled as the operators' docstrings say.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracelake.llm import decontaminate, exact_dedup, language_mixture, mixing, near_dedup
+from tracelake.llm.common import staged, table
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a known language (those without a letter go)."""
+    return language_mixture.accepted(docs, language_mixture.train(docs))
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text, the one with the largest doc_id."""
+    return exact_dedup.deduplicate(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near-duplicates, the one with the smallest doc_id."""
+    return near_dedup.deduplicate(docs)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the spans that hold benchmark windows; n_chars follows the text."""
+    clean = decontaminate.without_hits(docs, table(spark, sf_dir, "benchmark"))
+    if "n_chars" not in docs.columns:
+        return clean
+    return clean.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents the mix takes, with size, source_size, target, taken and copies."""
+    return mixing.sample(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("language", language_stage),
+    ("exact", exact_stage),
+    ("near", near_stage),
+    ("benchmark", benchmark_stage),
+    ("mixing", mixing_stage),
+]
+#: Mixture inference is not SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs

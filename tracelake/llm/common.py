@@ -79,10 +79,22 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: list[str], size: str,
     return done.unionByName(rest)
 
 
-def drop_rows(docs: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """docs without the rows whose doc_id is in ids[column]; all columns stay."""
-    gone = ids.select(F.col(column).alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = "_" + name
+    return name
+
+
+def drop_rows(docs: DataFrame, ids: DataFrame, id_column: str, same: Column | None = None, other: str | None = None) -> DataFrame:
+    """docs without the rows whose doc_id is in ids[id_column] (and whose `same` equals ids[other]); all columns stay.
+
+    Only rows that may be hit, by a filter of fixed size, are shuffled."""
+    gone_id, gone_other = fresh(docs, "_gone_id"), fresh(docs, "_gone_other")
+    gone = ids.select(F.col(id_column).alias(gone_id), *([F.col(other).alias(gone_other)] if other else []))
+    sure, maybe = maybe_in(docs, "doc_id", gone, gone_id, False), maybe_in(docs, "doc_id", gone, gone_id)
+    hit = F.col("doc_id") == F.col(gone_id)
+    return sure.unionByName(maybe.join(gone, hit & (same == F.col(gone_other)) if other else hit, "left_anti"))
 
 
 #: 64-bit words of the row filter: its size does not depend on the data.
@@ -93,16 +105,16 @@ def maybe_in(rows: DataFrame, column: str, ids: DataFrame, id_column: str, wante
     """Rows whose id may be among the ids (wanted) or surely is not (not wanted); a null id surely is not.
 
     A one-hash Bloom filter of FILTER_WORDS words is broadcast; false hits are left to an exact join."""
-    spark = rows.sparkSession
-
     def place(c):
         return F.pmod(F.xxhash64(c), F.lit(FILTER_WORDS * 64))
 
     bits = F.expr("bit_or(shiftleft(1L, cast(place % 64 as int)))")
-    words = ids.where(F.col(id_column).isNotNull()).select(place(F.col(id_column)).alias("place"))
-    words = words.groupBy((F.col("place") / 64).cast("long").alias("_word")).agg(bits.alias("_bits"))
+    word, held = fresh(rows, "_word"), fresh(rows, "_bits")
+    words = ids.where(F.col(id_column).isNotNull()).select(place(F.col(id_column).cast("long")).alias("place"))
+    words = words.groupBy((F.col("place") / 64).cast("long").alias(word)).agg(bits.alias(held))
     words = staged(words, "row-filter")  # FILTER_WORDS rows at most
-    at = place(F.col(column))
-    marked = rows.join(F.broadcast(words), (at / 64).cast("long") == words["_word"], "left")
-    hit = F.coalesce(F.expr("_bits").bitwiseAND(F.expr(f"shiftleft(1L, cast(pmod(xxhash64({column}), {FILTER_WORDS * 64}) % 64 as int))")) != 0, F.lit(False))
-    return marked.where((F.col(column).isNotNull() & hit) if wanted else ~(F.col(column).isNotNull() & hit)).select(rows.columns)
+    at = place(F.col(column).cast("long"))
+    marked = rows.join(F.broadcast(words), (at / 64).cast("long") == words[word], "left")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))
+    hit = F.coalesce(F.col(held).bitwiseAND(bit) != 0, F.lit(False))
+    return marked.where(hit if wanted else ~hit).select(*[F.col(f"`{c}`") for c in rows.columns])

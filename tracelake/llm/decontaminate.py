@@ -362,9 +362,13 @@ def without_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
         def remove(batches):
             block = phrases.value
             for batch in chunks(batches, CHUNK_BYTES):
-                texts = batch.column(at).to_pylist()
-                _, _, spans, _ = search(block, [(t or "").encode() for t in texts], shard)
-                made = [_cut(t, [x for s in own for x in s]) for t, own in zip(texts, spans, strict=True)]
+                made = batch.column(at).to_pylist()
+                todo = list(range(len(made)))
+                while todo:  # what a cut joins may be a phrase again
+                    spans = search(block, [(made[i] or "").encode() for i in todo], shard)[2]
+                    for i, own in zip(todo, spans, strict=True):
+                        made[i] = _cut(made[i], [x for s in own for x in s])
+                    todo = [i for i, own in zip(todo, spans, strict=True) if own]
                 yield batch.set_column(at, batch.schema.field(at), pa.array(made, batch.schema.field(at).type))
 
         return remove

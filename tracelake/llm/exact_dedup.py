@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import attach_groups, shuffle_partitions, staged, table
+from tracelake.llm.common import attach_groups, drop_rows, fresh, shuffle_partitions, staged, table
 
 _RUN = "slot int, sha binary, second long, n_bytes long, keep_id long, rows long, keep_row long"
 _RUN_COLUMNS = [field.split()[0] for field in _RUN.split(", ")]
@@ -133,13 +133,16 @@ def deduplicate(docs: DataFrame, radix: int = 4) -> DataFrame:
     """The documents that stay, with all their columns."""
     lost = staged(exact_dedup(docs, radix).where(~F.col("kept")), "lost-copies")
     same_id = F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    repeats = lost.where(same_id)
-    gone = lost.where(~same_id).select(F.col("doc_id").alias("_gone"), F.unhex("text_sha256").alias("_sha")).distinct()
-    mark = docs.withColumn("_own", F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)))
-    left = mark.join(gone, mark["doc_id"].eqNullSafe(gone["_gone"]) & (mark["_own"] == gone["_sha"]), "left_anti")
-    if repeats.isEmpty():
-        return left.drop("_own")
-    return left.dropDuplicates(["doc_id", "_own"]).drop("_own")
+    gone = lost.where(~same_id & F.col("doc_id").isNotNull()).select("doc_id", F.unhex("text_sha256").alias("sha")).distinct()
+    digest = F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
+    left = drop_rows(docs, gone, "doc_id", digest, "sha")
+    # left over: rows that repeat the id that stays, and copies without an id
+    if lost.where(same_id | F.col("doc_id").isNull()).isEmpty():
+        return left
+    mark, best = fresh(left, "_digest"), fresh(left, "_named")
+    named = lost.where(F.col("keep_id").isNotNull() & F.col("doc_id").isNull()).select(F.unhex("text_sha256").alias(best)).distinct()
+    left = left.withColumn(mark, digest).dropDuplicates(["doc_id", mark])
+    return left.join(named, F.col("doc_id").isNull() & (F.col(mark) == F.col(best)), "left_anti").drop(mark)
 
 
 def op5_exact_dedup(spark, sf_dir):

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import staged, table
+from tracelake.llm.common import fresh, staged, table
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
@@ -103,7 +103,7 @@ def _decide(parts: DataFrame, level: str) -> DataFrame:
     return met.withColumn("whole", whole).withColumn("part", part).withColumn("base", F.col("before")).drop("_s", "_b", "after", "before")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, carry_tie: bool = False) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken (words the mix takes), copies."""
     sized = staged(sizes(docs).withColumn("skey", F.struct(F.col("source").isNull(), F.coalesce("source", F.lit("")))), "mix-sizes")
     sized = sized.withColumn("skey", F.to_json("skey"))
@@ -139,21 +139,26 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = M
     order = Window.partitionBy("skey").orderBy("rank", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = second.where("part").withColumn("upto", F.col("base") + F.sum("size").over(order))
     last = last.withColumn("whole", 2 * F.col("upto") - F.col("size") < 2 * F.col("missing")).drop("upto")
-    keep = ["doc_id", "size", "source_size", "target", "certain"]
+    keep = ["doc_id", "size", "source_size", "target", "certain", "tie"]
     out = first.where("not part").select(*keep, "whole")
     out = out.unionByName(second.where("not part").select(*keep, "whole")).unionByName(last.select(*keep, "whole"))
     rest = rows.where("rank is null or size = 0").select(*keep, F.lit(False).alias("whole"))
     copies = F.least(F.col("certain") + F.col("whole").cast("long"), F.lit(max_repeat).cast("long"))
     out = out.unionByName(rest).withColumn("copies", copies)
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    out = out.withColumn("taken", F.col("copies") * F.col("size"))
+    return out.select("doc_id", "size", "source_size", "target", "taken", "copies", *(["tie"] if carry_tie else []))
 
 
 def sample(docs: DataFrame) -> DataFrame:
-    """The mix itself: each document repeated as often as it is taken, with its columns and `copy`."""
-    copies = mix(docs).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
-    copies = copies.groupBy("_id").agg(F.max("copies").alias("_copies"))
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
-    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).drop("_id", "_copies")
+    """The mix itself: the documents that are taken, with their columns and size, source_size, target, taken, copies.
+
+    Each stands for `copies` copies.  Rows that repeat a doc_id and its text share one decision, the larger."""
+    made = ["size", "source_size", "target", "taken", "copies"]
+    key, mark, own = fresh(docs, "_mix_id"), fresh(docs, "_mix_mark"), fresh(docs, "_mix_own")
+    taken = mix(docs, carry_tie=True).where("copies > 0").groupBy(F.col("doc_id").alias(key), F.col("tie").alias(mark))
+    taken = taken.agg(*[F.max(c).alias(c) for c in made])
+    rows = docs.drop(*made).withColumn(own, F.xxhash64(F.col("text").cast("string")))
+    return rows.join(taken, F.col("doc_id").eqNullSafe(F.col(key)) & (F.col(own) == F.col(mark))).drop(key, mark, own)
 
 
 def op2_mix(spark, sf_dir):
