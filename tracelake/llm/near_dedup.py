@@ -3,12 +3,12 @@
 A document's set is its distinct five-word shingles (words `[^\\x20\\x09-\\x0D]+` of the text with A-Z
 lower-cased; fewer than five words: the whole sequence).  Each distinct set gets a signature of TREES x DEPTH minimum
 hashes.  Every tree is one sorted order of the sets by its DEPTH hashes; neighbours with a common prefix of at least
-MIN_DEPTH hashes form a region.  The depth adapts to the region: in a region of up to FULL sets all
-neighbours are candidates; in a fuller one only the first set and the next in order, in the first
-STAR_TREES trees, and its members are noted.  Candidates whose sizes allow it are confirmed on full
+MIN_DEPTH hashes form a region.  The depth adapts to the region: candidates are all neighbours within the shallowest
+prefix, from MIN_DEPTH on, that at most FULL sets share.  Of a region fuller than that (in the first STAR_TREES trees)
+the first set and the next in order are candidates too, and its members are noted.  Candidates whose sizes allow it are confirmed on full
 sets (100 * intersection >= 75 * union), and confirmed links make components.  Then the noted regions
-are settled exactly: wherever members of one region are still in different components, all their
-pairs across components are confirmed as well, in blocks of BLOCK sets.
+are settled exactly: wherever members of one region are still in different components, all its sets are
+compared at once by matrix products, in blocks of BLOCK sets, and the links that join components come out.
 
 A pair of similarity 0.75 shares a region of some tree with probability 1 - (1 - 0.75**3)**24, over 0.999997.
 
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import attach_groups, drop_rows, shuffle_partitions, staged, table
+from tracelake.llm.common import attach_groups, drop_rows, maybe_in, shuffle_partitions, staged, table
 from tracelake.llm.components import components
 from tracelake.llm.textbytes import LOWER, NOT_SPACE, U64, byte_texts, chunks, joined, mix64, noise64, word_edges, word_hashes
 
@@ -126,25 +126,41 @@ def _neighbours(batches):
 
     def regions(rows, over_first, first_open, last_open):
         """All regions of rows; over_first: the first goes on from an over-full one."""
+        place, sizes, start = {}, {}, {}
         new = np.ones(len(rows["rep"]), bool)
-        new[1:] = (rows["tree"][1:] != rows["tree"][:-1]) | (rows["key"][1:, :MIN_DEPTH] != rows["key"][:-1, :MIN_DEPTH]).any(1)
-        start = np.flatnonzero(new)
-        size = np.diff(np.append(start, len(new)))
-        number = np.cumsum(new) - 1
-        over = size > FULL
-        over[0] |= over_first
-        place = np.arange(len(new)) - start[number]
-        for step in range(1, FULL):
-            i = np.flatnonzero((place >= step) & ~over[number])
-            yield from pairs(i - step, i, rows)
-        star = over[number] & (place > 0) & (rows["tree"] < STAR_TREES)
-        i = np.flatnonzero(star)
-        yield from pairs(start[number[i]], i, rows)
+        new[1:] = (rows["tree"][1:] != rows["tree"][:-1]) | (rows["key"][1:, : MIN_DEPTH - 1] != rows["key"][:-1, : MIN_DEPTH - 1]).any(1)
+        for depth in range(MIN_DEPTH, DEPTH + 1):
+            new[1:] |= rows["key"][1:, depth - 1] != rows["key"][:-1, depth - 1]
+            first = np.flatnonzero(new)
+            number = np.cumsum(new) - 1
+            place[depth] = np.arange(len(new)) - first[number]
+            sizes[depth], start[depth] = np.diff(np.append(first, len(new)))[number], first[number]
+        over = sizes[MIN_DEPTH] > FULL
+        if over_first:
+            over |= start[MIN_DEPTH] == 0
+        # all neighbours within the shallowest prefix that at most FULL sets share
+        todo = np.ones(len(new), bool)
+        for depth in range(MIN_DEPTH, DEPTH + 1):
+            own = todo & (sizes[depth] <= FULL)
+            if depth == MIN_DEPTH:
+                own &= ~over
+            else:
+                own &= rows["tree"] < STAR_TREES
+            for step in range(1, FULL):
+                i = np.flatnonzero(own & (place[depth] >= step))
+                if not len(i):
+                    break
+                yield from pairs(i - step, i, rows)
+            todo &= ~own
+        i = np.flatnonzero(over & (place[MIN_DEPTH] > 0) & (rows["tree"] < STAR_TREES))
+        yield from pairs(start[MIN_DEPTH][i], i, rows)
         yield from pairs(i - 1, i, rows)
         note = over.copy()
-        note[0] |= first_open
-        note[-1] |= last_open
-        i = np.flatnonzero(note[number])
+        if first_open:
+            note |= start[MIN_DEPTH] == 0
+        if last_open:
+            note |= start[MIN_DEPTH] == start[MIN_DEPTH][-1]
+        i = np.flatnonzero(note)
         if len(i):
             with np.errstate(over="ignore"):
                 head = rows["key"][i, :MIN_DEPTH].astype(U64)
@@ -200,59 +216,91 @@ def _similar(batches):
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts (doc_id, text) are linked."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    own = staged(texts.join(ids, texts["doc_id"] == ids["id"], "left_semi").dropDuplicates(["doc_id", "text"]), "candidate-texts")
+    near = maybe_in(texts, "doc_id", ids, "id")
+    own = staged(near.join(ids, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id", "text"]), "candidate-texts")
     left = own.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     right = own.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     met = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
     return met.mapInArrow(_similar, "a long, b long").distinct()
 
 
-def _across(batches):
-    """Pairs across components among the members of one (region, block pair), sorted together."""
+def _links_within(texts: list[bytes], rep: np.ndarray, comp: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join the components of one group of texts: exact, a spanning set of them.
+
+    Intersections are counted for all members at once, as products of 0/1 matrices over the shingles that occur twice."""
+    hashes, counts = shingle_hashes(texts)
+    owner = np.repeat(np.arange(len(texts)), counts)
+    order = np.argsort(hashes, kind="stable")
+    hashes, owner = hashes[order], owner[order]
+    new = np.diff(hashes, prepend=hashes[:1] ^ U64(1)) != 0
+    number = np.cumsum(new) - 1
+    often = np.bincount(number) > 1
+    keep = often[number]
+    column, owner = (np.cumsum(often) - 1)[number[keep]], owner[keep]
+    shared = np.zeros((len(texts), len(texts)), np.float32)
+    width = 4096
+    edge = np.searchsorted(column, np.arange(0, int(column[-1]) + 1 + width, width)) if len(column) else np.zeros(1, np.int64)
+    for i, j in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        part = np.zeros((len(texts), width), np.float32)
+        part[owner[i:j], column[i:j] % width] = 1
+        shared += part @ part.T
+    linked = 100 * shared >= THRESHOLD * (counts[:, None] + counts[None] - shared)
+    out, seen = [], np.zeros(len(texts), bool)
+    for first in range(len(texts)):
+        if seen[first]:
+            continue
+        queue, seen[first] = [first], True
+        while queue:
+            i = queue.pop()
+            # members of one component are known to be connected: they need no link between them
+            for j in np.flatnonzero((linked[i] | (comp == comp[i])) & ~seen).tolist():
+                seen[j] = True
+                queue.append(j)
+                if comp[j] != comp[i]:
+                    out.append((min(int(rep[i]), int(rep[j])), max(int(rep[i]), int(rep[j]))))
+    return out
+
+
+def _settle(batches):
+    """Links across components of each (region, block pair), whose rows stand together."""
     held: list = []
     current = None
 
     def flush():
-        if not held:
-            return
-        rep, comp, n, side = (np.array(x) for x in zip(*held, strict=True))
-        for i in range(len(rep)):
-            j = np.flatnonzero((comp != comp[i]) & (100 * np.minimum(n, n[i]) >= THRESHOLD * np.maximum(n, n[i])))
-            j = j[(j > i) & ((side[j] != side[i]) | (side[i] == 2))]
-            if len(j):
-                low, high = np.minimum(rep[j], rep[i]), np.maximum(rep[j], rep[i])
-                yield pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], names=["a", "b"])
+        links = _links_within([t.encode() for _, _, t in held], np.array([r for r, _, _ in held]), np.array([c for _, c, _ in held])) if len(held) > 1 else []
+        if links:
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links]), pa.array([b for _, b in links])], names=["a", "b"])
 
     for batch in batches:
-        cols = [batch.column(i).to_pylist() for i in range(7)]
-        for region, x, y, rep, comp, n, side in zip(*cols, strict=True):
+        for region, x, y, rep, comp, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (region, x, y) != current:
                 yield from flush()
                 held, current = [], (region, x, y)
-            held.append((rep, comp, n, side))
+            held.append((rep, comp, text))
     yield from flush()
 
 
-def open_pairs(members: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of noted regions whose members are in different components."""
-    known = members.join(sizes, members["a"] == sizes["rep"]).select("region", "rep", "n")
-    known = known.join(labels, known["rep"] == labels["node"], "left")
-    known = known.select("region", "rep", "n", F.coalesce("component", "rep").alias("component")).distinct()
+def settle_regions(members: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between components that meet in a noted region; none is missed within a region.
+
+    Only regions with several components are looked at.  A region of m sets is cut into blocks; each pair of blocks is one
+    group of at most 2 * BLOCK sets, whose texts are compared in one task."""
+    known = members.join(labels, members["a"] == labels["node"], "left")
+    known = known.select("region", F.col("a").alias("rep"), F.coalesce("component", "a").alias("component"))
     split = known.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).where("low <> high")
     split = split.select("region", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    own = known.join(split, "region").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    # each member goes to the block pairs (x, y), x <= y, its block is in; side 2: a block with itself
-    meet = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda o: F.struct(
-            F.least("block", o).alias("x"),
-            F.greatest("block", o).alias("y"),
-            F.when(o == F.col("block"), 2).when(F.col("block") < o, 0).otherwise(1).alias("side"),
-        ),
-    )
-    spread = own.withColumn("m", F.explode(meet)).select("region", "m.x", "m.y", "rep", "component", "n", "m.side")
-    spread = spread.repartition(shuffle_partitions(members.sparkSession), "region", "x", "y").sortWithinPartitions("region", "x", "y", "rep")
-    return spread.mapInArrow(_across, "a long, b long").distinct()
+    own = staged(known.join(split, "region"), "open-regions")
+    if own.isEmpty():
+        return own.select(F.col("rep").alias("a"), F.col("rep").alias("b"))
+    ids = own.select("rep").distinct()
+    wanted = maybe_in(texts, "doc_id", ids, "rep").join(ids, F.col("doc_id") == F.col("rep"), "left_semi").dropDuplicates(["doc_id", "text"])
+    own = own.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    # a member takes part in the block pairs (x, y), x <= y, of its block
+    meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("block", o).alias("x"), F.greatest("block", o).alias("y")))
+    spread = own.withColumn("m", F.explode(meet)).select("region", "m.x", "m.y", "rep", "component")
+    met = spread.join(wanted, F.col("rep") == F.col("doc_id")).select("region", "x", "y", "rep", "component", "text")
+    met = met.repartition(shuffle_partitions(members.sparkSession), "region", "x", "y").sortWithinPartitions("region", "x", "y", "rep")
+    return met.mapInArrow(_settle, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -275,13 +323,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = staged(found.where("b is not null").select("a", "b").distinct(), "candidates")
     links = staged(confirm(pairs, texts), "links")
     labels = components(links)
-    sizes = classes.where("rep is not null").groupBy("rep").agg(F.max("n_shingles").alias("n"))
     members = found.where("region is not null").select("a", "region").distinct()
-    rest = staged(open_pairs(members, labels, sizes).join(pairs, ["a", "b"], "left_anti"), "open-pairs")
-    if not rest.isEmpty():
-        more = staged(confirm(rest, texts), "links")
-        if not more.isEmpty():
-            labels = components(links.unionByName(more))
+    more = staged(settle_regions(members, labels, texts), "links")
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
     # a repeated doc_id joins its sets: the class of each of its texts gets the same component
     repeated = rows.groupBy("doc_id").agg(F.count_distinct(*[F.col(k) for k in key]).alias("k")).where("k > 1 and doc_id is not null")
     if not repeated.isEmpty():
