@@ -3,7 +3,7 @@
 Shared strings are found with a threshold-bounded interval expansion over Burrows-Wheeler transforms:
 a breadth-first backward extension sets common prefixes by increasing value and stops at
 MIN_LENGTH; suffixes between which nothing was set share MIN_LENGTH bytes (see `equal_windows`).
-What must be compared is brought together first, exactly:
+What must be compared is brought together first, exactly (later copies of a whole text are set aside before: they lose all):
 
 1. Every 50-byte window picks one anchor, the K-gram of smallest hash in it (leftmost on ties), so equal windows
    have equal anchors, and the windows of a text fall into runs by anchor.  Anchor hashes are
@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import maybe_in, shuffle_partitions, staged, table
+from tracelake.llm.common import attach_groups, maybe_in, shuffle_partitions, staged, table
 from tracelake.llm.decontaminate import WaveletMatrix, suffix_array
 from tracelake.llm.textbytes import U64, byte_texts, chunks, joined, mix64, noise64
 
@@ -45,10 +45,11 @@ FILTER_BYTES = 16 << 20
 FLUSH = 1_000_000
 SHARD = 1 << 20
 HOT_KEY = 20_000
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 _BYTE = noise64(256, 5)
 _MUL = noise64(8, 6) | U64(1)
-_RECORD = np.dtype([("k", "u8"), ("ctx", "u8"), ("doc", "i8"), ("mark", "i4"), ("at", "i4"), ("span", "i4"), ("l", "u4"), ("r", "u4"), ("pad", "i4")])
+#: Columns of a packed run: class hash, document, mark of its text, first window, windows << 8 | anchor offset, side hashes.
+_RECORD = np.dtype([("ctx", "u8"), ("doc", "i8"), ("mark", "i4"), ("at", "i4"), ("span", "u2"), ("l", "u4"), ("r", "u4")])
 _REQUEST = np.dtype([("key", "u8"), ("first", "i4"), ("last", "i4")])
 
 
@@ -152,7 +153,8 @@ class Anchors:
         last = np.append(first[1:], len(chosen)) - 1
         place, s0, s1 = chosen[first], starts[first], starts[last] if len(first) else starts[:0]
         self.owner = np.searchsorted(text_start, s0, side="right") - 1
-        self.k = gram[place]
+        with np.errstate(over="ignore"):
+            self.k = mix64(gram[place] + _MUL[0])  # chosen grams have small hashes: spread them again
         if not full:
             return
         self.at = (s0 - text_start[self.owner]).astype(np.int32)
@@ -190,11 +192,10 @@ def _collect_anchors(buckets: int):
 
         def flush():
             k, owner = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((owner, k))
+            order = np.argsort(k)
             k, owner = k[order], owner[order]
-            new = np.diff(k, prepend=k[:1] ^ U64(1)) != 0
-            first = np.flatnonzero(new)
-            many = owner[np.append(first[1:], len(k)) - 1] != owner[first]
+            first = np.flatnonzero(np.diff(k, prepend=k[:1] ^ U64(1)) != 0)
+            many = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)
             k = k[first]
             bucket = _bucket(k, buckets)
             edge = np.searchsorted(bucket, np.arange(buckets + 1))
@@ -250,11 +251,26 @@ _OUT = "kind int, bucket int, doc long, mark int, payload binary"
 _SPANS, _RECORDS, _REQUESTS = 0, 1, 2
 
 
-def _rows(rows):
-    if rows:
-        cols = list(zip(*rows, strict=True))
-        types = (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["kind", "bucket", "doc", "mark", "payload"])
+def _packed(rec: np.ndarray) -> bytes:
+    """Records column by column, by document, so that blocks compress."""
+    rec = rec[np.argsort(rec["doc"], kind="stable")]
+    return b"".join(np.ascontiguousarray(rec[name]).tobytes() for name in _RECORD.names)
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    n = len(raw) // _RECORD.itemsize
+    out, at = np.empty(n, _RECORD), 0
+    for name in _RECORD.names:
+        size = _RECORD[name].itemsize * n
+        out[name] = np.frombuffer(raw, _RECORD[name], n, at)
+        at += size
+    return out
+
+
+def _batch(kind, bucket, doc, mark, payload: pa.Array) -> pa.RecordBatch:
+    n = len(doc)
+    cols = [pa.array(np.full(n, kind, np.int32)), pa.array(bucket.astype(np.int32)), pa.array(doc.astype(np.int64)), pa.array(mark.astype(np.int32)), payload]
+    return pa.RecordBatch.from_arrays(cols, names=["kind", "bucket", "doc", "mark", "payload"])
 
 
 def _by_doc(kind: int, doc, mark, payload: np.ndarray, buckets: int):
@@ -265,9 +281,12 @@ def _by_doc(kind: int, doc, mark, payload: np.ndarray, buckets: int):
     doc, mark, payload = doc[order], mark[order], payload[order]
     edge = np.flatnonzero((np.diff(doc, prepend=doc[:1] - 1) != 0) | (np.diff(mark, prepend=mark[:1] - 1) != 0))
     last = np.append(edge[1:], len(doc))
-    rows = [(kind, int(doc[i] % buckets), int(doc[i]), int(mark[i]), payload[i:j].tobytes()) for i, j in zip(edge.tolist(), last.tolist(), strict=True)]
-    for at in range(0, len(rows), 20_000):
-        yield from _rows(rows[at : at + 20_000])
+    for at in range(0, len(edge), 20_000):
+        own, stop = edge[at : at + 20_000], last[at : at + 20_000]
+        offset = np.append(own, stop[-1]) - own[0]
+        raw = np.ascontiguousarray(payload[own[0] : stop[-1]]).tobytes()
+        binary = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer((offset * payload.itemsize).astype(np.int32).tobytes()), pa.py_buffer(raw)])
+        yield _batch(kind, doc[own] % buckets, doc[own], mark[own], binary)
 
 
 def _merged_spans(doc, mark, first, stop):
@@ -295,22 +314,26 @@ def _spans_out(doc, mark, first, stop, buckets):
 def _collect_runs(bits: int, buckets: int, held_filter):
     def run(batches):
         bitmap = held_filter.value
-        held: list[np.ndarray] = []
+        held: list = []
         size = 0
 
         def flush():
-            rec = np.concatenate(held)
-            rec = rec[np.lexsort((rec["doc"], rec["ctx"]))]
+            rec, bucket = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((rec["doc"], rec["ctx"]))
+            rec, bucket = rec[order], bucket[order]
             new = np.diff(rec["ctx"], prepend=rec["ctx"][:1] ^ U64(1)) != 0
             least = rec["doc"][np.flatnonzero(new)][np.cumsum(new) - 1]
             gone = rec[rec["doc"] > least]
-            yield from _spans_out(gone["doc"], gone["mark"], gone["at"], gone["at"] + (gone["span"] >> 8) + MIN_LENGTH, buckets)
-            rec = rec[rec["doc"] == least]
-            bucket = _bucket(rec["k"], buckets)
+            yield from _spans_out(gone["doc"], gone["mark"], gone["at"], gone["at"] + (gone["span"] >> 8).astype(np.int64) + MIN_LENGTH, buckets)
+            own = rec["doc"] == least
+            rec, bucket = rec[own], bucket[own]
             order = np.argsort(bucket, kind="stable")
             rec, bucket = rec[order], bucket[order]
             edge = np.searchsorted(bucket, np.arange(buckets + 1))
-            yield from _rows([(_RECORDS, b, 0, 0, rec[i:j].tobytes()) for b, (i, j) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if j > i])
+            some = np.flatnonzero(np.diff(edge))
+            raw = pa.array([_packed(rec[edge[b] : edge[b + 1]]) for b in some.tolist()], pa.binary())
+            zero = np.zeros(len(some), np.int64)
+            yield _batch(_RECORDS, some, zero, zero, raw)
 
         for batch in chunks(batches, CHUNK_BYTES):
             found = Anchors(byte_texts(batch.column(batch.schema.get_field_index("text"))), True)
@@ -319,13 +342,13 @@ def _collect_runs(bits: int, buckets: int, held_filter):
             for at in _bits(found.k, bits):
                 keep &= (bitmap[bucket, at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
             rec = np.zeros(int(keep.sum()), _RECORD)
-            for name in ("k", "ctx", "at", "span", "l", "r"):
+            for name in ("ctx", "at", "span", "l", "r"):
                 rec[name] = getattr(found, name)[keep]
             rec["doc"] = batch.column(0).to_numpy()[found.owner[keep]]
             rec["mark"] = batch.column(1).to_numpy()[found.owner[keep]]
-            held.append(rec)
+            held.append((rec, bucket[keep].astype(np.int32)))
             size += len(rec)
-            if size >= FLUSH // 4:
+            if size >= FLUSH // 2:
                 yield from flush()
                 held, size = [], 0
         if size:
@@ -339,13 +362,16 @@ def _settle(buckets: int):
 
     def run(batches):
         parts: list[np.ndarray] = []
+        own_bucket = 0
         for batch in batches:
+            if batch.num_rows:
+                own_bucket = batch.column(1)[0].as_py()
             kind = batch.column(0).to_numpy()
             rest = np.flatnonzero(kind != _RECORDS)
             if len(rest):
                 yield batch.take(pa.array(rest))
             for raw in batch.column(4).take(pa.array(np.flatnonzero(kind == _RECORDS))).to_pylist():
-                parts.append(np.frombuffer(raw, _RECORD))
+                parts.append(_unpacked(raw))
         if not parts:
             return
         rec = np.concatenate(parts)
@@ -355,12 +381,12 @@ def _settle(buckets: int):
         least = rec["doc"][head][np.cumsum(new) - 1]
         lost = rec["doc"] > least
         gone = rec[lost]
-        yield from _spans_out(gone["doc"], gone["mark"], gone["at"], gone["at"] + (gone["span"] >> 8) + MIN_LENGTH, buckets)
+        yield from _spans_out(gone["doc"], gone["mark"], gone["at"], gone["at"] + (gone["span"] >> 8).astype(np.int64) + MIN_LENGTH, buckets)
         rec = rec[~lost]
         # sides that smallest documents of different classes share
         for side in ("l", "r"):
             own = rec[rec[side] != 0]
-            key = mix64(own["k"] ^ own[side].astype(U64) * U64(0x9E3779B97F4A7C15) ^ U64(side == "l"))
+            key = mix64(own[side].astype(U64) | U64(own_bucket << 33 | (side == "l") << 32))
             order = np.lexsort((own["doc"], key))
             own, key = own[order], key[order]
             if not len(own):
@@ -372,8 +398,8 @@ def _settle(buckets: int):
             ask = (own["doc"][head] != own["doc"][tail - 1])[group]
             hot = ((tail - head) > HOT_KEY)[group][ask]
             own, key = own[ask], key[ask]
-            place = own["at"] + (own["span"] & 255)
-            end = own["at"] + (own["span"] >> 8)
+            place = own["at"] + (own["span"] & 255).astype(np.int64)
+            end = own["at"] + (own["span"] >> 8).astype(np.int64)
             out = np.zeros(len(own), _REQUEST)
             out["key"] = np.where(hot, U64(0), key | U64(1))
             out["first"] = own["at"] if side == "l" else np.maximum(own["at"], place - SIDE + 1)
@@ -446,7 +472,9 @@ def _compare(buckets: int):
 
 
 def _apply(text: bytes, payloads: list[bytes]) -> tuple[int, int, bytes]:
-    """Bytes removed, runs removed, what remains."""
+    """Bytes removed, runs removed, what remains; no spans stand for the whole text."""
+    if not payloads:
+        return len(text), 1, b""
     spans = np.concatenate([np.frombuffer(p, np.int32).reshape(-1, 2) for p in payloads])
     zero = np.zeros(len(spans), np.int64)
     _, _, merged = _merged_spans(zero, zero, spans[:, 0], spans[:, 1])
@@ -458,12 +486,26 @@ def _apply(text: bytes, payloads: list[bytes]) -> tuple[int, int, bytes]:
     return int((merged[:, 1] - merged[:, 0]).sum()), len(merged), b"".join(kept)
 
 
-def removed_spans(docs: DataFrame) -> DataFrame:
+def first_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc, mark, text) that can share a string, without later copies of a text; and those copies (doc, mark, n_bytes).
+
+    All strings of a copy start in the first one too, so the copy loses everything and need not be searched."""
+    rows = _keyed(docs).where("doc is not null and octet_length(text) >= %d" % MIN_LENGTH)
+    digest = F.unhex(F.sha2("text", 256))
+    small = staged(rows.select("doc", "mark", digest.alias("sha"), F.octet_length("text").cast("long").alias("n_bytes")), "text-digests")
+    groups = staged(small.groupBy("sha", "n_bytes").agg(F.min("doc").alias("least"), F.count("*").alias("rows")).where("rows > 1"), "text-classes")
+    total = small.count()
+    later = attach_groups(small, groups, ["sha", "n_bytes"], "rows", total).where("doc > least").select("doc", "mark", "n_bytes").distinct()
+    later = staged(later, "text-copies")
+    unsure = maybe_in(rows, "doc", later, "doc").join(later.select("doc", "mark"), ["doc", "mark"], "left_anti")
+    return maybe_in(rows, "doc", later, "doc", False).unionByName(staged(unsure.select("doc", "mark", "text"), "unsure-copies")), later
+
+
+def removed_spans(rows: DataFrame) -> DataFrame:
     """doc, mark (low bits of the text's hash), spans: packed (first, stop) byte spans to remove, several per document."""
-    spark = docs.sparkSession
+    spark = rows.sparkSession
     buckets = shuffle_partitions(spark)
     bits = FILTER_BYTES * 8 // buckets // 8 * 8
-    rows = _keyed(docs).where("doc is not null and octet_length(text) >= %d" % MIN_LENGTH)
     seen = rows.mapInArrow(_collect_anchors(buckets), "bucket int, once binary, often binary")
     seen = seen.repartitionById(buckets, F.col("bucket")).mapInArrow(_repeated(bits), "bucket int, bits binary")
     bitmap = np.zeros((buckets, bits // 8), np.uint8)
@@ -502,15 +544,18 @@ def _finish(batches):
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """Per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (null where nothing is removed)."""
-    spans = staged(removed_spans(docs), "spans")
-    every = spans.groupBy("doc", "mark").agg(F.collect_list("spans").alias("spans"))
+    first, copies = first_copies(docs)
+    spans = staged(removed_spans(first), "spans")
+    whole = copies.select("doc", "mark", F.lit(None).cast("binary").alias("spans"))  # an empty list of spans: all of it
+    every = spans.unionByName(whole).groupBy("doc", "mark").agg(F.collect_list("spans").alias("spans"))
     rows = _keyed(docs)
-    touched, whole = maybe_in(rows, "doc", spans, "doc"), maybe_in(rows, "doc", spans, "doc", False)
+    hit = spans.select("doc").unionByName(copies.select("doc"))
+    touched, rest = maybe_in(rows, "doc", hit, "doc"), maybe_in(rows, "doc", hit, "doc", False)
     cut = touched.join(every, ["doc", "mark"], "left").select("doc", "text", "spans")
     done = cut.where("spans is not null").mapInArrow(
         _finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     )
-    rest = cut.where("spans is null").select("doc", "text").unionByName(whole.select("doc", "text"))
+    rest = cut.where("spans is null").select("doc", "text").unionByName(rest.select("doc", "text"))
     zero = F.lit(0).cast("long")
     rest = rest.select(
         F.col("doc").alias("doc_id"),
