@@ -46,7 +46,14 @@ def release() -> None:
 atexit.register(release)
 
 
+#: Rows of an Arrow batch: texts are long, and a batch is held several times over.
+BATCH_ROWS = 1000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a corpus folder; from here on the session's Arrow batches are small."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -20,8 +20,6 @@ Words are compared by 64-bit hashes of their lower-cased bytes.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -74,8 +72,10 @@ class WaveletMatrix:
         return symbol, high - low
 
 
-def suffix_array(symbols: np.ndarray, size: int) -> np.ndarray:
-    """Suffix array by prefix doubling; the first sort packs as many symbols as fit 62 bits."""
+def suffix_array(symbols: np.ndarray, size: int, enough: int | None = None) -> np.ndarray:
+    """Suffix array by prefix doubling; the first sort packs as many symbols as fit 62 bits.
+
+    With `enough`, suffixes are told apart by that many symbols at least, and equal ones stay in any order."""
     n = len(symbols)
     bits = max(1, int(size).bit_length())
     depth = max(1, 62 // bits)
@@ -90,18 +90,9 @@ def suffix_array(symbols: np.ndarray, size: int) -> np.ndarray:
     rank = np.empty(n, np.int64)
     first = np.flatnonzero(new)
     rank[order] = first[np.cumsum(new) - 1]
-    while True:
-        last = np.append(first[1:], n)
-        open_at = np.flatnonzero(np.repeat(last - first > 1, last - first)) if len(first) < n else first[:0]
-        if not len(open_at):
-            return order
-        return _double(order, rank, open_at, depth)
-
-
-def _double(order: np.ndarray, rank: np.ndarray, open_at: np.ndarray, depth: int) -> np.ndarray:
-    """Sort the groups that are still open by the rank `depth` further on, doubling depth."""
-    n = len(order)
-    while len(open_at):
+    size_of = np.diff(np.append(first, n))
+    open_at = np.flatnonzero(np.repeat(size_of > 1, size_of))
+    while len(open_at) and (enough is None or depth < enough):  # sort what is still open by the rank `depth` further on
         suffix = order[open_at]
         after = suffix + depth
         behind = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
@@ -277,19 +268,23 @@ def _scan(phrases, shard: int):
     return scan
 
 
-def _merged(edges):
-    """Merge a flat array of spans [a, b, a, b, ...] of several passes."""
-    pairs = F.array_sort(F.transform(F.sequence(F.lit(0), F.size(edges) / 2 - 1), lambda i: F.struct(edges[(i * 2).cast("int")].alias("a"), edges[(i * 2 + 1).cast("int")].alias("b"))))
-    pairs = F.when(F.size(edges) > 0, pairs).otherwise(F.array().cast("array<struct<a:int,b:int>>"))
+def _merged(flat: list[int]) -> list[int]:
+    """Merge the overlapping or touching spans of a flat list [a, b, a, b, ...]."""
+    out: list[int] = []
+    for a, b in sorted(zip(flat[::2], flat[1::2], strict=True)):
+        if out and a <= out[-1]:
+            out[-1] = max(out[-1], b)
+        else:
+            out += [a, b]
+    return out
 
-    def step(acc, s):
-        last = F.element_at(acc, -1)
-        joins = (F.size(acc) > 0) & (s["a"] <= F.try_element_at(acc, F.lit(-1))["b"])
-        longer = F.struct(last["a"].alias("a"), F.greatest(last["b"], s["b"]).alias("b"))
-        return F.when(joins, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(s)))
 
-    merged = F.aggregate(pairs, F.array().cast("array<struct<a:int,b:int>>"), step)
-    return F.flatten(F.transform(merged, lambda s: F.array(s["a"], s["b"])))
+def _merge(batches):
+    for batch in batches:
+        for name in ("words", "bytes"):
+            at = batch.schema.get_field_index(name)
+            batch = batch.set_column(at, name, pa.array([_merged(x) for x in batch.column(at).to_pylist()], pa.list_(pa.int32())))
+        yield batch
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard: int = SHARD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -316,17 +311,14 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard: int
         F.flatten(F.collect_list("bytes")).alias("bytes"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
     )
-    return merged.withColumn("words", _merged(F.col("words"))).withColumn("bytes", _merged(F.col("bytes")))
+    return merged.select("doc_row", "doc_id", "n_words", "words", "bytes", "items").mapInArrow(_merge, _FOUND)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     found = find(docs, benchmark, **options)
-    hit = F.aggregate(
-        F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words"))),
-        F.lit(0).cast("long"),
-        lambda acc, i: acc + F.coalesce(F.when(i % 2 == 0, F.try_element_at("words", i) - F.try_element_at("words", i - 1)), F.lit(0)).cast("long"),
-    )
+    lengths = F.transform("words", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x).cast("long"))
+    hit = F.aggregate(lengths, F.lit(0).cast("long"), lambda n, x: n + x)
     return found.select(
         "doc_id",
         "n_words",
@@ -381,10 +373,6 @@ def without_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     return out
 
 
-def items_digest(names) -> str:
-    return hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
-
-
 def op3_decontaminate(spark, sf_dir):
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

@@ -42,7 +42,7 @@ MIN_LENGTH = 50
 K = 26
 SIDE = (MIN_LENGTH - K) // 2
 FILTER_BYTES = 16 << 20
-FLUSH = 1_000_000
+FLUSH = 500_000
 SHARD = 1 << 20
 HOT_KEY = 20_000
 CHUNK_BYTES = 1 << 18
@@ -79,7 +79,7 @@ def equal_windows(symbols: np.ndarray, size: int, length: int) -> tuple[np.ndarr
 
     symbols must end in 0, which occurs once.  border[i] says that rows i - 1 and i share less than `length`: interval
     ends get their common prefix level by level, each once, and expansion goes on only from intervals that set one."""
-    order = suffix_array(symbols, size)
+    order = suffix_array(symbols, size, length)  # intervals of up to `length` symbols need no more
     n = len(order)
     wavelet = WaveletMatrix(symbols[order - 1], size)
     before = np.concatenate([[0], np.cumsum(np.bincount(symbols, minlength=size))])
@@ -101,11 +101,16 @@ def equal_windows(symbols: np.ndarray, size: int, length: int) -> tuple[np.ndarr
 
 def shared_windows(blocks: list[bytes], docs: np.ndarray, length: int = MIN_LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """(block, offset) of windows that also start in a block of a smaller document."""
-    data = np.concatenate([np.append(np.frombuffer(b, np.uint8).astype(np.int32) + 2, 1) for b in blocks] + [np.zeros(1, np.int32)])
-    sizes = np.array([len(b) + 1 for b in blocks])
+    sizes = np.fromiter((len(b) + 1 for b in blocks), np.int64, len(blocks))
     start = np.cumsum(sizes) - sizes
-    order, group = equal_windows(data, 258, length)
-    owner = np.searchsorted(start, order, side="right") - 1
+    data = np.frombuffer(b"\0".join(blocks) + b"\0\0", np.uint8)
+    number = np.zeros(256, np.int32)  # symbols: 0 the end, 1 after each block, then the bytes that occur
+    used = np.unique(data)
+    number[used] = np.arange(len(used)) + 2
+    data = number[data]
+    data[start + sizes - 1], data[-1] = 1, 0
+    order, group = equal_windows(data, len(used) + 2, length)
+    owner = np.append(np.repeat(np.arange(len(blocks)), sizes), len(blocks) - 1)[order]
     offset = order - start[owner]
     valid = (offset + length <= sizes[owner] - 1) & (order < len(data) - 1)
     order, group, owner, offset = order[valid], group[valid], owner[valid], offset[valid]
@@ -357,7 +362,7 @@ def _collect_runs(bits: int, buckets: int, held_filter):
     return run
 
 
-def _settle(buckets: int):
+def _settle(buckets: int, hot_key: int):
     """Classes of a bucket: runs lost to a smaller document of the class, and requests for partial comparison."""
 
     def run(batches):
@@ -396,7 +401,7 @@ def _settle(buckets: int):
             tail = np.append(head[1:], len(key))
             group = np.cumsum(new) - 1
             ask = (own["doc"][head] != own["doc"][tail - 1])[group]
-            hot = ((tail - head) > HOT_KEY)[group][ask]
+            hot = ((tail - head) > hot_key)[group][ask]
             own, key = own[ask], key[ask]
             place = own["at"] + (own["span"] & 255).astype(np.int64)
             end = own["at"] + (own["span"] >> 8).astype(np.int64)
@@ -410,37 +415,45 @@ def _settle(buckets: int):
 
 
 def _fetch(batches):
-    """Bytes of requested runs: (key, doc, mark, first, bytes); hot keys window by window, the smallest document of each."""
-
-    def out(rows):
-        if rows:
-            cols = list(zip(*rows, strict=True))
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["key", "doc", "mark", "first", "bytes"])
-
-    windows: dict[bytes, list] = {}
+    """Bytes of requested runs: (key, doc, mark, first, bytes); hot keys window by window, by content."""
     for batch in batches:
-        rows = []
-        for doc, mark, text, payload in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            raw = text.encode()
-            for key, first, last in np.frombuffer(payload, _REQUEST).tolist():
-                if key:
-                    rows.append((np.uint64(key).astype(np.int64).item(), doc, mark, first, raw[first : last + MIN_LENGTH]))
-                    continue
-                for at in range(first, last + 1):
-                    piece = raw[at : at + MIN_LENGTH]
-                    known = windows.get(piece)
-                    if known is None or doc < known[0]:
-                        if known:  # the former smallest goes on its own, to lose against this one
-                            rows.append((_content(piece), *known, piece))
-                        windows[piece] = [doc, mark, at]
-                    else:  # equal or larger: goes on with the smallest of its key
-                        rows.append((_content(piece), doc, mark, at, piece))
-        yield from out(rows)
-        if len(windows) > 500_000:
-            yield from out([(_content(p), *known, p) for p, known in windows.items()])
-            windows = {}
-    yield from out([(_content(p), *known, p) for p, known in windows.items()])
+        doc, mark = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        asked = [np.frombuffer(p, _REQUEST) for p in batch.column(3).to_pylist()]
+        if not asked:
+            continue
+        row = np.repeat(np.arange(len(asked)), [len(a) for a in asked])
+        req = np.concatenate(asked)
+        key, first, size = req["key"].view(np.int64).copy(), req["first"].astype(np.int64), (req["last"] - req["first"] + MIN_LENGTH).astype(np.int64)
+        hot = key == 0
+        if hot.any():  # one block per window
+            many = np.where(hot, size - MIN_LENGTH + 1, 1)
+            part = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            row, key, first, size, hot = (np.repeat(x, many) for x in (row, key, first, size, hot))
+            first, size = np.where(hot, first + part, first), np.where(hot, MIN_LENGTH, size)
+        data, text_start = joined(byte_texts(batch.column(2)))
+        for at in range(0, len(row), 50_000):
+            own = slice(at, at + 50_000)
+            offset = np.concatenate([[0], np.cumsum(size[own])])
+            where = np.arange(offset[-1]) - np.repeat(offset[:-1] - text_start[row[own]] - first[own], size[own])
+            taken, keys, whose, some = data[where], key[own].copy(), doc[row[own]], np.flatnonzero(hot[own])
+            for i in some.tolist():
+                keys[i] = _content(taken[offset[i] : offset[i + 1]].tobytes())
+            if len(some):  # equal windows of larger documents are lost here: an empty block says so
+                _, same = np.unique(keys[some], return_inverse=True)
+                least = np.full(same.max() + 1, np.iinfo(np.int64).max)
+                np.minimum.at(least, same, whose[some])
+                lost = some[whose[some] > least[same]]
+                left = np.diff(offset)
+                stay = np.ones(len(left), bool)
+                stay[lost] = False
+                taken = taken[np.repeat(stay, left)]
+                left[lost] = 0
+                offset = np.concatenate([[0], np.cumsum(left)])
+                keys[lost] = mix64(whose[lost].view(U64) + U64(1)).view(np.int64)
+            raw = taken.tobytes()
+            blocks = pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(offset.astype(np.int32).tobytes()), pa.py_buffer(raw)])
+            cols = [pa.array(keys), pa.array(whose), pa.array(mark[row[own]]), pa.array(first[own].astype(np.int32)), blocks]
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "doc", "mark", "first", "bytes"])
 
 
 def _content(piece: bytes) -> int:
@@ -450,27 +463,55 @@ def _content(piece: bytes) -> int:
 def _compare(buckets: int):
     """Transforms over shards of keyed blocks sorted by key; spans lost."""
 
-    def settle(blocks):
-        key, doc, mark, first = (np.array(x) for x in list(zip(*blocks, strict=True))[:4])
-        which, offset = shared_windows([b[4] for b in blocks], doc)
-        yield from _spans_out(doc[which], mark[which], first[which] + offset, first[which] + offset + MIN_LENGTH, buckets)
+    def settle(parts):
+        key, doc, mark, first = (np.concatenate([p.column(i).to_numpy() for p in parts]) for i in range(4))
+        blocks = [b for p in parts for b in p.column(4).to_pylist()]
+        least: dict[bytes, int] = {}
+        for b, d in zip(blocks, doc.tolist(), strict=True):
+            if d < least.get(b, d + 1):
+                least[b] = d
+        # lost whole: what _fetch says (empty blocks), and a block that a smaller document has as well
+        size = np.fromiter((len(b) or MIN_LENGTH for b in blocks), np.int64, len(blocks))
+        gone = np.fromiter((not b or d > least[b] for b, d in zip(blocks, doc.tolist(), strict=True)), bool, len(blocks))
+        spans = [(doc[gone], mark[gone], first[gone].astype(np.int64), (first + size)[gone])]
+        rest = np.flatnonzero(~gone)
+        if len(rest) > 1:
+            which, offset = shared_windows([blocks[i] for i in rest.tolist()], doc[rest])
+            which = rest[which]
+            spans.append((doc[which], mark[which], first[which] + offset, first[which] + offset + MIN_LENGTH))
+        yield from _spans_out(*(np.concatenate(x) for x in zip(*spans, strict=True)), buckets)
 
     def run(batches):
-        held: list = []
+        held: list[pa.RecordBatch] = []
         size = 0
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size >= SHARD and row[0] != held[-1][0]:
-                    yield from settle(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[4])
+            while batch.num_rows:
+                if size >= SHARD:  # up to the end of the key that is being gathered
+                    last = held[-1].column(0)[held[-1].num_rows - 1].as_py()
+                    same = int(np.searchsorted(batch.column(0).to_numpy(), last, side="right"))
+                    if same:
+                        held.append(batch.slice(0, same))
+                    batch = batch.slice(same)
+                    if batch.num_rows:
+                        yield from settle(held)
+                        held, size = [], 0
+                    continue
+                cut = np.cumsum(np.diff(_offsets(batch.column(4))))
+                stop = min(batch.num_rows, int(np.searchsorted(cut, SHARD - size)) + 1)
+                held.append(batch.slice(0, stop))
+                size += int(cut[stop - 1])
+                batch = batch.slice(stop)
         if held:
             yield from settle(held)
 
     return run
 
 
+def _offsets(column: pa.Array) -> np.ndarray:
+    """Byte offsets of the values of a binary column (a slice too)."""
+    return np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+
+
 def _apply(text: bytes, payloads: list[bytes]) -> tuple[int, int, bytes]:
     """Bytes removed, runs removed, what remains; no spans stand for the whole text."""
     if not payloads:
@@ -501,7 +542,7 @@ def first_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return maybe_in(rows, "doc", later, "doc", False).unionByName(staged(unsure.select("doc", "mark", "text"), "unsure-copies")), later
 
 
-def removed_spans(rows: DataFrame) -> DataFrame:
+def removed_spans(rows: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
     """doc, mark (low bits of the text's hash), spans: packed (first, stop) byte spans to remove, several per document."""
     spark = rows.sparkSession
     buckets = shuffle_partitions(spark)
@@ -512,7 +553,7 @@ def removed_spans(rows: DataFrame) -> DataFrame:
     for row in seen.toLocalIterator():  # FILTER_BYTES in all
         bitmap[row["bucket"]] = np.frombuffer(row["bits"], np.uint8)
     runs = rows.mapInArrow(_collect_runs(bits, buckets, spark.sparkContext.broadcast(bitmap)), _OUT)
-    settled = staged(runs.repartitionById(buckets, F.col("bucket")).mapInArrow(_settle(buckets), _OUT), "runs")
+    settled = staged(runs.repartitionById(buckets, F.col("bucket")).mapInArrow(_settle(buckets, hot_key), _OUT), "runs")
     asked = settled.where(F.col("kind") == _REQUESTS).select("doc", "mark", "payload")
     wanted = maybe_in(rows, "doc", asked, "doc")
     met = wanted.dropDuplicates(["doc", "mark"]).join(asked, ["doc", "mark"]).select("doc", "mark", "text", "payload")
@@ -542,10 +583,10 @@ def _finish(batches):
         yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def suffix_dedup(docs: DataFrame) -> DataFrame:
+def suffix_dedup(docs: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
     """Per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (null where nothing is removed)."""
     first, copies = first_copies(docs)
-    spans = staged(removed_spans(first), "spans")
+    spans = staged(removed_spans(first, hot_key), "spans")
     whole = copies.select("doc", "mark", F.lit(None).cast("binary").alias("spans"))  # an empty list of spans: all of it
     every = spans.unionByName(whole).groupBy("doc", "mark").agg(F.collect_list("spans").alias("spans"))
     rows = _keyed(docs)
