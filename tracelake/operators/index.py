@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,11 +54,8 @@ def is_stale(table: DataFrame, needed: tuple[str, ...] = ("frame_id", "segment_i
 
 def encoded(rows: DataFrame, encode, column: str, dimension: int, batch: int = 8) -> DataFrame:
     """rows with `vec` from an injected encoder of lists (loaded once per worker, `batch` values at a time)."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("array<float>")
-    def run(parts: "pd.Series") -> "pd.Series":
+    def run(parts: pd.Series) -> pd.Series:
         values = parts.tolist()
         made = [v for at in range(0, len(values), batch) for v in np.asarray(encode(values[at : at + batch]), np.float32).reshape(-1, dimension)]
         return pd.Series([v / (np.linalg.norm(v) or 1.0) for v in made])

@@ -66,7 +66,7 @@ META_FIELDS = (
 
 def accident_meta(spark: SparkSession, path: str, fields: tuple[str, ...] = META_FIELDS) -> DataFrame:
     """file, meta MAP<STRING,STRING>: the first line by position (eight tokens at least), then `key: value` lines."""
-    docs = spark.read.option("wholetext", True).text(path).withColumn("file", F.input_file_name())
+    docs = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
     lines = F.split("value", r"\r?\n")
     first = F.split(F.trim(F.element_at(lines, 1)), r"\s+")
     positional = F.map_from_arrays(
@@ -102,7 +102,7 @@ def array_bundle(spark: SparkSession, path: str) -> DataFrame:
 def bundle_vectors(spark: SparkSession, path: str, meta_schema) -> DataFrame:
     """.npy rows joined by position with the list in the .json of the same stem; files of unequal length are left out."""
     vectors = array_bundle(spark, path).withColumn("bundle", text.stem("file"))
-    docs = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path)
+    docs = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
     docs = docs.select(text.stem(F.input_file_name()).alias("bundle"), F.from_json("value", f"array<{meta_schema}>").alias("items"))
     meta = docs.select("bundle", F.size("items").alias("n"), F.posexplode("items").alias("position", "meta"))
     sized = vectors.groupBy("bundle").agg(F.count("*").alias("rows"))

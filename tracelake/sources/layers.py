@@ -16,18 +16,21 @@ _BAD = "_corrupt_record"
 
 
 def _documents(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """One row per file: file, its text, and the parsed document with the text again if it does not parse."""
     with_bad = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
-    reader = spark.read.schema(with_bad).option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BAD)
-    return reader.option("pathGlobFilter", "*.json").json(path).withColumn("file", F.input_file_name())
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.json").withColumn("file", F.input_file_name())
+    return files.withColumn("doc", F.from_json("value", with_bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}))
 
 
 def scan(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Valid documents of a layer with the file they come from."""
-    return _documents(spark, path, schema).where(F.col(_BAD).isNull()).drop(_BAD)
+    good = F.col("doc").isNotNull() & F.col(f"doc.{_BAD}").isNull()
+    return _documents(spark, path, schema).where(good).select("doc.*", "file").drop(_BAD)
 
 
 def bad_documents(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return _documents(spark, path, schema).where(F.col(_BAD).isNotNull()).select("file", F.col(_BAD).alias("document"))
+    bad = F.col("doc").isNull() | F.col(f"doc.{_BAD}").isNotNull()
+    return _documents(spark, path, schema).where(bad).select("file", F.col("value").alias("document"))
 
 
 def box(c: Column) -> Column:
