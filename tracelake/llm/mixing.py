@@ -30,6 +30,7 @@ from tracelake.llm.common import fresh, staged, table
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
 BUCKETS = 4096
+BROADCAST_SOURCES = 10_000
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -108,14 +109,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = M
     sized = staged(sizes(docs).withColumn("skey", F.struct(F.col("source").isNull(), F.coalesce("source", F.lit("")))), "mix-sizes")
     sized = sized.withColumn("skey", F.to_json("skey"))
     targets = source_targets(sized, weights, max_repeat)
-    targets = targets.withColumn("skey", F.to_json(F.struct(F.col("source").isNull(), F.coalesce("source", F.lit(""))))).drop("source")
-    rows = sized.join(targets, "skey")
+    targets = staged(targets.withColumn("skey", F.to_json(F.struct(F.col("source").isNull(), F.coalesce("source", F.lit(""))))).drop("source"), "mix-sources")
+    # per-source tables are broadcast while there are few sources; with many, joins by source may split a hot one (AQE)
+    per_source = F.broadcast if targets.count() <= BROADCAST_SOURCES else lambda df: df
+    rows = sized.join(per_source(targets), "skey")
     # length score in 1024ths: size / (size + mean size), kept as an integer so that sums agree in any order
     # division is by integers, exact
     score = F.expr("case when size = 0 then 0 else (1024 * size * n_docs) div (size * n_docs + source_size) end")
     rows = rows.withColumn("score", score)
     centre = rows.groupBy("skey").agg(F.sum(F.col("score") * F.col("size")).alias("score_sum"))
-    rows = rows.join(centre, "skey")
+    rows = rows.join(per_source(centre), "skey")
     rate = F.col("target") / F.col("source_size").cast("double")
     lean = F.least(rate, F.lit(float(max_repeat)) - rate) * F.lit(0.5)
     gap = F.col("score").cast("double") - F.col("score_sum").cast("double") / F.col("source_size").cast("double")
@@ -133,7 +136,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = M
 
     sure = rows.groupBy("skey").agg(F.sum(F.col("certain") * F.col("size")).alias("_sure"), F.first("target").alias("_t"))
     sure = sure.select("skey", (F.col("_t") - F.col("_sure")).alias("missing"))
-    drawn = rows.where("rank is not null and size > 0").join(sure, "skey").withColumn("base", F.lit(0).cast("long"))
+    drawn = rows.where("rank is not null and size > 0").join(per_source(sure), "skey").withColumn("base", F.lit(0).cast("long"))
     first = _decide(drawn, "b1")
     second = _decide(first.where("part").drop("whole", "part"), "b2")
     order = Window.partitionBy("skey").orderBy("rank", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
