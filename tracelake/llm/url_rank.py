@@ -84,8 +84,10 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataF
 
 
 def _seeds(judged: DataFrame, verdict: str) -> DataFrame:
-    own = judged.where(F.col("found.verdict") == verdict).groupBy("host").agg(F.count("*").alias("n"))
-    return own.crossJoin(F.broadcast(own.agg(F.sum("n").alias("_all")))).select("host", (F.col("n") / F.col("_all")).alias("seed"))
+    """host, seed: the share of pages with this verdict by rule that the host has."""
+    own = staged(judged.where(F.col("found.verdict") == verdict).groupBy("host").agg(F.count("*").alias("n")), "host-seeds")
+    total = own.agg(F.sum("n")).first()[0] or 1
+    return own.select("host", (F.col("n") / F.lit(total)).alias("seed"))
 
 
 def judge(pages: DataFrame, rules=RULES, rounds: int = ROUNDS) -> DataFrame:
