@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import table
+from tracelake.llm.common import small_batches, table
 from tracelake.llm.textbytes import ALNUM, LOWER, byte_texts, chunks, joined, word_edges, word_hashes
 
 WINDOW = 10
 SHARD = 1_000_000
 SAMPLE = 16
 BLOCK_BYTES = 32 << 20
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 3 << 20
 #: Symbols: the one end of a shard (smallest), document ends, runs of other words, then phrase words.
 _STOP, _END, _OTHER, _FIRST = 0, 1, 2, 3
 
@@ -290,6 +290,7 @@ def _merge(batches):
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard: int = SHARD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document row: doc_row, doc_id, n_words, words and bytes (flat hit spans), items."""
     spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").alias("text"))
     items = items.where("text is not null and text <> ''")
     blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
@@ -345,6 +346,7 @@ def without_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
 
     The benchmark must fit one block (BLOCK_BYTES); larger ones are removed block by block."""
     spark = docs.sparkSession
+    small_batches(spark)
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").alias("text"))
     items = items.where("text is not null and text <> ''")
     blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import held_out, table
+from tracelake.llm.common import held_out, small_batches, table
 from tracelake.llm.textbytes import byte_texts, chunks, joined, word_edges
 
 BUCKETS = 1 << 16
@@ -85,6 +85,7 @@ class Model:
 
 def train(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> Model:
     """Learn from text and lang of rows that are not held out."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
     found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
@@ -169,6 +170,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The documents of a known language (lang_pred is not `und`), with all their columns."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 

@@ -8,6 +8,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+#: Workers live long; the plain allocator gives freed batches back.
+pa.set_memory_pool(pa.system_memory_pool())
+
 U64 = np.uint64
 
 #: A-Z to a-z, all other bytes as they are.
