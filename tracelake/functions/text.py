@@ -162,3 +162,24 @@ def is_ascii_query(c) -> Column:
 def anchor_seconds(ts, start, end) -> Column:
     ts, start, end = (_col(c).cast("double") for c in (ts, start, end))
     return F.coalesce(ts, (start + end) / 2, start, F.lit(0.0))
+
+
+def valid_clip(start, end, longest: float = 60.0) -> Column:
+    """A clip that ends after it starts and is not too long."""
+    start, end = _col(start).cast("double"), _col(end).cast("double")
+    return F.coalesce((start >= 0) & (end > start) & (end - start <= longest), F.lit(False))
+
+
+def under_roots(path, roots: list[str]) -> Column:
+    """Whether a path lies below one of the roots (no step upwards in it)."""
+    clean = normal_path(path)
+    below = F.lit(False)
+    for root in roots:
+        below = below | clean.startswith(root.replace("\\", "/").lower().rstrip("/") + "/")
+    return below & ~clean.contains("/../")
+
+
+def timestamp_text(explicit, path) -> Column:
+    """The explicit time, else the one in the frame's name, else 0.0, as text."""
+    found = F.coalesce(_col(explicit).try_cast("double"), frame_name_parts(path)["seconds"])
+    return F.coalesce(found, F.lit(0.0)).cast("string")

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracelake.functions import geometry, text, vectors
-from tracelake.operators import channels, evaluate, fusion, index, intervals, rules, segments, tracks
+from tracelake.operators import channels, evaluate, fusion, index, intervals, rules, segments, tracking, tracks
 from tracelake.plans import adapters, intent
 from tracelake.plans.adapters import LINE, OBS, observations, table
 from tracelake.plans.vocabulary import EVENT_TIERS, EVENT_WORDS
+from tracelake.sources import layers, sinks
 from tracelake.streaming import streams
 
 SESSION_GAP, DAY = 21600.0, 86400.0
@@ -365,6 +366,57 @@ def light_states(spark, sf_dir):
     return rules.light_scores(rows, 0.01).select("l_orderkey", "l_linenumber", "state", F.round("conf", 6).alias("conf"))
 
 
+# ---- ingest, sinks, status -------------------------------------------------------------------------------------------
+
+
+def frames_by_video(spark, sf_dir):
+    rows = observations(spark, sf_dir).select(F.col("video").cast("string").alias("video_id"), F.col("day").alias("ts"), F.col("label").alias("frame_path"))
+    return layers.frames_by_video(rows).select("video_id", F.size("frames").cast("long").alias("n_frames"), F.element_at("frames", 1)["frame_path"].alias("first"), F.element_at("frames", -1)["frame_path"].alias("last"))
+
+
+def ingest_totals(spark, sf_dir):
+    rows = observations(spark, sf_dir).groupBy("video").agg(F.collect_list("event_id").alias("items"))
+    return evaluate.ingest_totals(rows, "items")
+
+
+def event_id_migration(spark, sf_dir):
+    old = table(spark, sf_dir, "orders").select(F.concat_ws(":", F.concat(F.lit("v"), "o_custkey"), F.lit("rule"), F.concat(F.lit("v"), "o_custkey"), F.col("o_orderkey").cast("string")).alias("event_id"))
+    return sinks.migrated_event_ids(old)[1]
+
+
+def source_map_upsert(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation").select(F.col("n_name").alias("video_name"), F.col("n_regionkey").cast("long").alias("source"))
+    return sinks.latest(nation, nation.where("source = 2").withColumn("source", F.col("source") + 100), "video_name")
+
+
+def segment_status(spark, sf_dir):
+    spans = _spans(spark, sf_dir)
+    videos = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("video_id"))
+    built = spans.where("event_type = 'view'").select("video_id")
+    return segments.status(videos, spans, built)
+
+
+def clip_checks(spark, sf_dir):
+    rows = observations(spark, sf_dir).select("event_id", text.valid_clip("cy", F.col("cx")).alias("valid"), text.under_roots(F.concat(F.lit("/Data/"), "label", F.lit("/x.mp4")), ["/data/view", "/data/err"]).alias("allowed"))
+    return rows
+
+
+def best_of_each_video(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.concat(F.col("o_custkey").cast("string"), F.lit(".mp4")).alias("video_name"), F.col("o_totalprice").alias("score"), F.col("o_orderstatus").alias("mode"))
+    return evaluate.best_per_video(rows, 5, ["mode"]).select("mode", "video_name", "score", "rank")
+
+
+def first_relevant(spark, sf_dir):
+    results, wanted = _results(spark, sf_dir)
+    return evaluate.first_relevant(results, wanted)
+
+
+def tracked_detections(spark, sf_dir):
+    """Tracks of boxes made of the first week's observations (sequential; no SQL)."""
+    rows = adapters.boxed(observations(spark, sf_dir)).select(F.col("track").cast("string").alias("video_id"), F.lit("car").alias("label"), F.floor("t").cast("double").alias("t"), F.format_string("f_%012d.jpg", "event_id").alias("frame_path"), "box.*", F.lit(0.9).alias("conf"))
+    return tracking.tracked(rows).groupBy("video_id").agg(F.count_distinct("track_id").alias("n_tracks"), F.count("*").alias("n_points"))
+
+
 # ---- streams ---------------------------------------------------------------------------------------------------------
 
 
@@ -390,6 +442,19 @@ def stream_sessions(spark, sf_dir):
     return done.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("last").alias("last"), "n")
 
 
+def stream_red_phases(spark, sf_dir):
+    """Red phases of every video that the watermark has closed."""
+    rows = _event_stream(spark, sf_dir).withColumn("video", F.col("user_id") % 10).withColumn("state", F.when(F.col("event_type") == "error", F.lit("red")).otherwise("other"))
+    done = _once(streams.red_phases(rows, "at", "2 hours", "video"), "red_phases")
+    return done.select("video", F.unix_micros("phase_start").alias("phase_start"), F.unix_micros("phase_end").alias("phase_end"))
+
+
+def stream_retained(spark, sf_dir):
+    """Rows at most five after a purchase, kept by a state per video."""
+    rows = _event_stream(spark, sf_dir).select((F.col("user_id") % 10).alias("video"), "event_id", (F.col("event_type") == "purchase").alias("hit"), "at")
+    return _once(streams.retained(rows, "video", "event_id", "hit", "at", 5), "retained")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -398,7 +463,8 @@ QUERIES = {
         frame_sessions, segments_events, segments_fallback, segments_all, retain_window, activity_filter, nearest_light, points_in_red, vector_topk, vector_variants,
         vector_normalised, vector_upsert_overwrite, vector_upsert_append, vector_remove, index_build, index_stats, text_contains_topk, text_fuzzy_topk, identifiers,
         display_times, frame_names, clip_urls, normal_labels, intent_events_batch, fuse_channels, hybrid_score, hybrid_topk, eval_precision_recall, eval_mrr_rollup,
-        eval_event_boost, event_counts, event_topk, light_states, stream_tumbling, stream_sessions,
+        eval_event_boost, event_counts, event_topk, light_states, frames_by_video, ingest_totals, event_id_migration, source_map_upsert,
+        segment_status, clip_checks, best_of_each_video, first_relevant, tracked_detections, stream_tumbling, stream_sessions, stream_red_phases, stream_retained,
     )
 }
 
@@ -451,6 +517,11 @@ _HITS = f"""{OBS},
       + least(greatest((s0 > 0)::INT + (s1 > 0)::INT + (s2 > 0)::INT + (s3 > 0)::INT + (s4 > 0)::INT - 1, 0) * 0.05::DOUBLE
               + CASE WHEN label = 'car' THEN 0.03::DOUBLE ELSE 0 END + CASE WHEN event_type <> '' THEN 0.04::DOUBLE ELSE 0 END, 0.10::DOUBLE), 1) AS best_score FROM norm)"""
 
+_RANKED = f"""{_SPANS},
+  e AS (SELECT *, length(event_type) AS query_id, end_ts - start_ts AS raw FROM spans),
+  one AS (SELECT *, round(raw, 3) AS score FROM e QUALIFY row_number() OVER (PARTITION BY query_id, track ORDER BY round(raw, 3) DESC, first_id) = 1),
+  res AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, track::VARCHAR) AS rank FROM one QUALIFY rank <= 10)"""
+
 _ALIASES = _sql_values([(w, e, EVENT_TIERS[t]) for e, tiers in EVENT_WORDS.items() for t, words in tiers.items() for w in words])
 ORACLE_SQL = {
     "detection_topk": f"{WITH_OBS} SELECT event_id, track, label, round(conf, 6) AS conf FROM obs WHERE label IN ('click', 'view') ORDER BY obs.conf DESC, track, t, event_id LIMIT 50",
@@ -572,10 +643,7 @@ ORACLE_SQL = {
     "hybrid_score": f"WITH {_HITS} SELECT key, round(best_score, 6) AS best_score FROM scored",
     "hybrid_topk": f"""WITH {_HITS}, r AS (SELECT key, round(best_score, 6) AS best_score, start_ts, CASE WHEN end_ts <= start_ts THEN start_ts + 1 ELSE end_ts END AS end_ts, matched_by, track FROM scored)
         SELECT key, best_score, start_ts, end_ts, matched_by FROM r WHERE best_score >= 0.2 ORDER BY best_score DESC, track::VARCHAR, start_ts, key LIMIT 40""",
-    "eval_precision_recall": f"""WITH {_SPANS},
-        e AS (SELECT *, length(event_type) AS query_id, end_ts - start_ts AS raw FROM spans),
-        one AS (SELECT *, round(raw, 3) AS score FROM e QUALIFY row_number() OVER (PARTITION BY query_id, track ORDER BY round(raw, 3) DESC, first_id) = 1),
-        res AS (SELECT * FROM one QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, track::VARCHAR) <= 10),
+    "eval_precision_recall": f"""WITH {_RANKED},
         met AS (SELECT r.query_id, r.track, min(x.first_id) AS number FROM res r JOIN e x ON x.query_id = r.query_id AND x.track = r.track AND x.track % 3 = 0
                 AND greatest(r.start_ts, x.start_ts) <= least(r.end_ts, x.end_ts) GROUP BY r.query_id, r.track),
         m AS (SELECT query_id, count(*) AS hits, count(DISTINCT number) AS matched FROM met GROUP BY query_id),
@@ -605,4 +673,40 @@ ORACLE_SQL = {
         g AS (SELECT user_id, epoch_us(ts) AS u, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w <= 21600000000 THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
         i AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY u ROWS UNBOUNDED PRECEDING) AS island FROM g)
         SELECT user_id, min(u) AS start, max(u) AS last, count(*) AS n FROM i, m GROUP BY user_id, island, mark HAVING max(u) + 21600000000 <= mark""",
+    "first_relevant": f"""WITH {_RANKED},
+        h AS (SELECT query_id, min(rank) AS r FROM res WHERE track % 3 = 0 AND EXISTS (SELECT 1 FROM e WHERE e.query_id = res.query_id AND e.track = res.track) GROUP BY query_id)
+        SELECT DISTINCT e.query_id::INT AS query_id, coalesce(r, 0)::INT AS first_rank, coalesce(r, 0) = 1 AS hit_at_1, coalesce(r, 0) BETWEEN 1 AND 5 AS hit_at_5 FROM e LEFT JOIN h USING (query_id)""",
+    "three_snapshots": f"""WITH {OBS},
+        p AS (SELECT *, row_number() OVER w - 1 AS i, lag(cx) OVER w AS px, lag(cy) OVER w AS py, count(*) OVER (PARTITION BY track) AS n FROM obs WINDOW w AS (PARTITION BY track ORDER BY t, event_id)),
+        q AS (SELECT *, cx + 5 + 1e-6 >= 100 AND cx - 5 - 1e-6 <= 400 AND cy - 5 - 1e-6 <= 50 AND cy + 5 + 1e-6 >= 50 AS bybox,
+                     coalesce(least(py, cy) <= 50 AND greatest(py, cy) >= 50 AND CASE WHEN py = cy THEN greatest(px, cx) >= 100 AND least(px, cx) <= 400
+                       ELSE px + (50 - py) * (cx - px) / (cy - py) BETWEEN 100 AND 400 END, false) AND i > 0 AS bypath FROM p),
+        c AS (SELECT track, any_value(video) AS video, any_value(n) AS n, arg_min(cx, i) AS ax, arg_min(cy, i) AS ay, arg_max(cx, i) AS bx, arg_max(cy, i) AS yb,
+                     coalesce(min(i) FILTER (bybox), min(i) FILTER (bypath)) AS contact_i FROM q GROUP BY track),
+        k AS (SELECT c.*, p.t AS contact_t FROM c JOIN p ON p.track = c.track AND p.i = contact_i WHERE c.n >= 2 AND sqrt((bx - ax)^2 + (yb - ay)^2) >= 10),
+        d AS (SELECT p.*, contact_i, contact_t, k.n AS kn, sqrt((cx - greatest(100, least(400, cx)))^2 + (cy - 50)^2) AS gap FROM p JOIN k USING (track)),
+        s AS (SELECT track, any_value(video) AS video, arg_min(event_id, (gap, i)) FILTER (gap > 5 AND cy < 50 AND t <= contact_t) AS b, arg_min(event_id, (gap, i)) FILTER (gap <= 5) AS a,
+                     arg_min(event_id, (gap, i)) FILTER (gap > 5 AND cy > 50 AND t >= contact_t) AS f,
+                     list(event_id ORDER BY event_id) FILTER (i BETWEEN contact_i - 1 AND contact_i + 1) AS ev FROM d GROUP BY track),
+        u AS (SELECT track, video, ev, coalesce(b, ev[1]) AS x, coalesce(a, ev[len(ev) // 2 + 1]) AS y, coalesce(f, ev[len(ev)]) AS z FROM s)
+        SELECT video || ':vehicle_crosses_line:' || track AS event_id, least(greatest(3, len(list_distinct([x, y, z]))), len(list_distinct(list_concat([x, y, z], ev))))::BIGINT AS n_snapshots,
+               'f_' || lpad(x::VARCHAR, 12, '0') || '.jpg' AS before FROM u""",
+    "frames_by_video": f"""{WITH_OBS_MORE} d AS (SELECT DISTINCT video, day, label FROM obs)
+        SELECT video::VARCHAR AS video_id, count(*) AS n_frames, arg_min(label, (day, label)) AS first, arg_max(label, (day, label)) AS last FROM d GROUP BY video""",
+    "ingest_totals": f"{WITH_OBS} SELECT count(DISTINCT video) AS n_videos, count(*) AS n_items FROM obs",
+    "event_id_migration": "SELECT 'v' || o_custkey || ':rule:v' || o_custkey || ':' || o_orderkey AS old, 'v' || o_custkey || ':rule:' || o_orderkey AS new FROM orders",
+    "source_map_upsert": "SELECT n_name AS video_name, CASE WHEN n_regionkey = 2 THEN 102 ELSE n_regionkey END::BIGINT AS source FROM nation",
+    "segment_status": f"""WITH {_SPANS}, b AS (SELECT track, bool_or(event_type = 'view') AS built FROM spans GROUP BY track)
+        SELECT DISTINCT c_custkey::VARCHAR AS video_id, CASE WHEN track IS NULL THEN 'no_events' WHEN NOT built THEN 'empty_segments' ELSE 'built' END AS status FROM customer LEFT JOIN b ON track = c_custkey""",
+    "clip_checks": f"{WITH_OBS} SELECT event_id, cy >= 0 AND cx > cy AND cx - cy <= 60 AS valid, label = 'view' AS allowed FROM obs",
+    "best_of_each_video": """WITH b AS (SELECT o_orderstatus AS mode, o_custkey || '.mp4' AS video_name, max(o_totalprice) AS score FROM orders GROUP BY o_orderstatus, o_custkey)
+        SELECT mode, video_name, score, row_number() OVER (PARTITION BY mode ORDER BY score DESC, replace(video_name, '.mp4', '')) AS rank FROM b QUALIFY rank <= 5""",
+    "stream_red_phases": """WITH m AS (SELECT max(epoch_us(ts)) - 10000000 AS mark FROM events),
+        r AS (SELECT user_id % 10 AS video, epoch_us(ts) AS u FROM events WHERE event_type = 'error'),
+        g AS (SELECT video, u, CASE WHEN u - lag(u) OVER (PARTITION BY video ORDER BY u) <= 7200000000 THEN 0 ELSE 1 END AS opens FROM r),
+        i AS (SELECT *, sum(opens) OVER (PARTITION BY video ORDER BY u ROWS UNBOUNDED PRECEDING) AS island FROM g)
+        SELECT video, min(u) AS phase_start, max(u) AS phase_end FROM i, m GROUP BY video, island, mark HAVING max(u) + 7200000000 <= mark""",
+    "stream_retained": """WITH n AS (SELECT event_id, user_id % 10 AS video, event_type, row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_id) AS n FROM events),
+        h AS (SELECT *, last_value(CASE WHEN event_type = 'purchase' THEN n END IGNORE NULLS) OVER (PARTITION BY video ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS hit FROM n)
+        SELECT video, event_id FROM h WHERE n - hit <= 5""",
 }

@@ -82,3 +82,8 @@ def segments(docs: DataFrame) -> DataFrame:
 def video_of_frame(detection_rows: DataFrame) -> DataFrame:
     """frame_path to the video of the first file (by name) that holds it."""
     return detection_rows.groupBy("frame_path").agg(F.min_by("video_id", "file").alias("video_id"))
+
+
+def frames_by_video(frames: DataFrame) -> DataFrame:
+    """video_id with its frames (ts, frame_path) in order of time.  One row holds one video's frames."""
+    return frames.groupBy("video_id").agg(F.sort_array(F.collect_set(F.struct("ts", "frame_path"))).alias("frames"))
