@@ -1,9 +1,9 @@
 """URL filter: fixed host and path rules first, link-graph propagation for every other host.
 
 Rules decide where one fits (the longest wins).  The rest is judged by its host: personalised
-PageRank carries trust forward from hosts with allowed pages and distrust backward, over the reversed
-edges, from hosts with blocked pages.  A host is blocked when its distrust reaches THRESHOLD and is
-greater than its trust.
+PageRank carries trust forward from hosts most of whose pages are allowed by rule and distrust backward,
+over the reversed edges, from hosts most of whose pages are blocked by rule.  A host is blocked when its
+distrust reaches THRESHOLD and is greater than its trust.
 
 Scale: html is read once; edges are pre-aggregated per (from, to) host before the shuffle, a hot host is
 split by AQE's skew join, and each round is a join and a partially aggregated sum of host rows only.
@@ -83,11 +83,11 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataF
     return ranks
 
 
-def _seeds(judged: DataFrame, verdict: str) -> DataFrame:
-    """host, seed: the share of pages with this verdict by rule that the host has."""
-    own = staged(judged.where(F.col("found.verdict") == verdict).groupBy("host").agg(F.count("*").alias("n")), "host-seeds")
-    total = own.agg(F.sum("n")).first()[0] or 1
-    return own.select("host", (F.col("n") / F.lit(total)).alias("seed"))
+def _seeds(hosts: DataFrame, verdict: str) -> DataFrame:
+    """host, seed: the hosts most of whose pages have this verdict by rule, weighed by those pages."""
+    own = hosts.where(F.col(verdict) * 2 > F.col("n")).select("host", F.col(verdict).alias("own"))
+    total = own.agg(F.sum("own")).first()[0] or 1
+    return own.select("host", (F.col("own") / F.lit(total)).alias("seed"))
 
 
 def judge(pages: DataFrame, rules=RULES, rounds: int = ROUNDS) -> DataFrame:
@@ -95,9 +95,11 @@ def judge(pages: DataFrame, rules=RULES, rounds: int = ROUNDS) -> DataFrame:
     split = split_url(pages)
     edges = staged(host_edges(split), "host-links")
     judged = split.select("page_id", "host", "path", _rule(rules).alias("found"))
+    ruled = [F.count_if(F.col("found.verdict") == v).alias(v) for v in ("allow", "block")]
+    hosts = staged(judged.groupBy("host").agg(F.count("*").alias("n"), *ruled), "page-hosts")
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    trust = propagate(edges, _seeds(judged, "allow"), rounds).withColumnRenamed("rank", "trust")
-    doubt = propagate(back, _seeds(judged, "block"), rounds).withColumnRenamed("rank", "distrust")
+    trust = propagate(edges, _seeds(hosts, "allow"), rounds).withColumnRenamed("rank", "trust")
+    doubt = propagate(back, _seeds(hosts, "block"), rounds).withColumnRenamed("rank", "distrust")
     scores = staged(trust.join(doubt, "host", "full"), "host-scores").withColumnRenamed("host", "_host")
     joined = judged.join(scores, judged["host"] == scores["_host"], "left").drop("_host")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
