@@ -65,10 +65,10 @@ def points_in_intervals(points: DataFrame, key: str, at: str, intervals: DataFra
 
     Long intervals are cut into buckets of time, so the join key is (key, bucket)."""
     lanes = F.sequence(F.floor(F.col(start) / bucket).cast("long"), F.floor((F.col(end) + eps) / bucket).cast("long"))
-    cut = intervals.select(F.col(key).alias("_k"), F.col(start).alias("_s"), F.col(end).alias("_e"), F.explode(lanes).alias("_b"))
-    own = points.withColumn("_at", F.floor(F.col(at) / bucket).cast("long"))
+    cut = intervals.select(F.col(key).alias("_k"), F.col(start).alias("_s"), F.col(end).alias("_e"), F.explode(lanes).alias("_lane_of"))
+    own = points.withColumn("_lane", F.floor(F.col(at) / bucket).cast("long"))
     inside = (F.col(at) >= F.col("_s")) & (F.col(at) <= F.col("_e") + eps)
-    return own.join(cut, (F.col(key) == F.col("_k")) & (F.col("_at") == F.col("_b")) & inside, "left_semi").drop("_at")
+    return own.join(cut, (F.col(key) == F.col("_k")) & (F.col("_lane") == F.col("_lane_of")) & inside, "left_semi").drop("_lane")
 
 
 def nearest_state(points: DataFrame, key: str, at: str, row_id: str, states: DataFrame, state_at: str, rank: list, within: float, columns: list[str]) -> DataFrame:
@@ -76,10 +76,10 @@ def nearest_state(points: DataFrame, key: str, at: str, row_id: str, states: Dat
 
     States are entered in their own and both neighbouring buckets of width `within`; points without a state go."""
     lane = F.floor(F.col(state_at) / within).cast("long")
-    near = states.select(F.col(key).alias("_k"), F.col(state_at).alias("_t"), *[F.col(c).alias(f"state_{c}") for c in columns], *[r.alias(f"_r{i}") for i, r in enumerate(rank)], F.explode(F.array(lane - 1, lane, lane + 1)).alias("_b"))
-    own = points.withColumn("_at", F.floor(F.col(at) / within).cast("long"))
+    near = states.select(F.col(key).alias("_k"), F.col(state_at).alias("_t"), *[F.col(c).alias(f"state_{c}") for c in columns], *[r.alias(f"_r{i}") for i, r in enumerate(rank)], F.explode(F.array(lane - 1, lane, lane + 1)).alias("_lane_of"))
+    own = points.withColumn("_lane", F.floor(F.col(at) / within).cast("long"))
     gap = F.abs(F.col("_t") - F.col(at))
-    met = own.join(near, (F.col(key) == F.col("_k")) & (F.col("_at") == F.col("_b")) & (gap <= within))
+    met = own.join(near, (F.col(key) == F.col("_k")) & (F.col("_lane") == F.col("_lane_of")) & (gap <= within))
     order = F.struct(gap.alias("gap"), *[F.col(f"_r{i}") for i in range(len(rank))])
     best = met.groupBy(*points.columns).agg(F.min_by(F.struct(*[F.col(f"state_{c}") for c in columns], F.col("_t").alias("state_at")), order).alias("_s"))
     return best.select(*points.columns, "_s.*")

@@ -6,7 +6,7 @@ used only where a rule looks at neighbours or at a position.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions import geometry
@@ -58,42 +58,36 @@ def positioned(points: DataFrame, key: list[str], t: str, tie: str) -> DataFrame
     return points.withColumn("i", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(Window.partitionBy(*key)))
 
 
-def main_direction(placed: DataFrame, key: list[str], start: float = 0.25, end: float = 0.75) -> DataFrame:
-    """Unit vector of the middle stretch of each track; ends at the half-even rounded fractions, one step at least."""
+def middle_stretch(start: float = 0.25, end: float = 0.75) -> tuple[Column, Column]:
+    """First and last place of the middle stretch of a placed track: half-even rounded fractions, one step at least."""
     last = F.col("n") - 1
-    low = F.bround(last * min(max(start, 0.0), 1.0))
-    high = F.bround(last * min(max(end, 0.0), 1.0))
-    high = F.when(high <= low, F.least(low + 1, last)).otherwise(high)
-    ends = placed.where("n >= 2").groupBy(*key).agg(
-        F.max(F.when(F.col("i") == low, F.struct("cx", "cy"))).alias("a"),
-        F.max(F.when(F.col("i") == high, F.struct("cx", "cy"))).alias("b"),
-        F.max(F.when(F.col("i") == 0, F.struct("cx", "cy"))).alias("first"),
-        F.max(F.when(F.col("i") == last, F.struct("cx", "cy"))).alias("last"),
-    )
-    ux, uy = geometry.unit(F.col("b.cx") - F.col("a.cx"), F.col("b.cy") - F.col("a.cy"))
-    vx, vy = geometry.unit(F.col("last.cx") - F.col("first.cx"), F.col("last.cy") - F.col("first.cy"))
-    return ends.select(*key, F.coalesce(ux, vx).alias("ux"), F.coalesce(uy, vy).alias("uy"), F.hypot(F.col("last.cx") - F.col("first.cx"), F.col("last.cy") - F.col("first.cy")).alias("displacement"))
+    low, high = (F.bround(last * min(max(f, 0.0), 1.0)) for f in (start, end))
+    return low, F.when(high <= low, F.least(low + 1, last)).otherwise(high)
+
+
+def marked_contacts(placed: DataFrame, key: list[str], line) -> DataFrame:
+    """placed with by_box (the box touches the line) and by_path (the centre's step here crosses it)."""
+    w = Window.partitionBy(*key).orderBy("i")
+    (ax, ay), (bx, by) = line
+    crossed = geometry.segments_touch((F.lag("cx").over(w), F.lag("cy").over(w)), (F.col("cx"), F.col("cy")), (ax, ay), (bx, by))
+    boxed = geometry.box_touches_line(*(F.col(f"box.{k}") for k in ("x1", "y1", "x2", "y2")), line)
+    return placed.withColumn("by_box", boxed).withColumn("by_path", F.coalesce(crossed & (F.col("i") > 0), F.lit(False)))
 
 
 def line_contacts(placed: DataFrame, key: list[str], t: str, line, min_displacement: float = 10.0) -> DataFrame:
     """First contact of each track with a line: contact_i, contact_t, mode.
 
     A box that touches the line counts before any crossing of the centre's path, wherever it is in the track."""
-    w = Window.partitionBy(*key).orderBy("i")
-    (ax, ay), (bx, by) = line
-    crossed = geometry.segments_touch((F.lag("cx").over(w), F.lag("cy").over(w)), (F.col("cx"), F.col("cy")), (ax, ay), (bx, by))
-    marked = placed.withColumn("_box", geometry.box_touches_line(*(F.col(f"box.{k}") for k in ("x1", "y1", "x2", "y2")), line))
-    marked = marked.withColumn("_path", F.coalesce(crossed & (F.col("i") > 0), F.lit(False)))
     here = F.struct(F.col("i"), F.col(t).alias("t"))
-    found = marked.groupBy(*key).agg(
-        F.min(F.when(F.col("_box"), here)).alias("by_box"),
-        F.min(F.when(F.col("_path"), here)).alias("by_path"),
+    found = marked_contacts(placed, key, line).groupBy(*key).agg(
+        F.min(F.when(F.col("by_box"), here)).alias("_box"),
+        F.min(F.when(F.col("by_path"), here)).alias("_path"),
         F.min_by(F.struct("cx", "cy"), "i").alias("a"),
         F.max_by(F.struct("cx", "cy"), "i").alias("b"),
         F.max("n").alias("n"),
     )
     moved = F.hypot(F.col("b.cx") - F.col("a.cx"), F.col("b.cy") - F.col("a.cy"))
-    found = found.where((F.col("n") >= 2) & (moved >= max(min_displacement, 0.0)) & F.coalesce("by_box", "by_path").isNotNull())
-    mode = F.when(F.col("by_box").isNotNull(), F.lit("vehicle_bbox")).otherwise("trajectory_center")
-    hit = F.coalesce("by_box", "by_path")
+    found = found.where((F.col("n") >= 2) & (moved >= max(min_displacement, 0.0)) & F.coalesce("_box", "_path").isNotNull())
+    mode = F.when(F.col("_box").isNotNull(), F.lit("vehicle_bbox")).otherwise("trajectory_center")
+    hit = F.coalesce("_box", "_path")
     return found.select(*key, hit["i"].alias("contact_i"), hit["t"].alias("contact_t"), mode.alias("mode"))
