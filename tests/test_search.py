@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracelake.operators import channels, intervals
+from tracelake.operators import channels, intervals, tracking
 from tracelake.plans import hybrid, ingest, intent
 from tracelake.sources import files, layers, schemas, sinks
 from tracelake.streaming import streams
@@ -197,3 +197,14 @@ def test_stream_twins(spark, tmp_path):
     for epoch in (0, 0, 1):
         write(small, epoch)
     assert spark.read.parquet(table_path).count() == 1
+
+
+def test_tracking_stream_twin(spark, tmp_path):
+    rows = [(v, "car", float(t), f"f{t:02d}", 10.0 + 5 * t + off, 10.0, 50.0 + 5 * t + off, 50.0, 0.9) for v in "ab" for t in range(12) for off in (0.0, 300.0)]
+    df = spark.createDataFrame(rows, "video_id string, label string, t double, frame_path string, x1 double, y1 double, x2 double, y2 double, conf double")
+    df = df.withColumn("at", F.timestamp_seconds("t"))
+    for part in range(2):
+        df.where((F.col("t") < 6) if part == 0 else (F.col("t") >= 6)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got = streams.drained(streams.tracked(streams.source(spark, str(tmp_path / "in"), df.schema, 1), "at"), "tracked_twin")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, tracking.tracked(df).collect()))
+    assert {r["track_id"] for r in got.collect()} == {"a:1", "a:2", "b:1", "b:2"}

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 
 HIGH, LOW, START, BUFFER, MATCH = 0.25, 0.1, 0.25, 30, 0.8
 SCHEMA = "video_id string, track_id string, label string, t double, frame_path string, x1 double, y1 double, x2 double, y2 double, conf double"
+_COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
 def _overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -39,33 +40,45 @@ def _match(tracks: list[dict], boxes: np.ndarray, labels, conf: np.ndarray, leas
     return out
 
 
-def track_video(rows: pd.DataFrame) -> pd.DataFrame:
-    """Tracks of one video; rows with a missing box are skipped, as are repeats of a track's last point."""
-    rows = rows.dropna(subset=["x1", "y1", "x2", "y2", "conf"])
-    rows = rows[rows["conf"] >= LOW].sort_values(["t", "frame_path", "conf"], ascending=[True, True, False], kind="stable")
-    live: list[dict] = []
-    out, made = [], 0
-    for frame, (_, own) in enumerate(rows.groupby(["t", "frame_path"], sort=True)):
+class Tracker:
+    """State of one video: tracks that may go on, tracks made so far, frames seen."""
+
+    def __init__(self, live: list[dict] | None = None, made: int = 0, frames: int = 0):
+        self.live, self.made, self.frames = live or [], made, frames
+
+    def advance(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """Track points of the next frames; rows with a missing box are skipped."""
+        rows = rows.dropna(subset=["x1", "y1", "x2", "y2", "conf"])
+        rows = rows[rows["conf"] >= LOW].sort_values(["t", "frame_path", "conf"], ascending=[True, True, False], kind="stable")
+        out = []
+        for _, own in rows.groupby(["t", "frame_path"], sort=True):
+            out += [(n, own.iloc[k]) for n, k in self._frame(own)]
+        return pd.DataFrame([{**r.to_dict(), "track_id": f"{r['video_id']}:{n}"} for n, r in out], columns=_COLUMNS)
+
+    def _frame(self, own: pd.DataFrame) -> list[tuple[int, int]]:
+        frame, self.frames = self.frames, self.frames + 1
         boxes, conf, labels = own[["x1", "y1", "x2", "y2"]].to_numpy(float), own["conf"].to_numpy(float), own["label"].tolist()
-        strong = conf >= HIGH
-        free = set(range(len(own)))
-        for stage, least in ((strong, 1 - MATCH), (~strong, 0.5)):
-            todo = [t for t in live if t["seen"] != frame]
-            index = np.flatnonzero(stage)
-            for i, j in _match(todo, boxes[index], [labels[k] for k in index], np.ones(len(index)) if stage is not strong else conf[index], least * 0.25):
+        strong, free, out = conf >= HIGH, set(range(len(own))), []
+        for stage, weight, least in ((strong, conf, (1 - MATCH) * 0.25), (~strong, np.ones(len(own)), 0.125)):
+            todo, index = [t for t in self.live if t["seen"] != frame], np.flatnonzero(stage)
+            for i, j in _match(todo, boxes[index], [labels[k] for k in index], weight[index], least):
                 t, k = todo[i], int(index[j])
                 t["step"] = 0.5 * t["step"] + 0.5 * (boxes[k] - t["box"]) / max(1, frame - t["seen"])
-                t["box"], t["seen"], t["row"] = boxes[k], frame, k
+                t["box"], t["seen"] = boxes[k], frame
                 free.discard(k)
-                out.append((t["id"], own.iloc[k]))
+                out.append((t["id"], k))
         for k in sorted(free):
             if conf[k] >= START:
-                made += 1
-                live.append({"id": made, "box": boxes[k], "step": np.zeros(4), "label": labels[k], "seen": frame})
-                out.append((made, own.iloc[k]))
-        live = [t for t in live if frame - t["seen"] <= BUFFER]
-    made_rows = pd.DataFrame([{**r.to_dict(), "track_id": f"{r['video_id']}:{n}"} for n, r in out], columns=[c.split()[0] for c in SCHEMA.split(", ")])
-    return made_rows.drop_duplicates(["track_id", "t", "x1", "y1", "x2", "y2"])
+                self.made += 1
+                self.live.append({"id": self.made, "box": boxes[k], "step": np.zeros(4), "label": labels[k], "seen": frame})
+                out.append((self.made, k))
+        self.live = [t for t in self.live if frame - t["seen"] <= BUFFER]
+        return out
+
+
+def track_video(rows: pd.DataFrame) -> pd.DataFrame:
+    """Tracks of one whole video, without repeats of a track's point."""
+    return Tracker().advance(rows).drop_duplicates(["track_id", "t", "x1", "y1", "x2", "y2"])
 
 
 def tracked(detections: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ the watermark are dropped and state is bounded; each has a batch twin in operato
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tracelake.operators import tracking
 from tracelake.sources import sinks
 
 LATE = "10 seconds"
@@ -63,6 +65,20 @@ def retained(frames: DataFrame, key: str, index: str, hit: str, at: str, keep: i
     )
 
 
+def tracked(detections: DataFrame, at: str, late: str = LATE) -> DataFrame:
+    """Track points of a stream of detections (tracking.tracked's columns and an event time `at`).
+
+    The state of a video is its open tracks.  Frames of a trigger are put in order; a trigger must not hold half a frame."""
+
+    def step(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        tracker = pickle.loads(state.get[0]) if state.exists else tracking.Tracker()
+        yield tracker.advance(pd.concat(list(parts)))
+        state.update((pickle.dumps(tracker),))
+
+    rows = detections.withWatermark(at, late).groupBy("video_id")
+    return rows.applyInPandasWithState(step, tracking.SCHEMA, "tracker binary", "append", GroupStateTimeout.NoTimeout)
+
+
 def upsert_into(path: str):
     """foreachBatch sink: replaces the partitions of the videos in each batch, so a repeated batch changes nothing."""
 
