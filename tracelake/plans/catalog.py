@@ -701,7 +701,7 @@ ORACLE_SQL = {
     "clip_checks": f"{WITH_OBS} SELECT event_id, cy >= 0 AND cx > cy AND cx - cy <= 60 AS valid, label = 'view' AS allowed FROM obs",
     "best_of_each_video": """WITH b AS (SELECT o_orderstatus AS mode, o_custkey || '.mp4' AS video_name, max(o_totalprice) AS score FROM orders GROUP BY o_orderstatus, o_custkey)
         SELECT mode, video_name, score, row_number() OVER (PARTITION BY mode ORDER BY score DESC, replace(video_name, '.mp4', '')) AS rank FROM b QUALIFY rank <= 5""",
-    "stream_red_phases": """WITH m AS (SELECT max(epoch_us(ts)) - 10000000 AS mark FROM events),
+    "stream_red_phases": """WITH m AS (SELECT max(epoch_us(ts)) - 10000000 AS mark FROM events WHERE event_type = 'error'),
         r AS (SELECT user_id % 10 AS video, epoch_us(ts) AS u FROM events WHERE event_type = 'error'),
         g AS (SELECT video, u, CASE WHEN u - lag(u) OVER (PARTITION BY video ORDER BY u) <= 7200000000 THEN 0 ELSE 1 END AS opens FROM r),
         i AS (SELECT *, sum(opens) OVER (PARTITION BY video ORDER BY u ROWS UNBOUNDED PRECEDING) AS island FROM g)

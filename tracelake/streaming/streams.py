@@ -39,7 +39,7 @@ def sessions(events: DataFrame, at: str, gap: str, key: str, late: str = LATE) -
 
 
 def red_phases(lights: DataFrame, at: str, gap: str, key: str, late: str = LATE) -> DataFrame:
-    """Continuous red phases of each key."""
+    """Continuous red phases of each key.  Time moves on with red rows only: the filter runs before the watermark."""
     return sessions(lights.where("state = 'red'"), at, gap, key, late).select(key, F.col("start").alias("phase_start"), F.col("last").alias("phase_end"))
 
 
