@@ -45,3 +45,10 @@ def test_native_and_empty(spark):
     assert df.collect() == []
     plan = df._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_whole_dialogue_whatever_its_turn_numbers(spark):
+    made = [(1, 511, "ann", "hi"), (1, 512, "bob", "yes"), (2, 0, "system", "be kind")] + [(2, t, f"p{t % 2}", f"turn {t}") for t in range(1, 1200)] + [(3, 1_700_000_000, "ann", "a"), (3, 1_700_009_999, "bob", "b")]
+    got = op.rotate(spark.createDataFrame(made, TURNS)).collect()
+    assert {(r["conv_id"], r["part"], r["perspective"]): (r["n_turns"], r["text"], r["spans"]) for r in got} == brute(made, 1 << 40)
+    assert len(got) == 6 and all("be kind" in r["text"] for r in got if r["conv_id"] == 2)

@@ -4,9 +4,9 @@ For every participant of a dialogue, the dialogue is rendered with that speaker
 the others as named users; only the assistant's words (and the end marker after them) are trained
 on.  `spans` holds those character ranges, `mask` the same as run lengths.
 
-A conversation is rendered in parts of PART_TURNS consecutive turn numbers, so that a task holds a
-bounded piece of even the longest conversation and one part is one training text; a speaker gets a
-text of each part in which they speak.  One shuffle, by (conversation, part); SQL functions only.
+A conversation is rendered whole, as part 0, whatever its turn numbers are, so a task holds the longest conversation
+once per participant.  Only a caller that asks for `part_turns` gets parts of that many consecutive turn numbers; a
+speaker then has a text of each part in which they speak.  One shuffle, by (conversation, part); SQL functions only.
 
 Defined results: rows repeated in all of conversation, turn, role and text are one turn; other rows of
 the same turn follow each other by role, then text; a null role is the speaker `unknown`, a null text is empty, a null
@@ -22,11 +22,10 @@ from pyspark.sql import functions as F
 
 from tracelake.llm.common import table
 
-PART_TURNS = 512
 CONTEXT_ROLE = "system"
 
 
-def rotate(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
+def rotate(turns: DataFrame, part_turns: int | None = None) -> DataFrame:
     """conv_id, part, perspective, n_turns, n_trained (characters), text, mask, spans."""
     clean = turns.select(
         F.col("conv_id"),
@@ -34,7 +33,8 @@ def rotate(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
         F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"),
         F.replace(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("<|"), F.lit("<\\|")).alias("body"),
     )
-    part = F.greatest(F.lit(0).cast("long"), F.floor(F.col("turn") / part_turns).cast("long"))
+    first = F.lit(0).cast("long")
+    part = F.greatest(first, F.floor(F.col("turn") / part_turns).cast("long")) if part_turns else first
     parts = clean.groupBy("conv_id", part.alias("part")).agg(
         F.sort_array(F.collect_set(F.struct("turn", "role", "body"))).alias("turns")
     )
