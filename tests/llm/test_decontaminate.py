@@ -82,3 +82,17 @@ def test_empty_tables(spark, documents):
     none = spark.createDataFrame([], "item_id long, text string")
     assert op.decontaminate(documents([]), none).collect() == []
     assert [r["contaminated"] for r in op.decontaminate(documents([(1, "a b")]), none).collect()] == [False]
+
+
+def test_removal_does_not_depend_on_the_blocks(spark, documents):
+    docs, items = corpus()
+    w = [f"w{i}" for i in range(40)]
+    items += [(100 + i, " ".join(w[i : i + 10])) for i in range(0, 25, 3)]  # overlapping phrases, of different blocks
+    items += [(200, "aa1 bb1 cc1 dd1"), (201, "zz1 yy1 xx1")]
+    docs += [(500, "start " + " ".join(w) + " end"), (501, "aa1 bb1 zz1 yy1 xx1 cc1 dd1 left"), (502, "zz1 aa1 bb1 cc1 dd1 yy1 xx1 left")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    want = {(r["doc_id"], r["text"]) for r in op.without_hits(documents(docs), benchmark).collect()}
+    left = op.without_hits(documents(docs), benchmark, block_bytes=150)
+    assert {(r["doc_id"], r["text"]) for r in left.collect()} == want
+    texts = [(r["doc_id"], r["text"]) for r in left.collect()]
+    assert not any(r[5] for r in brute(texts, items))

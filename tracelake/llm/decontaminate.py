@@ -341,38 +341,41 @@ def _cut(text: str | None, edges: list[int]) -> str | None:
     return b"".join(out).decode()
 
 
-def without_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard: int = SHARD) -> DataFrame:
+def without_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard: int = SHARD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents with every hit span removed from their text; all columns stay.
 
-    The benchmark must fit one block (BLOCK_BYTES); larger ones are removed block by block."""
+    The spans of all blocks are found on the same text and cut at once, again until no block hits.  Of a benchmark of
+    several blocks a task holds one at a time and loads them anew for every chunk of rows."""
     spark = docs.sparkSession
     small_batches(spark)
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").alias("text"))
     items = items.where("text is not null and text <> ''")
-    blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
+    blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
     at = docs.columns.index("text")
 
-    def remover(phrases):
-        def remove(batches):
-            block = phrases.value
-            for batch in chunks(batches, CHUNK_BYTES):
-                made = batch.column(at).to_pylist()
-                todo = list(range(len(made)))
-                while todo:  # what a cut joins may be a phrase again
-                    spans = search(block, [(made[i] or "").encode() for i in todo], shard)[2]
-                    for i, own in zip(todo, spans, strict=True):
-                        made[i] = _cut(made[i], [x for s in own for x in s])
-                    todo = [i for i, own in zip(todo, spans, strict=True) if own]
-                yield batch.set_column(at, batch.schema.field(at), pa.array(made, batch.schema.field(at).type))
-
-        return remove
-
-    out = docs
+    def remove(batches):
+        for batch in chunks(batches, CHUNK_BYTES):
+            made = batch.column(at).to_pylist()
+            todo = list(range(len(made)))
+            while todo:  # what a cut joins may be a phrase again, of any block
+                texts = [(made[i] or "").encode() for i in todo]
+                spans: list[list[int]] = [[] for _ in todo]
+                for phrases in every:
+                    for flat, own in zip(spans, search(phrases.value, texts, shard)[2], strict=True):
+                        flat += [x for s in own for x in s]
+                    if len(every) > 1:
+                        phrases.__dict__.pop("_value", None)  # read again from its file when needed
+                for i, flat in zip(todo, spans, strict=True):
+                    made[i] = _cut(made[i], _merged(flat))
+                todo = [i for i, flat in zip(todo, spans, strict=True) if flat]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(made, batch.schema.field(at).type))
+
+    every = []
     for b in range(blocks):
         own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
         block = Phrases([(r["item"], r["text"].encode()) for r in own.toLocalIterator()], window)
-        out = out.mapInArrow(remover(spark.sparkContext.broadcast(block)), docs.schema)
-    return out
+        every.append(spark.sparkContext.broadcast(block))
+    return docs.mapInArrow(remove, docs.schema)
 
 
 def op3_decontaminate(spark, sf_dir):
