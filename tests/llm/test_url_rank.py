@@ -46,3 +46,12 @@ def test_links_carry_distrust_backwards(spark):
 
 def test_empty(spark):
     assert op.judge(spark.createDataFrame([], PAGES)).collect() == []
+
+
+def test_verdicts_do_not_depend_on_the_size_of_the_table(spark):
+    farms = [(10 + i, f"http://farm{i}.io/a", '<a href="http://bad.net/x">t</a>') for i in range(40)]
+    rows = [(1, "http://bad.net/x", None), *farms, (60, "http://hub.io/a", '<a href="http://farm0.io/">t</a>')]
+    small = {r["page_id"]: r["verdict"] for r in op.judge(spark.createDataFrame(rows, PAGES)).collect()}
+    many = spark.range(100, 20_000_100).selectExpr("id as page_id", "'http://other.net/x' as url", "cast(null as string) as html")
+    large = op.judge(spark.createDataFrame(rows, PAGES).union(many)).where("page_id < 100").collect()
+    assert {r["page_id"]: r["verdict"] for r in large} == small and set(small.values()) == {"block"}

@@ -3,7 +3,8 @@
 Rules decide where one fits (the longest wins).  The rest is judged by its host: personalised
 PageRank carries trust forward from hosts most of whose pages are allowed by rule and distrust backward,
 over the reversed edges, from hosts most of whose pages are blocked by rule.  A host is blocked when its
-distrust reaches THRESHOLD and is greater than its trust.
+distrust, counted in pages of the blocked hosts (rank times all such pages, so that the size of the table does not
+matter), reaches THRESHOLD and its distrust is greater than its trust.
 
 Scale: html is read once; edges are pre-aggregated per (from, to) host before the shuffle, a hot host is
 split by AQE's skew join, and each round is a join and a partially aggregated sum of host rows only.
@@ -83,11 +84,11 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataF
     return ranks
 
 
-def _seeds(hosts: DataFrame, verdict: str) -> DataFrame:
-    """host, seed: the hosts most of whose pages have this verdict by rule, weighed by those pages."""
+def _seeds(hosts: DataFrame, verdict: str) -> tuple[DataFrame, int]:
+    """host, seed: the hosts most of whose pages have this verdict by rule, weighed by those pages; and all those pages."""
     own = hosts.where(F.col(verdict) * 2 > F.col("n")).select("host", F.col(verdict).alias("own"))
     total = own.agg(F.sum("own")).first()[0] or 1
-    return own.select("host", (F.col("own") / F.lit(total)).alias("seed"))
+    return own.select("host", (F.col("own") / F.lit(total)).alias("seed")), total
 
 
 def judge(pages: DataFrame, rules=RULES, rounds: int = ROUNDS) -> DataFrame:
@@ -98,12 +99,13 @@ def judge(pages: DataFrame, rules=RULES, rounds: int = ROUNDS) -> DataFrame:
     ruled = [F.count_if(F.col("found.verdict") == v).alias(v) for v in ("allow", "block")]
     hosts = staged(judged.groupBy("host").agg(F.count("*").alias("n"), *ruled), "page-hosts")
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    trust = propagate(edges, _seeds(hosts, "allow"), rounds).withColumnRenamed("rank", "trust")
-    doubt = propagate(back, _seeds(hosts, "block"), rounds).withColumnRenamed("rank", "distrust")
+    good, (bad, blocked) = _seeds(hosts, "allow")[0], _seeds(hosts, "block")
+    trust = propagate(edges, good, rounds).withColumnRenamed("rank", "trust")
+    doubt = propagate(back, bad, rounds).withColumnRenamed("rank", "distrust")
     scores = staged(trust.join(doubt, "host", "full"), "host-scores").withColumnRenamed("host", "_host")
     joined = judged.join(scores, judged["host"] == scores["_host"], "left").drop("_host")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
-    method = F.when((distrust >= THRESHOLD) & (distrust > trust), F.lit("block")).otherwise(F.lit("allow"))
+    method = F.when((distrust * F.lit(blocked) >= THRESHOLD) & (distrust > trust), F.lit("block")).otherwise(F.lit("allow"))
     return joined.select(
         "page_id",
         "host",
