@@ -8,8 +8,7 @@ proportion (BIC) is selected.  The prediction is the largest proportion of that
 that proportion.
 
 Training reads text and lang of rows that are not held out, at most TRAIN_PER_LANGUAGE documents of a
-language (chosen by a hash of the id); the table has BUCKETS x languages numbers, and the MAX_LANGUAGES most
-frequent labels are learned.  Inference is a map over whole texts; nothing is shuffled.
+language (chosen by a hash of the id); every label is learned, so the table has BUCKETS x labels numbers.  Inference is a map over whole texts; nothing is shuffled.
 
 Defined results: a null text or one without a letter is `und` with score 0, as is everything when there
 is no labelled row; labels that are null are not learned from; equal texts get equal
@@ -31,8 +30,8 @@ from tracelake.llm.textbytes import byte_texts, chunks, joined, word_edges
 
 BUCKETS = 1 << 16
 TRAIN_PER_LANGUAGE = 3000
-MAX_LANGUAGES = 64
-MAX_SET = 4
+#: Sets of up to TRIED languages are always tried, larger ones while each improves on the one before.
+TRIED = 4
 CHUNK_BYTES = 3 << 20
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -83,12 +82,13 @@ class Model:
         self.table = np.log(smoothed / smoothed.sum(0)).astype(np.float32)
 
 
-def train(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> Model:
+def train(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, max_languages: int | None = None) -> Model:
     """Learn from text and lang of rows that are not held out."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
-    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang")
+    found = (found.limit(max_languages) if max_languages else found).collect()
     languages = sorted(r["lang"] for r in found)
     counts = np.zeros((BUCKETS, len(languages)), np.int64)
     if not languages:
@@ -97,7 +97,7 @@ def train(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, max_languages
     ticket = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     kept = rows.where(F.col("lang").isin(languages)).where(ticket < share).select("text", "lang")
     grams = kept.mapInArrow(_count(languages), "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    got = grams.toPandas()  # at most BUCKETS x max_languages numbers
+    got = grams.toPandas()  # at most BUCKETS x labels numbers
     counts[got["bucket"].to_numpy(), got["lang"].to_numpy()] = got["n"].to_numpy()
     return Model(languages, counts)
 
@@ -131,13 +131,16 @@ def infer(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray, np.nda
     pi, _ = _em(like, first, size, np.full((len(docs), langs), 1.0 / langs, np.float32), 6)
     order = np.argsort(-pi, axis=1, kind="stable")
     best_value, best_pi, best_k = np.full(len(docs), -np.inf), np.zeros((len(docs), langs)), np.ones(len(docs), np.int64)
-    for k in range(1, min(MAX_SET, langs) + 1):
+    for k in range(1, langs + 1):
+        going = (best_k == k - 1) | (k <= TRIED)
+        if not going.any():
+            break
         top = order[:, :k]
         part = np.take_along_axis(like, np.repeat(top, size, axis=0), axis=1)
         start_pi = np.take_along_axis(pi, top, axis=1)
         fit, value = _em(part, first, size, start_pi / start_pi.sum(1, keepdims=True), 3 if k > 1 else 0)
         value = value - 0.5 * (k - 1) * np.log(size + 1.0)
-        better = value > best_value
+        better = going & (value > best_value)
         best_value[better], best_k[better] = value[better], k
         best_pi[better] = 0
         rows = np.flatnonzero(better)
@@ -153,7 +156,7 @@ def infer(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray, np.nda
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """Per document: doc_id, lang_pred, score, n_languages (of the selected set), proportions."""
     names = model.languages
-    held = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x MAX_LANGUAGES floats at most
+    held = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x labels floats
 
     def run(batches):
         for batch in chunks(batches, CHUNK_BYTES):
