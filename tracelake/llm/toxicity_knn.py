@@ -1,18 +1,20 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
+"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over an inverted index.
 
 Terms are lower-cased words and their prefixes of 4 to 6 letters (so that inflected forms share
-terms), plus marks for two, three and five or more occurrences of terms.  Terms are selected on labelled rows: present in at
-least MIN_TOXIC toxic ones and at least MIN_Z standard errors more often there than elsewhere.  Examples that have a
-selected term are indexed: postings are cut into blocks of examples, and of each term
-the largest weight in each block is kept.  A query's bound on a block is the sum of its weights times
-those maxima; blocks are scored best bound first until the k-th best cosine is above every bound left, so
-the k nearest are exact.  Votes are weighted by a power of the cosine; an isotonic fit over leave-one-out votes
-of the examples turns them into probabilities.  The nearest examples' ids are the evidence.
-
-Training uses at most MAX_LABELLED labelled rows (by a hash of the id), never held-out ones; the index is
-broadcast and bounded by that number and MAX_TERMS.  Scoring is a map over whole texts.
-
-Defined results: rows without a selected term (empty and null texts too) get the rate of toxic rows
+terms), held as 64-bit hashes.  Every example is indexed on all its terms.  A term's weight is its idf times a
+factor that grows with the log-odds (in standard errors) of the term in toxic examples against the others and is
+FLOOR for terms that do not speak for toxicity, so that these count, but little.  Frequent terms are a dense
+matrix and the rest postings; all examples get a rough cosine in single precision, and those that may be among
+the k nearest are scored again in full, so the k nearest are exact.  Votes are weighted by a power of the cosine;
+an isotonic fit over leave-one-out votes of the examples turns them into probabilities (of two steepnesses of the factor
+the one whose votes fit better is kept).  The nearest
+examples' ids are the evidence.
+
+Training uses about MAX_LABELLED labelled rows at most (by a hash of the id, as evenly over class and language as their
+numbers allow), never held-out ones; an example stands in votes and in the fit for all rows of its class and
+language that it was drawn from.  The index is broadcast and bounded by that number.  Scoring is a map over whole texts.
+
+Defined results: rows without an indexed term (empty and null texts too) get the rate of toxic rows
 among examples without one, below the threshold; a doc_id labelled twice counts as toxic if any label says so; null
 labels are not used; without usable labels every score is 0; equal texts get equal scores.
 """
@@ -21,200 +23,319 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import held_out, table
+from tracelake.llm.common import held_out, staged, table
 from tracelake.llm.textbytes import chunks
 
 MAX_LABELLED = 8000
-MAX_TERMS = 4096
-MIN_TOXIC, MIN_Z = 4, 6.0
 NEIGHBOURS = 15
 BLOCK = 32
 POWER = 4
 THRESHOLD = 0.3
 CHUNK_BYTES = 4 << 20
+FLOOR = 0.1
+#: The factor of a term is FLOOR + odds ** power / scale, with the pair that fits the left-out examples best.
+SHARPNESS = ((3, 10.0), (2, 3.0))
+FOLDS = 5
+#: A term that at least one in FREQUENT examples has is a row of the dense matrix, MAX_DENSE terms at most.
+FREQUENT, MAX_DENSE = 32, 2048
+#: Rough cosines are within SLACK of the exact ones.
+SLACK = 1e-4
+QUERIES_AT_ONCE = 128
+CACHED_WORDS = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
 _PREFIXES = (4, 5, 6)
-_MARKS = ((2, "#2"), (3, "#3"), (5, "#5"))
+
+
+def hash_of(term: str) -> int:
+    return int.from_bytes(blake2b(term.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def terms_of(text: str | None) -> Counter:
     """Words and word prefixes of a text with their counts."""
     out: Counter = Counter()
     for word, n in Counter(_WORD.findall((text or "").lower())).items():
-        out[word] += n
-        for size in _PREFIXES:
-            if len(word) > size:
-                out[word[:size] + "*"] += n
+        for term in word_terms(word):
+            out[term] += n
     return out
 
 
+def word_terms(word: str) -> list[str]:
+    return [word, *(word[:size] + "*" for size in _PREFIXES if len(word) > size)]
+
+
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers first[i] .. first[i] + size[i] - 1 of all i, one after the other."""
+    return np.arange(size.sum()) + np.repeat(first - (np.cumsum(size) - size), size)
+
+
+def term_weights(bad: np.ndarray, fine: np.ndarray, n1: float, n0: float, power: int, scale: float) -> np.ndarray:
+    """Idf times the factor of terms in `bad` of n1 toxic and `fine` of n0 other examples."""
+    odds = np.log((bad + 0.5) / (n1 + 1)) - np.log((fine + 0.5) / (n0 + 1))
+    odds = np.maximum(odds / np.sqrt(1 / (bad + 0.5) + 1 / (fine + 0.5)), 0)
+    return np.log(1 + (n0 + n1) / (1 + bad + fine)) * (FLOOR + odds**power / scale)
+
+
 class Index:
-    """Block-max inverted index of labelled examples."""
+    """Inverted index of labelled examples, each on all its terms.
+
+    hashes and counts hold the terms of all examples one after the other, sizes[i] of example i; stands is the
+    number of labelled rows an example stands for."""
 
-    def __init__(self, term_idf: dict[str, float], examples: list[tuple[int, int, dict[str, int]]], empty_rate: float):
-        self.terms = {t: i for i, t in enumerate(sorted(term_idf))}
-        self.idf = np.array([term_idf[t] for t in sorted(term_idf)] + [1.0] * len(_MARKS), np.float64)
+    def __init__(self, ids=(), toxic=(), sizes=(), hashes=(), counts=(), stands=(), empty_rate: float = 0.0):
+        sizes, hashes = np.array(sizes, np.int64), np.asarray(hashes, np.int64)
+        self.ids, self.toxic = np.array(ids, np.int64), np.array(toxic, np.float64)
+        self.stands = np.array(stands, np.float64) / max(np.mean(stands), 1e-9) if len(self.ids) else np.empty(0)
         self.empty_rate = empty_rate
-        self.cache: dict = {}
-        vectors = [(i, y, *self.weights(tf)) for i, y, tf in examples]
-        vectors = sorted((v for v in vectors if len(v[2])), key=lambda v: (tuple(v[2].tolist()), v[0]))
-        self.ids = np.array([v[0] for v in vectors], np.int64)
-        self.toxic = np.array([v[1] for v in vectors], np.float64)
-        blocks = max(1, -(-len(vectors) // BLOCK))
-        self.top = np.zeros((len(self.idf), blocks))
-        # postings by block: a dense (terms of the block x examples) matrix
-        self.blocks = []
-        for b in range(blocks):
-            own = vectors[b * BLOCK : (b + 1) * BLOCK]
-            used = np.unique(np.concatenate([v[2] for v in own])) if own else np.empty(0, np.int64)
+        self.begin = np.append(0, np.cumsum(sizes))
+        self.terms = np.unique(hashes)
+        self.number = np.empty(len(hashes), np.int32)
+        often = np.empty(len(hashes), np.float32)
+        fine, bad = np.zeros(len(self.terms)), np.zeros(len(self.terms))
+        for i, y in enumerate(self.toxic.tolist()):
+            part = slice(self.begin[i], self.begin[i + 1])
+            number = np.searchsorted(self.terms, hashes[part])
+            order = np.argsort(number)
+            self.number[part] = number[order]
+            often[part] = 1 + np.log(np.asarray(counts[part], np.float64)[order])
+            (bad if y else fine)[number] += 1
+        del hashes, counts
+        n1 = self.toxic.sum()
+        n0 = len(self.ids) - n1
+        self.knots = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+        least, sharp = np.inf, SHARPNESS[0]
+        for pair in SHARPNESS if len(self.ids) else ():
+            self._weigh(often, term_weights(bad, fine, n1, n0, *pair))
+            raw = self._left_out(bad, fine, n1, n0, *pair)
+            if (loss := fit_loss(raw, self.toxic, self.stands)) < least:
+                least, sharp, self.knots = loss, pair, isotonic(raw, self.toxic, self.stands)
+        self._weigh(often, term_weights(bad, fine, n1, n0, *sharp))
+
+    def _weigh(self, often: np.ndarray, idf: np.ndarray):
+        """Unit weights of all examples' terms."""
+        self.__dict__.update(idf=idf, weight=None, dense=None, posted=None, owner=None)
+        self.weight = often * idf[self.number].astype(np.float32)
+        for i in range(len(self.ids)):
+            part = self.weight[self.begin[i] : self.begin[i + 1]]
+            part /= np.sqrt((part.astype(np.float64) ** 2).sum())
+        self._derive()
+
+    def _left_out(self, bad, fine, n1, n0, power, scale) -> np.ndarray:
+        """The vote of each example by the others, its terms weighed without its own label."""
+        raw: list[float] = []
+        for at in range(0, len(self.ids), QUERIES_AT_ONCE):
+            part, queries = range(at, min(at + QUERIES_AT_ONCE, len(self.ids))), []
+            for i in part:
+                number, weight = self.example(i)
+                y = self.toxic[i]
+                weight *= term_weights(bad[number] - y, fine[number] - (1 - y), n1 - y, n0 - (1 - y), power, scale) / self.idf[number]
+                queries.append((number, weight / np.sqrt((weight**2).sum())))
+            raw += [self.vote(*near) for near in self.search(queries, skips=list(part))]
+        return np.array(raw)
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("dense", "row", "first", "size", "owner", "posted", "cache")}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self._derive()
+
+    def _derive(self):
+        """Postings by term and the dense matrix, from the examples' vectors."""
+        n, df = len(self.ids), np.bincount(self.number, minlength=len(self.terms))
+        often = np.flatnonzero(df > max(n / FREQUENT, 1))
+        often = np.sort(often[np.argsort(-df[often], kind="stable")][:MAX_DENSE])
+        self.row = np.full(len(self.terms), -1, np.int32)
+        self.row[often] = np.arange(len(often))
+        self.dense = np.zeros((len(often), n), np.float32)
+        for i in range(n):
+            part = slice(self.begin[i], self.begin[i + 1])
+            row = self.row[self.number[part]]
+            self.dense[row[row >= 0], i] = self.weight[part][row >= 0]
+        rest = np.flatnonzero(self.row[self.number] < 0).astype(np.int32)
+        rest = rest[np.argsort(self.number[rest], kind="stable").astype(np.int32)]
+        self.owner = (np.searchsorted(self.begin, rest, side="right") - 1).astype(np.int32)
+        self.posted = self.weight[rest]
+        self.size = np.where(self.row < 0, df, 0)
+        self.first = np.cumsum(self.size) - self.size
+        self.cache: dict[str, list[int]] = {}
+
+    @property
+    def blocks(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The vectors as dense (terms of the block x examples) matrices of BLOCK examples."""
+        out = []
+        for at in range(0, len(self.ids), BLOCK):
+            own = [self.example(i) for i in range(at, min(at + BLOCK, len(self.ids)))]
+            used = np.unique(np.concatenate([v[0] for v in own]))
             dense = np.zeros((len(used), len(own)))
             for col, v in enumerate(own):
-                dense[np.searchsorted(used, v[2]), col] = v[3]
-            if own:
-                self.top[used, b] = dense.max(1)
-            self.blocks.append((used, dense))
-        self.knots = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
-        if len(vectors):
-            raw = np.array([self.vote(*self.nearest(v[2], v[3], skip=n)) for n, v in enumerate(vectors)])
-            self.knots = isotonic(raw, self.toxic)
-
-    def weights(self, tf: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Unit TF-IDF vector (term numbers in order, weights)."""
-        got = sorted((self.terms[t], n) for t, n in tf.items() if t in self.terms)
-        if not got:
-            return np.empty(0, np.int64), np.empty(0)
-        hits = sum(n for t, n in tf.items() if t in self.terms and t[-1] != "*") or max(n for _, n in got)
-        got += [(len(self.terms) + k, 1) for k, (least, _) in enumerate(_MARKS) if hits >= least]
-        number = np.array([t for t, _ in got], np.int64)
-        weight = (1 + np.log([n for _, n in got])) * self.idf[number]
-        return number, weight / np.sqrt((weight**2).sum())
-
-    def nearest(self, number: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, skip: int = -1):
+                dense[np.searchsorted(used, v[0]), col] = v[1]
+            out.append((used, dense))
+        return out
+
+    def example(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        part = slice(self.begin[i], self.begin[i + 1])
+        return self.number[part], self.weight[part].astype(np.float64)
+
+    def search(self, queries, k: int = NEIGHBOURS, skips: list[int] | None = None):
+        """Per query (term numbers, weights) its k examples of largest cosine: (examples, cosines), exact."""
+        known = np.zeros((len(queries), len(self.dense)), np.float32)
+        for q, (number, weight) in enumerate(queries):
+            row = self.row[number]
+            known[q, row[row >= 0]] = weight[row >= 0]
+        rough = known @ self.dense
+        full = np.zeros(len(self.terms))
+        out = []
+        for q, (number, weight) in enumerate(queries):
+            size = self.size[number]
+            at = _ranges(self.first[number], size)
+            cosine = rough[q] + np.bincount(self.owner[at], self.posted[at] * np.repeat(weight, size), len(self.ids))
+            if skips:
+                cosine[skips[q]] = -1
+            least = np.partition(cosine, -k)[-k] if len(cosine) > k else 0.0
+            some = np.flatnonzero(cosine > max(least - SLACK, 0))
+            full[number] = weight
+            size = self.begin[some + 1] - self.begin[some]
+            at = _ranges(self.begin[some], size)
+            exact = np.bincount(np.repeat(np.arange(len(some)), size), self.weight[at] * full[self.number[at]], len(some))
+            full[number] = 0
+            best = np.lexsort((some, -exact))[:k]
+            best = best[exact[best] > 0]
+            out.append((some[best].tolist(), exact[best].tolist()))
+        return out
+
+    def nearest(self, number: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, skip: int | None = None):
         """The k examples of largest cosine: (examples, cosines), exact; skip leaves one example out."""
-        bound = weight @ self.top[number]
-        found: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(found) >= k and found[k - 1][0] >= bound[b] + 1e-12:
-                break
-            used, dense = self.blocks[b]
-            at = np.searchsorted(used, number)
-            there = (at < len(used)) & (used[np.minimum(at, len(used) - 1)] == number)
-            cosine = weight[there] @ dense[at[there]]
-            found += [(float(c), b * BLOCK + i) for i, c in enumerate(cosine.tolist()) if c > 0 and b * BLOCK + i != skip]
-            found.sort(key=lambda x: (-x[0], x[1]))
-            del found[k:]
-        return [i for _, i in found], [c for c, _ in found]
+        return self.search([(number, weight)], k, None if skip is None else [skip])[0]
 
     def vote(self, examples: list[int], cosines: list[float]) -> float:
-        share = np.array(cosines) ** POWER
+        share = np.array(cosines) ** POWER * self.stands[examples]
         return float((share * self.toxic[examples]).sum() / (share.sum() + 0.05)) if examples else 0.0
 
-    def score(self, text: str | None) -> tuple[float, list[int]]:
-        """Calibrated score and the ids of the nearest examples."""
-        words = Counter(_WORD.findall((text or "").lower()))
-        tf: Counter = Counter()
-        for word, n in words.items():
-            if word in self.terms:
-                tf[word] += n
-            for size in _PREFIXES:
-                if len(word) > size and word[:size] + "*" in self.terms:
-                    tf[word[:size] + "*"] += n
-        if not tf:
-            return self.empty_rate, []
-        key = tuple(sorted(tf.items()))
-        if key not in self.cache:
-            if len(self.cache) > 50_000:
-                self.cache.clear()
-            near, cosines = self.nearest(*self.weights(tf))
-            value = float(np.interp(self.vote(near, cosines), *self.knots)) if near else self.empty_rate
-            self.cache[key] = (value, self.ids[near[:5]].tolist())
-        return self.cache[key]
-
-
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: a non-decreasing fit of y on x, as knots for interpolation."""
+    def vectors(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Unit TF-IDF vectors (term numbers in order, weights)."""
+        counted = [Counter(_WORD.findall((t or "").lower())) for t in texts]
+        if len(self.cache) > CACHED_WORDS:
+            self.cache.clear()
+        new = list({w for c in counted for w in c if w not in self.cache})
+        terms = [word_terms(w) for w in new]
+        hashes = np.array([hash_of(t) for own in terms for t in own], np.int64)
+        at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
+        number = iter(np.where(self.terms[at] == hashes, at, -1).tolist())
+        for word, own in zip(new, terms, strict=True):
+            self.cache[word] = [t for t in (next(number) for _ in own) if t >= 0]
+        out = []
+        for words in counted:
+            tf: dict[int, int] = {}
+            for word, n in words.items():
+                for term in self.cache[word]:
+                    tf[term] = tf.get(term, 0) + n
+            number_ = np.array(sorted(tf), np.int64)
+            weight = (1 + np.log(np.array([tf[t] for t in number_.tolist()], np.float64))) * self.idf[number_]
+            out.append((number_, weight / np.sqrt((weight**2).sum()) if tf else weight))
+        return out
+
+    def score(self, texts: list[str | None]) -> list[tuple[float, list[int]]]:
+        """Per text the calibrated score and the ids of the nearest examples."""
+        if not len(self.terms):
+            return [(self.empty_rate, [])] * len(texts)
+        out = []
+        for at in range(0, len(texts), QUERIES_AT_ONCE):
+            for near, cosines in self.search(self.vectors(texts[at : at + QUERIES_AT_ONCE])):
+                value = float(np.interp(self.vote(near, cosines), *self.knots)) if near else self.empty_rate
+                out.append((value, self.ids[near[:5]].tolist()))
+        return out
+
+
+def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pool adjacent violators: a non-decreasing fit of y on x with weights w, as knots for interpolation."""
     order = np.argsort(x, kind="stable")
-    pools: list[list[float]] = []  # weight, sum of y, sum of x
-    for a, b in zip(x[order].tolist(), y[order].tolist(), strict=True):
-        pools.append([1.0, b, a])
-        while len(pools) > 1 and pools[-2][1] / pools[-2][0] >= pools[-1][1] / pools[-1][0]:
+    w = np.ones(len(x)) if w is None else w
+    pools: list[list[float]] = []  # weight, weighted sum of y, weighted sum of x
+    for a, b, c in zip(x[order].tolist(), y[order].tolist(), w[order].tolist(), strict=True):
+        pools.append([c, b * c, a * c])
+        while len(pools) > 1 and (pools[-2][1] / pools[-2][0] >= pools[-1][1] / pools[-1][0] or pools[-2][2] / pools[-2][0] >= pools[-1][2] / pools[-1][0]):
             last = pools.pop()
             pools[-1] = [p + q for p, q in zip(pools[-1], last, strict=True)]
     fit = np.array([(s / n) for n, s, _ in pools])
     at = np.array([t / n for n, _, t in pools])
     weight = np.array([p[0] for p in pools])
-    return at, (fit * weight + 0.5 * y.mean()) / (weight + 0.5)  # a little shrinkage for tiny pools
+    return at, (fit * weight + 0.5 * np.average(y, weights=w)) / (weight + 0.5)  # a little shrinkage for tiny pools
+
+
+def fit_loss(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    """Log loss of y under isotonic fits that did not see it."""
+    fold, p = np.arange(len(x)) % FOLDS, np.full(len(x), 0.5)
+    for k in range(FOLDS):
+        if (fold == k).any() and (fold != k).any():
+            p[fold == k] = np.interp(x[fold == k], *isotonic(x[fold != k], y[fold != k], w[fold != k]))
+    p = np.clip(p, 0.002, 0.998)
+    return float(-np.average(y * np.log(p) + (1 - y) * np.log(1 - p), weights=w))
+
+
+def _even(sizes: list[tuple[int, int]], most: int) -> float:
+    """The largest share c with the sum of min(size, c) over strata, given as (size, strata of it), at most `most`."""
+    left, strata = most, sum(n for _, n in sizes)
+    for size, n in sorted(sizes):
+        if size * strata >= left:
+            return left / strata
+        left, strata = left - size * n, strata - n
+    return float(max((size for size, _ in sizes), default=1))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Index:
-    """Select terms and index examples from labelled rows that are not held out."""
-    spark = docs.sparkSession
+    """Index examples from labelled rows that are not held out."""
     marked = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
     marked = marked.where(F.col("_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("_id")))
     marked = marked.groupBy("_id").agg(F.max("toxic").alias("toxic"))
-    total = marked.count()
-    if not total:
-        return Index({}, [], 0.0)
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    spoken = docs.select(F.col("doc_id").cast("long").alias("_doc"), lang.alias("lang")).join(marked, F.col("_doc") == F.col("_id"))
+    spoken = spoken.groupBy("_id").agg(F.max("toxic").alias("toxic"), F.min("lang").alias("lang"))
+    strata = staged(spoken.groupBy("toxic", "lang").agg(F.count("*").alias("size")), "toxicity-strata")
+    classes = {r[0] for r in strata.select("toxic").distinct().collect()}
+    if classes != {0, 1}:
+        return Index(empty_rate=float(classes == {1}))
+    even = _even([tuple(r) for r in strata.groupBy("size").count().collect()], max_labelled)
     ticket = F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    some = marked.where(ticket < min(1.0, max_labelled / total))
+    some = spoken.join(strata, ["toxic", "lang"]).where(ticket < F.lit(even) / F.col("size"))
+    some = some.select("_id", "toxic", F.greatest(F.lit(1.0), F.col("size") / F.lit(even)).alias("stands"))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = text.join(F.broadcast(some), text["doc_id"] == some["_id"]).select("doc_id", "toxic", "text")  # max_labelled rows
+    rows = text.join(F.broadcast(some), text["doc_id"] == some["_id"]).select("doc_id", "toxic", "stands", "text")  # max_labelled rows
 
-    def count(batches):
-        seen: dict[str, list[int]] = {}
-        totals = [0, 0]
+    def hashed(batches):
         for batch in batches:
-            for y, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                totals[y] += 1
-                for term in terms_of(t):
-                    seen.setdefault(term, [0, 0])[y] += 1
-        seen[""] = totals
-        names = list(seen)
-        for at in range(0, len(names), 50_000):
-            part = names[at : at + 50_000]
-            cols = [pa.array(part), pa.array([seen[t][0] for t in part]), pa.array([seen[t][1] for t in part])]
-            yield pa.RecordBatch.from_arrays(cols, names=["term", "clean", "toxic"])
-
-    counts = rows.mapInArrow(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    n0, n1 = (counts.where("term = ''").first() or (None, 0, 0))[1:3]
-    if not n0 or not n1:
-        return Index({}, [], float(n1 > 0) if n1 else 0.0)
-    rate = (F.col("clean") + F.col("toxic")) / F.lit(float(n0 + n1))
-    error = F.sqrt(rate * (1 - rate) * F.lit(1 / n0 + 1 / n1))
-    z = (F.col("toxic") / F.lit(float(n1)) - F.col("clean") / F.lit(float(n0))) / error
-    chosen = counts.where(F.col("term") != "").where(F.col("toxic") >= MIN_TOXIC).withColumn("z", z).where(F.col("z") >= MIN_Z)
-    chosen = chosen.where(F.col("toxic") > F.col("clean"))
-    chosen = chosen.orderBy(F.desc("z"), "term").limit(MAX_TERMS).collect()
-    idf = {r["term"]: float(np.log(1 + (n0 + n1) / (1 + r["clean"] + r["toxic"]))) for r in chosen}
-
-    def vectors(batches):
-        for batch in batches:
-            got = [{t: n for t, n in terms_of(x).items() if t in idf} for x in batch.column(2).to_pylist()]
-            cols = [batch.column(0), batch.column(1), pa.array([list(g.items()) for g in got], pa.map_(pa.string(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "toxic", "tf"])
-
-    made = rows.mapInArrow(vectors, "doc_id long, toxic int, tf map<string,long>")
-    bare = made.where(F.size("tf") == 0).agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).first()
-    examples = sorted((r["doc_id"], r["toxic"], r["tf"]) for r in made.where(F.size("tf") > 0).collect())
-    empty_rate = ((bare["t"] or 0) + 0.5) / (bare["n"] + 10.0) if bare["n"] else 0.01
-    return Index(idf, [(i, y, dict(tf)) for i, y, tf in examples], min(empty_rate, THRESHOLD / 2))
+            got = [terms_of(t) for t in batch.column(3).to_pylist()]
+            own = pa.array([[hash_of(t) for t in g] for g in got], pa.list_(pa.int64()))
+            counts = pa.array([list(g.values()) for g in got], pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], own, counts], names=["doc_id", "toxic", "stands", "hashes", "counts"])
+
+    got = rows.mapInArrow(hashed, "doc_id long, toxic int, stands double, hashes array<long>, counts array<int>").toArrow()
+    full = pc.greater(pc.list_value_length(got["hashes"]), 0)
+    bare, got = got.filter(pc.invert(full)), got.filter(full)
+    every, bad = sum(bare["stands"].to_pylist()), sum(s for s, y in zip(bare["stands"].to_pylist(), bare["toxic"].to_pylist(), strict=True) if y)
+    empty_rate = min((bad + 0.5) / (every + 10.0), THRESHOLD / 2) if every else 0.01
+    got = got.take(np.lexsort([got[c].to_numpy() for c in ("toxic", "doc_id")]))
+    ids, toxic, stands = (got[c].to_numpy() for c in ("doc_id", "toxic", "stands"))
+    sizes = pc.list_value_length(got["hashes"]).to_numpy()
+    return Index(ids, toxic, sizes, *(pc.list_flatten(got[c]).to_numpy() for c in ("hashes", "counts")), stands, empty_rate)
 
 
 def score(docs: DataFrame, index: Index) -> DataFrame:
     """Per document: doc_id, score, evidence (ids of the nearest examples)."""
-    held = docs.sparkSession.sparkContext.broadcast(index)  # MAX_LABELLED examples, MAX_TERMS terms at most
+    held = docs.sparkSession.sparkContext.broadcast(index)  # MAX_LABELLED examples, about
 
     def run(batches):
         own = held.value
         for batch in chunks(batches, CHUNK_BYTES):
-            got = [own.score(t) for t in batch.column(1).to_pylist()]
-            cols = [batch.column(0), pa.array([s for s, _ in got]), pa.array([e for _, e in got], pa.list_(pa.int64()))]
+            got = own.score(batch.column(1).to_pylist())
+            cols = [batch.column(0), pa.array([s for s, _ in got], pa.float64()), pa.array([e for _, e in got], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "score", "evidence"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
