@@ -2,17 +2,20 @@
 
 Rules decide where one fits (the longest wins).  The rest is judged by its host: personalised
 PageRank carries trust forward from hosts most of whose pages are allowed by rule and distrust backward,
-over the reversed edges, from hosts most of whose pages are blocked by rule.  A host is blocked when its
-distrust, counted in pages of the blocked hosts (rank times all such pages, so that the size of the table does not
-matter), reaches THRESHOLD and its distrust is greater than its trust.
+over the reversed edges, from hosts most of whose pages are blocked by rule.  Every seed host starts with rank 1 (ranks
+are not divided by the number of seeds, so they do not move with the size of the table).  A host is blocked when its distrust
+is at least LEAST and at least SHARE of its trust and distrust together.  What flows into a host without out-links ends
+there; sending it back to the seeds would only multiply all ranks by one factor, which would depend on the table.
 
 Scale: html is read once; edges are pre-aggregated per (from, to) host before the shuffle, a hot host is
 split by AQE's skew join, and each round is a join and a partially aggregated sum of host rows only.
-The ranks are written to the shared folder every CUT rounds.
+The ranks are written to the shared folder every CUT rounds; there the largest change decides whether to go on
+(below TOLERANCE no host can still move by more than TOLERANCE * DAMPING / (1 - DAMPING) a unit of its in-links).
 
 Defined results: a null url, or one without `://`, has an empty host and path, fits no rule and is
 allowed by the method unless other pages put distrust on the empty host (they cannot: links to it are
-dropped).  Null html has no links; relative links stay on their host and carry nothing.
+dropped).  Null html has no links; relative links stay on their host and carry nothing, unless the page
+names another host by `<base href>`, which they then lead to; anchors and mailto:, javascript:, data: and tel: links lead nowhere.
 Repeated rows give repeated results; an empty table gives an empty result.
 """
 
@@ -30,7 +33,12 @@ RULES = (
     ("block", "example.com", "/de/"),
     ("allow", "org", "/fr/"),
 )
-ROUNDS, CUT, DAMPING, THRESHOLD = 12, 4, 0.85, 1e-9
+CUT, DAMPING = 4, 0.85
+#: Ranks are final when no host moves by TOLERANCE in a round; ROUNDS bounds the work where that is never so (0.85 ** 96 is 2e-7).
+TOLERANCE, ROUNDS = 1e-6, 96
+#: A host is blocked from this distrust on (a host all of whose links lead to one blocked host that nobody else links to has
+#: 0.1275), if it is at least SHARE of trust and distrust.
+LEAST, SHARE = 1e-4, 0.5
 
 
 def _host(url):
@@ -58,37 +66,51 @@ def _rule(rules):
 
 
 def host_edges(split: DataFrame) -> DataFrame:
-    """src, dst, w: links between different hosts, w the share of the source's links."""
-    links = F.regexp_extract_all(F.col("html"), F.lit(r"(?i)href\s*=\s*[\"']?((?:https?:)?//[^\"'\s>]+)"), F.lit(1))
-    found = split.where(F.col("host") != "").select("host", F.explode(links).alias("link"))
-    full = F.when(F.col("link").startswith("//"), F.concat(F.lit("x:"), F.col("link"))).otherwise(F.col("link"))
+    """src, dst, n: links between different hosts and their number."""
+    attribute = r"(?i)<{tag}\b[^>]*?\shref\s*=\s*[\"']?([^\"'\s>]+)"
+    base = F.regexp_extract("html", attribute.format(tag="base"), 1)
+    links = F.regexp_extract_all(F.col("html"), F.lit(attribute.format(tag="(?:a|area|link)")), F.lit(1))
+    found = split.where(F.col("host") != "").select("host", _absolute(base).alias("base"), F.explode(links).alias("link"))
+    relative = ~F.col("link").rlike(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:|//|#)")
+    full = F.when(relative, F.col("base")).otherwise(_absolute(F.col("link")))
     counted = found.select(F.col("host").alias("src"), _host(full).alias("dst")).where("dst <> '' and src <> dst")
     return counted.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Personalised PageRank: edges (src, dst, n), seeds (host, seed) with seeds summing to 1."""
+def _absolute(link):
+    """http and https addresses, with `//host` taken as one; anything else is empty."""
+    return F.when(link.startswith("//"), F.concat(F.lit("x:"), link)).when(link.rlike("(?i)^https?://"), link).otherwise(F.lit(""))
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """Personalised PageRank of hosts (host, rank): edges (src, dst, n), seeds (host, seed).
+
+    At most `rounds` rounds, fewer where the ranks have settled (looked at every CUT rounds)."""
     out_links = edges.groupBy("src").agg(F.sum("n").alias("_all"))
     weighted = staged(edges.join(out_links, "src").select("src", "dst", (F.col("n") / F.col("_all")).alias("w")), "host-edges")
     ranks = seeds.select("host", F.col("seed").alias("rank"))
     if weighted.isEmpty():
         return ranks
-    for i in range(rounds):
-        moved = weighted.join(ranks, weighted["src"] == ranks["host"]).select(
-            F.col("dst").alias("host"), (F.col("w") * F.col("rank") * DAMPING).alias("rank")
-        )
-        start = seeds.select("host", (F.col("seed") * (1 - DAMPING)).alias("rank"))
-        ranks = moved.unionByName(start).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if (i + 1) % CUT == 0 and i + 1 < rounds:
-            ranks = staged(ranks, "host-ranks")
+    start = seeds.select("host", (F.col("seed") * (1 - DAMPING)).alias("rank"))
+    for i in range(1, rounds + 1):
+        old = ranks
+        moved = weighted.join(old, weighted["src"] == old["host"]).select(F.col("dst").alias("host"), (F.col("w") * F.col("rank") * DAMPING).alias("rank"))
+        if i % CUT or i == rounds:
+            ranks = moved.unionByName(start).groupBy("host").agg(F.sum("rank").alias("rank"))
+            continue
+        both = [df.withColumn("before", F.lit(0.0)) for df in (moved, start)] + [old.select("host", F.lit(0.0).alias("rank"), F.col("rank").alias("before"))]
+        both = both[0].unionByName(both[1]).unionByName(both[2])
+        ranks = staged(both.groupBy("host").agg(F.sum("rank").alias("rank"), F.sum("before").alias("before")), "host-ranks")
+        change = ranks.agg(F.max(F.abs(F.col("rank") - F.col("before")))).first()[0]
+        ranks = ranks.select("host", "rank")
+        if (change or 0.0) < tolerance:
+            break
     return ranks
 
 
-def _seeds(hosts: DataFrame, verdict: str) -> tuple[DataFrame, int]:
-    """host, seed: the hosts most of whose pages have this verdict by rule, weighed by those pages; and all those pages."""
-    own = hosts.where(F.col(verdict) * 2 > F.col("n")).select("host", F.col(verdict).alias("own"))
-    total = own.agg(F.sum("own")).first()[0] or 1
-    return own.select("host", (F.col("own") / F.lit(total)).alias("seed")), total
+def _seeds(hosts: DataFrame, verdict: str) -> DataFrame:
+    """host, seed: the hosts most of whose pages have this verdict by rule, 1 each."""
+    return hosts.where(F.col(verdict) * 2 > F.col("n")).select("host", F.lit(1.0).alias("seed"))
 
 
 def judge(pages: DataFrame, rules=RULES, rounds: int = ROUNDS) -> DataFrame:
@@ -99,13 +121,12 @@ def judge(pages: DataFrame, rules=RULES, rounds: int = ROUNDS) -> DataFrame:
     ruled = [F.count_if(F.col("found.verdict") == v).alias(v) for v in ("allow", "block")]
     hosts = staged(judged.groupBy("host").agg(F.count("*").alias("n"), *ruled), "page-hosts")
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    good, (bad, blocked) = _seeds(hosts, "allow")[0], _seeds(hosts, "block")
-    trust = propagate(edges, good, rounds).withColumnRenamed("rank", "trust")
-    doubt = propagate(back, bad, rounds).withColumnRenamed("rank", "distrust")
+    trust = propagate(edges, _seeds(hosts, "allow"), rounds).withColumnRenamed("rank", "trust")
+    doubt = propagate(back, _seeds(hosts, "block"), rounds).withColumnRenamed("rank", "distrust")
     scores = staged(trust.join(doubt, "host", "full"), "host-scores").withColumnRenamed("host", "_host")
     joined = judged.join(scores, judged["host"] == scores["_host"], "left").drop("_host")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
-    method = F.when((distrust * F.lit(blocked) >= THRESHOLD) & (distrust > trust), F.lit("block")).otherwise(F.lit("allow"))
+    method = F.when((distrust >= LEAST) & (distrust >= SHARE * (trust + distrust)), F.lit("block")).otherwise(F.lit("allow"))
     return joined.select(
         "page_id",
         "host",
