@@ -4,15 +4,15 @@ For every participant of a dialogue, the dialogue is rendered with that speaker
 the others as named users; only the assistant's words (and the end marker after them) are trained
 on.  `spans` holds those character ranges, `mask` the same as run lengths.
 
-A conversation is rendered whole, as part 0, whatever its turn numbers are, so a task holds the longest conversation
-once per participant.  Only a caller that asks for `part_turns` gets parts of that many consecutive turn numbers; a
-speaker then has a text of each part in which they speak.  One shuffle, by (conversation, part); SQL functions only.
+A conversation is rendered whole, whatever its turn numbers are, so a task holds the longest conversation
+once per participant.  One shuffle, by conversation; SQL functions only.
 
 Defined results: rows repeated in all of conversation, turn, role and text are one turn; other rows of
 the same turn follow each other by role, then text; a null role is the speaker `unknown`, a null text is empty, a null
-turn comes first in part 0; a null conv_id is a conversation.  `system` turns are context for every
-participant and never a perspective; a part without participants gives no row.  Marker texts inside
-a turn are escaped.  Empty tables give empty results; extra columns are ignored.
+turn comes first (as turn -1); a row without conv_id belongs to no dialogue that can be told, so it is one of its own.
+`system` turns are context for every participant and never a perspective; a conversation without participants gives no row.  Marker texts
+inside a turn or a role are escaped, line breaks of a role are spaces in its header.  Empty tables give empty results; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,28 +25,30 @@ from tracelake.llm.common import table
 CONTEXT_ROLE = "system"
 
 
-def rotate(turns: DataFrame, part_turns: int | None = None) -> DataFrame:
-    """conv_id, part, perspective, n_turns, n_trained (characters), text, mask, spans."""
+def _shown(role):
+    """A role as it stands in a header: it can neither end the header nor open another."""
+    return F.replace(F.replace(F.translate(role, "\r\n", "  "), F.lit("<|"), F.lit("<\\|")), F.lit("|>"), F.lit("|\\>"))
+
+
+def rotate(turns: DataFrame) -> DataFrame:
+    """conv_id, perspective, n_turns, n_trained (characters), text, mask, spans."""
     clean = turns.select(
         F.col("conv_id"),
         F.coalesce(F.col("turn"), F.lit(-1)).cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"),
         F.replace(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit("<|"), F.lit("<\\|")).alias("body"),
     )
-    first = F.lit(0).cast("long")
-    part = F.greatest(first, F.floor(F.col("turn") / part_turns).cast("long")) if part_turns else first
-    parts = clean.groupBy("conv_id", part.alias("part")).agg(
-        F.sort_array(F.collect_set(F.struct("turn", "role", "body"))).alias("turns")
-    )
+    alone = F.when(F.col("conv_id").isNull(), F.struct("turn", "role", "body"))
+    dialogues = clean.groupBy("conv_id", alone.alias("alone")).agg(F.sort_array(F.collect_set(F.struct("turn", "role", "body"))).alias("turns"))
     speakers = F.array_sort(F.array_distinct(F.filter(F.col("turns.role"), lambda r: r != CONTEXT_ROLE)))
-    views = parts.select("conv_id", "part", "turns", F.explode(speakers).alias("perspective"))
+    views = dialogues.select("conv_id", "turns", F.explode(speakers).alias("perspective"))
 
     def piece(t):
         own = t["role"] == F.col("perspective")
         head = (
             F.when(own, F.lit("<|assistant|>\n"))
             .when(t["role"] == CONTEXT_ROLE, F.lit("<|system|>\n"))
-            .otherwise(F.concat(F.lit("<|user name="), t["role"], F.lit("|>\n")))
+            .otherwise(F.concat(F.lit("<|user name="), _shown(t["role"]), F.lit("|>\n")))
         )
         body = F.concat(t["body"], F.lit("<|end|>"))
         return F.struct(own.alias("own"), head.alias("head"), body.alias("body"))
@@ -71,7 +73,6 @@ def rotate(turns: DataFrame, part_turns: int | None = None) -> DataFrame:
     )
     return views.select(
         "conv_id",
-        "part",
         "perspective",
         F.size("pieces").cast("long").alias("n_turns"),
         F.col("walk.n").cast("long").alias("n_trained"),
@@ -91,22 +92,22 @@ ORACLE_SQL = {
         WITH t AS (
           SELECT DISTINCT conv_id, coalesce(turn, -1) AS turn, coalesce(role, 'unknown') AS role,
                  replace(coalesce(text, ''), '<|', '<\|') AS body FROM conversations),
-        p AS (SELECT *, greatest(0, floor(turn / 512.0))::BIGINT AS part FROM t),
-        v AS (SELECT DISTINCT conv_id, part, role AS perspective FROM p WHERE role <> 'system'),
+        p AS (SELECT *, CASE WHEN conv_id IS NULL THEN {'turn': turn, 'role': role, 'body': body} END AS alone FROM t),
+        v AS (SELECT DISTINCT conv_id, alone, role AS perspective FROM p WHERE role <> 'system'),
         x AS (
-          SELECT v.conv_id, v.part, v.perspective, p.turn, p.role, p.body || '<|end|>' AS body, p.role = v.perspective AS own,
+          SELECT v.conv_id, v.alone, v.perspective, p.turn, p.role, p.body || '<|end|>' AS body, p.role = v.perspective AS own,
                  CASE WHEN p.role = v.perspective THEN '<|assistant|>' || chr(10)
                       WHEN p.role = 'system' THEN '<|system|>' || chr(10)
-                      ELSE '<|user name=' || p.role || '|>' || chr(10) END AS head
-          FROM v JOIN p ON v.conv_id IS NOT DISTINCT FROM p.conv_id AND v.part = p.part),
+                      ELSE '<|user name=' || replace(replace(translate(p.role, chr(13) || chr(10), '  '), '<|', '<\|'), '|>', '|\>') || '|>' || chr(10) END AS head
+          FROM v JOIN p ON v.conv_id IS NOT DISTINCT FROM p.conv_id AND v.alone IS NOT DISTINCT FROM p.alone),
         y AS (
           SELECT *, sum(length(head) + length(body) + 1) OVER (
-                      PARTITION BY conv_id, part, perspective ORDER BY turn, role, body ROWS UNBOUNDED PRECEDING) AS upto FROM x)
-        SELECT conv_id, part, perspective, count(*)::BIGINT AS n_turns,
+                      PARTITION BY conv_id, alone, perspective ORDER BY turn, role, body ROWS UNBOUNDED PRECEDING) AS upto FROM x)
+        SELECT conv_id, perspective, count(*)::BIGINT AS n_turns,
                sum(CASE WHEN own THEN length(body) ELSE 0 END)::BIGINT AS n_trained,
                string_agg(head || body, chr(10) ORDER BY turn, role, body) AS text,
                string_agg('0x' || length(head) || CASE WHEN own THEN ' 1x' ELSE ' 0x' END || length(body), ' ' ORDER BY turn, role, body) AS mask,
                string_agg(CASE WHEN own THEN (upto - 1 - length(body))::BIGINT || ':' || (upto - 1)::BIGINT END, ',' ORDER BY turn, role, body) AS spans
-        FROM y GROUP BY conv_id, part, perspective
+        FROM y GROUP BY conv_id, alone, perspective
     """
 }
