@@ -54,3 +54,34 @@ def test_sample_keeps_columns(documents):
     rows = mixing.sample(docs)
     assert set(docs.columns) <= set(rows.columns)
     assert all(r["copies"] >= 1 and r["taken"] == r["copies"] * r["size"] for r in rows.collect())
+
+
+def test_sizes_beyond_a_long(spark, documents):
+    rows = mixing.sizes(documents([(1, "w " * 9, "en", "a")])).drop("size")
+    huge = rows.selectExpr("doc_id", "source", "10000000 as size", "tie", "name").union(spark.range(3).selectExpr("id", "'b'", "id + 1", "id", "null"))
+    got = huge.groupBy("source").agg(mixing.F.sum("size").alias("source_size"))
+    per = got.selectExpr("source", "source_size * 100000000 as size")
+    assert all(r["target"] > 0 for r in mixing.source_targets(per).collect())
+    wide = spark.sql("select cast(1000000 as decimal(20, 0)) * cast(20000000000 as decimal(18, 0)) as x")
+    score = wide.selectExpr("(1024 * x) div (x + 9000000000000000) as s").first()["s"]
+    assert score == 1024 * 10**6 * 2 * 10**10 // (10**6 * 2 * 10**10 + 9 * 10**15)
+
+
+def test_inclusion_rates_follow_the_probabilities(documents):
+    """One source of 6000 documents of three lengths beside a large one: its rate is a fraction; longer texts lead."""
+    rows = [(i, "w " * (20, 40, 80)[i % 3], "en", "a") for i in range(6000)] + [(10_000 + i, "w " * 60, "en", "b") for i in range(1000)]
+    got = [r for r in mixing.mix(documents(rows)).collect() if r["doc_id"] < 10_000]
+    rate = got[0]["target"] / got[0]["source_size"]
+    mean = 140 / 3
+    score = {s: 1024 * s * 6000 // (s * 6000 + int(mean * 6000)) for s in (20, 40, 80)}
+    centre = sum(score[s] * s for s in score) / 140
+    for s in score:
+        own = [r["copies"] for r in got if r["size"] == s]
+        want = rate + min(rate, 3 - rate) * 0.5 * (score[s] - centre) / 1024
+        assert abs(sum(own) / len(own) - want) < 4 * (0.25 / len(own)) ** 0.5 + 0.01, (s, want)
+
+
+def test_null_ids_are_drawn_one_by_one(documents):
+    rows = [(None, f"w{i} " * 10, "en", "a") for i in range(400)] + [(i, "w " * 10, "en", "b") for i in range(900)]
+    copies = [r["copies"] for r in mixing.mix(documents(rows)).collect() if r["doc_id"] is None]
+    assert len(copies) == 400 and len(set(copies)) > 1

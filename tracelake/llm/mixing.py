@@ -8,14 +8,16 @@ Documents: the expected copies of document i of a source with repeat rate r = ta
 e_i = r + min(r, 3 - r) / 2 * g_i, where g_i in [-1, 1] rises with its length and is centred so that
 the e_i give the target exactly.  floor(e_i) copies are certain.  The rest p_i = e_i - floor(e_i) is an inclusion
 probability: documents are ranked by (u / (1 - u)) / (p / (1 - p)), u a hash of doc_id, and taken in
-that order until the source's missing words are met as nearly as whole documents allow.
+that order until the source's missing words are met as nearly as whole documents allow.  The size that is fixed is
+that of the sample in words, as the targets are in words: the number of documents varies with their lengths,
+and inclusion probabilities are met as closely as Pareto sampling meets them, up to that last document.
 
 Scale: no window spans a source.  The rank is cut by two rounds of 4096 buckets whose word sums are
 pre-aggregated; only the documents of the one crossing bucket of a source are put in exact order.
 
 Defined results: null text has size 0 and is never sampled (taken 0); a null source is a source of
 its own, the last; ties of the random rank go by doc_id, then by a hash of the text; repeated rows are
-separate documents with the same fate unless the cut falls between them; an empty table gives an
+separate documents with the same fate unless the cut falls between them; a null doc_id is drawn by its text; an empty table gives an
 empty result; extra columns do not matter.  Native DataFrame code throughout; reruns agree, as all sums
 are of integers.
 """
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracelake.llm.common import fresh, staged, table
 
@@ -34,19 +37,21 @@ BROADCAST_SOURCES = 10_000
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words), tie (hash of the text)."""
+    """doc_id, source, size (words), tie (hash of the text), name (its MD5 where doc_id is null)."""
     text = F.col("text").cast("string")
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"),
         F.xxhash64(text).alias("tie"),
+        F.when(F.col("doc_id").isNull(), F.md5(F.coalesce(text, F.lit("")).cast("binary"))).alias("name"),
     )
 
 
 def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
     """source, source_size, n_docs, target.  The windows run over sources, already aggregated."""
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
+    wide = T.DecimalType(28, 0)
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*[F.lit(int(w)) for w in weights]), (rank % len(weights) + 1).cast("int"))
     per = per.withColumn("weight", weight.cast("long"))
@@ -68,7 +73,7 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rep
     # a source is full if, with all before it full, its own fair share is over its limit
     before_size, before_weight = F.col("_size") - F.col("source_size"), F.col("_weight") - F.col("weight")
     left, open_weight = F.col("words") - max_repeat * before_size, F.col("weights") - before_weight
-    full = left * F.col("weight") >= max_repeat * F.col("source_size") * open_weight
+    full = left.cast(wide) * F.col("weight") >= (max_repeat * F.col("source_size")).cast(wide) * open_weight
     per = per.withColumn("full", full)
     full_size = F.sum(F.when(F.col("full"), F.col("source_size")).otherwise(0)).over(every)
     full_weight = F.sum(F.when(F.col("full"), F.col("weight")).otherwise(0)).over(every)
@@ -81,8 +86,9 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rep
 
 
 def _uniform():
-    """A uniform number in (0, 1) from doc_id alone."""
-    bits = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 13), 16, 10)
+    """A uniform number in (0, 1) from doc_id alone (without one from the text's hash)."""
+    own = F.coalesce(F.col("doc_id").cast("string"), F.col("name"))
+    bits = F.conv(F.substring(F.md5(own.cast("binary")), 1, 13), 16, 10)
     return (bits.cast("long").cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
@@ -115,7 +121,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = M
     rows = sized.join(per_source(targets), "skey")
     # length score in 1024ths: size / (size + mean size), kept as an integer so that sums agree in any order
     # division is by integers, exact
-    score = F.expr("case when size = 0 then 0 else (1024 * size * n_docs) div (size * n_docs + source_size) end")
+    wide = "cast(size as decimal(20, 0)) * cast(n_docs as decimal(18, 0))"  # a long text in a large source is beyond a long
+    score = F.expr(f"case when size = 0 then 0L else (1024 * ({wide})) div ({wide} + source_size) end")
     rows = rows.withColumn("score", score)
     centre = rows.groupBy("skey").agg(F.sum(F.col("score") * F.col("size")).alias("score_sum"))
     rows = rows.join(per_source(centre), "skey")
@@ -174,7 +181,7 @@ ORACLE_SQL = {
         WITH d AS (
           SELECT doc_id, source, coalesce(source, '') AS s, source IS NULL AS sn, text,
                  coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-                 ((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT)::DOUBLE + 0.5) / 4503599627370496.0 AS u
+                 ((('0x' || substr(md5(coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 13))::BIGINT)::DOUBLE + 0.5) / 4503599627370496.0 AS u
           FROM documents),
         per AS (
           SELECT s, sn, sum(size)::BIGINT AS source_size, count(*) AS n_docs,
@@ -185,8 +192,8 @@ ORACLE_SQL = {
                  sum(source_size) OVER o::BIGINT AS usize, sum(weight) OVER o::BIGINT AS uweight
           FROM per WINDOW o AS (ORDER BY source_size * (10 // weight), sn, s ROWS UNBOUNDED PRECEDING)),
         fulls AS (
-          SELECT *, (words - 3 * (usize - source_size)) * weight
-                    >= 3 * source_size * (weights - (uweight - weight)) AS isfull FROM cum),
+          SELECT *, (words - 3 * (usize - source_size))::HUGEINT * weight
+                    >= 3 * source_size::HUGEINT * (weights - (uweight - weight)) AS isfull FROM cum),
         tot AS (
           SELECT *, sum(CASE WHEN isfull THEN source_size ELSE 0 END) OVER ()::BIGINT AS fs,
                  sum(CASE WHEN isfull THEN weight ELSE 0 END) OVER ()::BIGINT AS fw FROM fulls),
@@ -195,7 +202,7 @@ ORACLE_SQL = {
                  ELSE (words - 3 * fs)::DOUBLE * weight::DOUBLE / (weights - fw)::DOUBLE END AS target FROM tot),
         sc AS (
           SELECT d.*, source_size, n_docs, target,
-                 CASE WHEN size = 0 THEN 0 ELSE (1024 * size * n_docs) // (size * n_docs + source_size) END AS score
+                 CASE WHEN size = 0 THEN 0 ELSE ((1024 * size::HUGEINT * n_docs) // (size::HUGEINT * n_docs + source_size))::BIGINT END AS score
           FROM d JOIN tar USING (s, sn)),
         ex AS (
           SELECT *, target / source_size::DOUBLE AS r,
