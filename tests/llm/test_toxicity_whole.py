@@ -5,6 +5,7 @@ from zlib import crc32
 import numpy as np
 from pyspark.sql import functions as F
 
+from tests.llm.test_models import terms_of
 from tracelake.llm import toxicity_knn as op
 from tracelake.llm.common import held_out, table
 
@@ -23,7 +24,7 @@ def test_every_labelled_row_is_indexed_on_all_its_terms(spark, documents):
     labels = [(i, 0, int(i >= 100_000)) for i, _ in rows]
     index = op.train(documents(rows), spark.createDataFrame(labels, LABELS))
     assert sorted(index.ids.tolist()) == sorted(i for i, _ in rows)
-    assert len(index.terms) == len({t for _, text in rows for t in op.terms_of(text)})
+    assert len(index.terms) == len({t for _, text in rows for t in terms_of(text)})
     got = {r["doc_id"]: r for r in op.score(documents([(1, "grubble"), (2, "ownb"), (3, "zzz")]), index).collect()}
     assert got[1]["evidence"] == [rows[-1][0]] and got[2]["evidence"] == [rows[1][0]] and got[3]["evidence"] == []
 

@@ -1,11 +1,14 @@
-"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over an inverted index.
+"""Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are lower-cased words and their prefixes of 4 to 6 letters (so that inflected forms share
-terms), held as 64-bit hashes.  Every example is indexed on all its terms.  A term's weight is its idf times a
+Terms are lower-cased words (runs of a-z and of characters beyond ASCII) and their prefixes of 4 to 6 characters (so that
+inflected forms share terms), held as 64-bit hashes.  Every example is indexed on all its terms.  A term's weight is its idf times a
 factor that grows with the log-odds (in standard errors) of the term in toxic examples against the others and is
-FLOOR for terms that do not speak for toxicity, so that these count, but little.  Frequent terms are a dense
-matrix and the rest postings; all examples get a rough cosine in single precision, and those that may be among
-the k nearest are scored again in full, so the k nearest are exact.  Votes are weighted by a power of the cosine;
+FLOOR for terms that do not speak for toxicity, so that these count, but little.
+
+Rare terms are postings, summed up in full.  Frequent terms, which cost most, are held by blocks of BLOCK examples that are alike, with the
+largest weight of each term in each block: the sum of those bounds what a block can add, and a block is scored for a text only if its
+bound reaches the text's k-th best cosine so far.  Examples that may be among the k nearest are then scored again in
+double precision, so the k nearest are exact.  Votes are weighted by a power of the cosine;
 an isotonic fit over leave-one-out votes of the examples turns them into probabilities (of two steepnesses of the factor
 the one whose votes fit better is kept).  The nearest
 examples' ids are the evidence.
@@ -14,17 +17,13 @@ Training uses about MAX_LABELLED labelled rows at most (by a hash of the id, as
 numbers allow), never held-out ones; an example stands in votes and in the fit for all rows of its class and
 language that it was drawn from.  The index is broadcast and bounded by that number.  Scoring is a map over whole texts.
 
-Defined results: rows without an indexed term (empty and null texts too) get the rate of toxic rows
-among examples without one, below the threshold; a doc_id labelled twice counts as toxic if any label says so; null
+Defined results: rows without an indexed term (empty and null texts too) get the rate of toxic rows among the
+examples without one (with little to count, that of a prior of 1 %); a doc_id labelled twice counts as toxic if any label says so; null
 labels are not used; without usable labels every score is 0; equal texts get equal scores.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from hashlib import blake2b
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,43 +31,67 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import held_out, staged, table
-from tracelake.llm.textbytes import chunks
+from tracelake.llm.textbytes import U64, byte_texts, chunks, joined, mix64, noise64, word_edges
 
-MAX_LABELLED = 8000
+MAX_LABELLED = 4000
 NEIGHBOURS = 15
-BLOCK = 32
+BLOCK = 64
 POWER = 4
 THRESHOLD = 0.3
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 FLOOR = 0.1
 #: The factor of a term is FLOOR + odds ** power / scale, with the pair that fits the left-out examples best.
 SHARPNESS = ((3, 10.0), (2, 3.0))
 FOLDS = 5
 #: A term that at least one in FREQUENT examples has is a row of the dense matrix, MAX_DENSE terms at most.
 FREQUENT, MAX_DENSE = 32, 2048
-#: Rough cosines are within SLACK of the exact ones.
+#: Rough cosines and bounds are within SLACK of the exact ones.
 SLACK = 1e-4
 QUERIES_AT_ONCE = 128
-CACHED_WORDS = 300_000
-_WORD = re.compile(r"[^\W\d_]+")
-_PREFIXES = (4, 5, 6)
-
-
-def hash_of(term: str) -> int:
-    return int.from_bytes(blake2b(term.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-
-
-def terms_of(text: str | None) -> Counter:
-    """Words and word prefixes of a text with their counts."""
-    out: Counter = Counter()
-    for word, n in Counter(_WORD.findall((text or "").lower())).items():
-        for term in word_terms(word):
-            out[term] += n
-    return out
-
-
-def word_terms(word: str) -> list[str]:
-    return [word, *(word[:size] + "*" for size in _PREFIXES if len(word) > size)]
+PREFIXES = (4, 5, 6)
+#: Bytes of words in lower-cased text: a-z and everything beyond ASCII.
+_WORD = np.zeros(256, bool)
+_WORD[0x61:0x7B] = _WORD[0x80:] = True
+_BYTE = noise64(256, 21)
+_PLACE = noise64(1 << 14, 22)
+_PREFIX = U64(0x5851F42D4C957F2D)
+
+
+def hashed_terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Row and hash of every term of the texts: their words, and the words' prefixes (told apart from equal words)."""
+    data, text_start = joined(byte_texts(pc.utf8_lower(column)))
+    start, end = word_edges(data, _WORD)
+    if not len(start):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    row = np.searchsorted(text_start, start, side="right") - 1
+    inside = np.flatnonzero(_WORD[data])
+    place = inside - np.repeat(start, end - start)
+    with np.errstate(over="ignore"):
+        value = np.zeros(len(data) + 1, U64)
+        value[inside + 1] = _BYTE[data[inside]] * _PLACE[place & (len(_PLACE) - 1)] * (U64(2) * (place >> 14).astype(U64) + U64(1))
+        upto = np.cumsum(value)  # hashes are differences of sums, modulo 2 ** 64
+        char = np.flatnonzero((data & 0xC0) != 0x80)
+        first = np.searchsorted(char, start)
+        size = np.searchsorted(char, end) - first
+        rows, hashes = [row], [mix64(upto[end] - upto[start] + (end - start).astype(U64))]
+        for n in PREFIXES:
+            some = np.flatnonzero(size > n)
+            stop = char[first[some] + n]
+            rows.append(row[some])
+            hashes.append(mix64(upto[stop] - upto[start[some]] + (stop - start[some]).astype(U64) + _PREFIX))
+    return np.concatenate(rows), np.concatenate(hashes).view(np.int64)
+
+
+def _counted(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (row, value) in order, and how often each occurs; rows are few, so their sort is a radix sort."""
+    order = np.argsort(value)
+    row, value = row[order], value[order]
+    order = np.argsort(row.astype(np.uint16) if row.max(initial=0) < 1 << 16 else row, kind="stable")
+    row, value = row[order], value[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
+    at = np.flatnonzero(new)
+    return row[at], value[at], np.diff(np.append(at, len(row)))
 
 
 def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -116,6 +139,7 @@ class Index:
             raw = self._left_out(bad, fine, n1, n0, *pair)
             if (loss := fit_loss(raw, self.toxic, self.stands)) < least:
                 least, sharp, self.knots = loss, pair, isotonic(raw, self.toxic, self.stands)
+        self.sharp = sharp
         self._weigh(often, term_weights(bad, fine, n1, n0, *sharp))
 
     def _weigh(self, often: np.ndarray, idf: np.ndarray):
@@ -141,66 +165,84 @@ class Index:
         return np.array(raw)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("dense", "row", "first", "size", "owner", "posted", "cache")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("dense", "bound", "place", "row", "first", "size", "owner", "posted")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
         self._derive()
 
     def _derive(self):
-        """Postings by term and the dense matrix, from the examples' vectors."""
+        """Postings of rare terms; of frequent ones the matrix by blocks and the largest weight in each block."""
         n, df = len(self.ids), np.bincount(self.number, minlength=len(self.terms))
         often = np.flatnonzero(df > max(n / FREQUENT, 1))
         often = np.sort(often[np.argsort(-df[often], kind="stable")][:MAX_DENSE])
         self.row = np.full(len(self.terms), -1, np.int32)
         self.row[often] = np.arange(len(often))
+        # examples that are alike stand together: by class, then by their two strongest frequent terms
+        strong = np.zeros((2, n), np.int32)
+        for i in range(n):
+            part = slice(self.begin[i], self.begin[i + 1])
+            row = self.row[self.number[part]]
+            best = row[row >= 0][np.argsort(-self.weight[part][row >= 0], kind="stable")[:2]]
+            strong[: len(best), i] = best + 1
+        order = np.lexsort((strong[1], strong[0], self.toxic))
+        self.place = np.empty(n, np.int64)  # column of each example
+        self.place[order] = np.arange(n)
         self.dense = np.zeros((len(often), n), np.float32)
         for i in range(n):
             part = slice(self.begin[i], self.begin[i + 1])
             row = self.row[self.number[part]]
-            self.dense[row[row >= 0], i] = self.weight[part][row >= 0]
+            self.dense[row[row >= 0], self.place[i]] = self.weight[part][row >= 0]
+        heads = np.arange(0, n, BLOCK)
+        self.bound = np.maximum.reduceat(self.dense, heads, axis=1) if n else self.dense
         rest = np.flatnonzero(self.row[self.number] < 0).astype(np.int32)
         rest = rest[np.argsort(self.number[rest], kind="stable").astype(np.int32)]
-        self.owner = (np.searchsorted(self.begin, rest, side="right") - 1).astype(np.int32)
+        self.owner = self.place[np.searchsorted(self.begin, rest, side="right") - 1].astype(np.int32)
         self.posted = self.weight[rest]
         self.size = np.where(self.row < 0, df, 0)
         self.first = np.cumsum(self.size) - self.size
-        self.cache: dict[str, list[int]] = {}
-
-    @property
-    def blocks(self) -> list[tuple[np.ndarray, np.ndarray]]:
-        """The vectors as dense (terms of the block x examples) matrices of BLOCK examples."""
-        out = []
-        for at in range(0, len(self.ids), BLOCK):
-            own = [self.example(i) for i in range(at, min(at + BLOCK, len(self.ids)))]
-            used = np.unique(np.concatenate([v[0] for v in own]))
-            dense = np.zeros((len(used), len(own)))
-            for col, v in enumerate(own):
-                dense[np.searchsorted(used, v[0]), col] = v[1]
-            out.append((used, dense))
-        return out
 
     def example(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         part = slice(self.begin[i], self.begin[i + 1])
         return self.number[part], self.weight[part].astype(np.float64)
 
-    def search(self, queries, k: int = NEIGHBOURS, skips: list[int] | None = None):
-        """Per query (term numbers, weights) its k examples of largest cosine: (examples, cosines), exact."""
-        known = np.zeros((len(queries), len(self.dense)), np.float32)
+    def _rough(self, queries, k: int, skips: list[int] | None) -> np.ndarray:
+        """Cosines (queries x columns) within SLACK / 2; -1 in blocks that cannot hold one of a query's k best."""
+        n, heads = len(self.ids), np.arange(0, len(self.ids), BLOCK)
+        known, out = np.zeros((len(queries), len(self.dense)), np.float32), np.zeros((len(queries), n), np.float32)
         for q, (number, weight) in enumerate(queries):
             row = self.row[number]
             known[q, row[row >= 0]] = weight[row >= 0]
-        rough = known @ self.dense
+            size = self.size[number]
+            at = _ranges(self.first[number], size)
+            out[q] = np.bincount(self.owner[at], self.posted[at] * np.repeat(weight, size), n)
+        if skips:
+            out[np.arange(len(queries)), self.place[skips]] = -np.inf
+        bound = known @ self.bound + np.maximum.reduceat(out, heads, axis=1)
+        best = np.full((len(queries), k), -np.inf, np.float32)
+        for b in np.argsort(-bound.max(0), kind="stable").tolist():
+            block = slice(heads[b], heads[b] + BLOCK)
+            some = np.flatnonzero(bound[:, b] >= np.maximum(best[:, 0] - SLACK, 0))
+            skipped = np.ones(len(queries), bool)
+            skipped[some] = False
+            out[skipped, block] = -1
+            if len(some):
+                found = known[some] @ self.dense[:, block] + out[some, block]
+                out[some, block] = found
+                both = np.concatenate([best[some], found], 1)
+                best[some] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+        return out
+
+    def search(self, queries, k: int = NEIGHBOURS, skips: list[int] | None = None):
+        """Per query (term numbers, weights) its k examples of largest cosine: (examples, cosines), exact."""
+        rough = self._rough(queries, k, skips)
+        example = np.argsort(self.place)
         full = np.zeros(len(self.terms))
         out = []
         for q, (number, weight) in enumerate(queries):
-            size = self.size[number]
-            at = _ranges(self.first[number], size)
-            cosine = rough[q] + np.bincount(self.owner[at], self.posted[at] * np.repeat(weight, size), len(self.ids))
-            if skips:
-                cosine[skips[q]] = -1
+            cosine = rough[q]
             least = np.partition(cosine, -k)[-k] if len(cosine) > k else 0.0
-            some = np.flatnonzero(cosine > max(least - SLACK, 0))
+            some = np.sort(example[np.flatnonzero(cosine > max(least - SLACK, 0))])
             full[number] = weight
             size = self.begin[some + 1] - self.begin[some]
             at = _ranges(self.begin[some], size)
@@ -219,36 +261,27 @@ class Index:
         share = np.array(cosines) ** POWER * self.stands[examples]
         return float((share * self.toxic[examples]).sum() / (share.sum() + 0.05)) if examples else 0.0
 
-    def vectors(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Unit TF-IDF vectors (term numbers in order, weights)."""
-        counted = [Counter(_WORD.findall((t or "").lower())) for t in texts]
-        if len(self.cache) > CACHED_WORDS:
-            self.cache.clear()
-        new = list({w for c in counted for w in c if w not in self.cache})
-        terms = [word_terms(w) for w in new]
-        hashes = np.array([hash_of(t) for own in terms for t in own], np.int64)
-        at = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
-        number = iter(np.where(self.terms[at] == hashes, at, -1).tolist())
-        for word, own in zip(new, terms, strict=True):
-            self.cache[word] = [t for t in (next(number) for _ in own) if t >= 0]
-        out = []
-        for words in counted:
-            tf: dict[int, int] = {}
-            for word, n in words.items():
-                for term in self.cache[word]:
-                    tf[term] = tf.get(term, 0) + n
-            number_ = np.array(sorted(tf), np.int64)
-            weight = (1 + np.log(np.array([tf[t] for t in number_.tolist()], np.float64))) * self.idf[number_]
-            out.append((number_, weight / np.sqrt((weight**2).sum()) if tf else weight))
-        return out
-
-    def score(self, texts: list[str | None]) -> list[tuple[float, list[int]]]:
+    def vectors(self, column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Unit TF-IDF vectors (term numbers in order, weights) of texts."""
+        row, hashes, n = _counted(*hashed_terms(column))
+        order = np.argsort(hashes)  # sorted needles are found several times faster
+        at = np.empty(len(hashes), np.int64)
+        at[order] = np.minimum(np.searchsorted(self.terms, hashes[order]), len(self.terms) - 1)
+        known = self.terms[at] == hashes
+        row, number, n = row[known], at[known], n[known]
+        weight = (1 + np.log(n)) * self.idf[number]
+        edge = np.searchsorted(row, np.arange(len(column) + 1))
+        parts = [slice(a, b) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+        return [(number[p], weight[p] / np.sqrt((weight[p] ** 2).sum()) if p.stop > p.start else weight[p]) for p in parts]
+
+    def score(self, texts) -> list[tuple[float, list[int]]]:
         """Per text the calibrated score and the ids of the nearest examples."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         if not len(self.terms):
-            return [(self.empty_rate, [])] * len(texts)
+            return [(self.empty_rate, [])] * len(column)
         out = []
-        for at in range(0, len(texts), QUERIES_AT_ONCE):
-            for near, cosines in self.search(self.vectors(texts[at : at + QUERIES_AT_ONCE])):
+        for at in range(0, len(column), QUERIES_AT_ONCE):
+            for near, cosines in self.search(self.vectors(column.slice(at, QUERIES_AT_ONCE))):
                 value = float(np.interp(self.vote(near, cosines), *self.knots)) if near else self.empty_rate
                 out.append((value, self.ids[near[:5]].tolist()))
         return out
@@ -310,17 +343,17 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     rows = text.join(F.broadcast(some), text["doc_id"] == some["_id"]).select("doc_id", "toxic", "stands", "text")  # max_labelled rows
 
     def hashed(batches):
-        for batch in batches:
-            got = [terms_of(t) for t in batch.column(3).to_pylist()]
-            own = pa.array([[hash_of(t) for t in g] for g in got], pa.list_(pa.int64()))
-            counts = pa.array([list(g.values()) for g in got], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], own, counts], names=["doc_id", "toxic", "stands", "hashes", "counts"])
+        for batch in chunks(batches, CHUNK_BYTES):
+            row, value, n = _counted(*hashed_terms(batch.column(3)))
+            edge = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)), pa.int32())
+            own = [pa.ListArray.from_arrays(edge, pa.array(value, pa.int64())), pa.ListArray.from_arrays(edge, pa.array(n, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *own], names=["doc_id", "toxic", "stands", "hashes", "counts"])
 
     got = rows.mapInArrow(hashed, "doc_id long, toxic int, stands double, hashes array<long>, counts array<int>").toArrow()
     full = pc.greater(pc.list_value_length(got["hashes"]), 0)
     bare, got = got.filter(pc.invert(full)), got.filter(full)
     every, bad = sum(bare["stands"].to_pylist()), sum(s for s, y in zip(bare["stands"].to_pylist(), bare["toxic"].to_pylist(), strict=True) if y)
-    empty_rate = min((bad + 0.5) / (every + 10.0), THRESHOLD / 2) if every else 0.01
+    empty_rate = (bad + 0.5) / (every + 50.0)
     got = got.take(np.lexsort([got[c].to_numpy() for c in ("toxic", "doc_id")]))
     ids, toxic, stands = (got[c].to_numpy() for c in ("doc_id", "toxic", "stands"))
     sizes = pc.list_value_length(got["hashes"]).to_numpy()
@@ -334,7 +367,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
     def run(batches):
         own = held.value
         for batch in chunks(batches, CHUNK_BYTES):
-            got = own.score(batch.column(1).to_pylist())
+            got = own.score(batch.column(1))
             cols = [batch.column(0), pa.array([s for s, _ in got], pa.float64()), pa.array([e for _, e in got], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "score", "evidence"])
 
