@@ -131,3 +131,11 @@ def test_empty_and_deduplicate(documents):
     left = op.deduplicate(docs)
     assert left.columns == docs.columns
     assert sorted(r["doc_id"] for r in left.collect()) == sorted(d for d, _, _, kept in brute(rows) if kept)
+
+
+def test_repeated_id_with_two_sets_of_one_size(documents):
+    base = [[f"{c}{i}" for i in range(60)] for c in "xy"]
+    copy = [[*b[:59], f"new{k}"] for k, b in enumerate(base)]
+    rows = [(1, " ".join(base[0])), (1, " ".join(base[1])), (8, " ".join(copy[0])), (9, " ".join(copy[1]))]
+    got = op.near_duplicates(documents(rows)).collect()
+    assert sorted([tuple(r) for r in got], key=str) == brute(rows) and {r["component_id"] for r in got} == {1}

@@ -6,7 +6,7 @@ import sys
 import corpus_pipeline
 from tests.llm import test_decontaminate, test_near_dedup
 from tracelake.llm import registry
-from tracelake.llm.common import fresh, maybe_in, table
+from tracelake.llm.common import filter_words, fresh, hot_size, passes, split_by, table
 
 DATA = "/root/testdata/sf0.01"
 
@@ -72,12 +72,18 @@ def test_rest_works_without_the_subpackage(tmp_path):
 def test_row_filter(spark):
     rows = spark.createDataFrame([(i,) for i in [*range(500), None]], "id long").selectExpr("id", "'x' as _word")
     ids = spark.createDataFrame([(i,) for i in range(0, 500, 7)], "k long")
-    inside, outside = maybe_in(rows, "id", ids, "k"), maybe_in(rows, "id", ids, "k", False)
+    inside, outside = split_by(rows, "id", ids, "k")
     assert {r["id"] for r in inside.collect()} >= set(range(0, 500, 7))
     assert inside.count() + outside.count() == 501 and inside.columns == rows.columns
     assert None in {r["id"] for r in outside.collect()} and fresh(rows, "_word") == "__word"
 
 
+def test_filter_and_hot_groups_follow_the_number_of_rows():
+    assert filter_words(0) == 1 << 10 and filter_words(10**12) == 1 << 22
+    assert passes(10**5) < 0.13 and passes(10**8) < 0.35  # most other rows are turned away
+    assert hot_size(10) == 1 and hot_size(10**6) == 1000 and hot_size(10**9) == 100_000 and hot_size(10**11) == 10**6
+
+
 def test_benchmark_windows_are_gone(spark):
     items = [(r["item_id"], r["text"]) for r in table(spark, DATA, "benchmark").collect()]
     docs = table(spark, DATA, "documents").where("doc_id < 150")

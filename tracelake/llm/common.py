@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import math
 import tempfile
 import uuid
 
@@ -13,9 +14,11 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see (spark.checkpoint.dir); a private one only where none is set."""
+    """The folder all executors see (spark.checkpoint.dir); a private one only where none is set and all runs in one process."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         path = "file://" + tempfile.mkdtemp(prefix="tracelake-")
         spark.sparkContext.setCheckpointDir(path)
         path = spark.sparkContext.getCheckpointDir()
@@ -77,16 +80,22 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-#: A group above this share of all rows is attached by broadcast; at most 1 / HOT_SHARE groups can be.
-HOT_SHARE = 0.001
+#: A group is attached by broadcast if it is above HOT_SHARE of all rows or has HOT_ROWS rows (what one task takes well),
+#: but never more than MOST_HOT groups are: a group has to hold a MOST_HOT-th of all rows at least.
+HOT_SHARE, HOT_ROWS, MOST_HOT = 0.001, 100_000, 100_000
+
+
+def hot_size(total: int) -> int:
+    """Groups of more rows than this are hot."""
+    return max(1, total // MOST_HOT, min(int(total * HOT_SHARE), HOT_ROWS))
 
 
 def attach_groups(rows: DataFrame, groups: DataFrame, key: list[str], size: str, total: int) -> DataFrame:
     """Inner join of rows with their groups (one row per key, `size` rows each, `total` in all).
 
     The rows of hot groups stay where they are; only the rest is shuffled by key."""
-    hot = F.col(size) > max(1, int(total * HOT_SHARE))
-    marked = rows.join(F.broadcast(groups.where(hot)), key, "left")  # at most 1 / HOT_SHARE groups
+    hot = F.col(size) > hot_size(total)
+    marked = rows.join(F.broadcast(groups.where(hot)), key, "left")  # at most MOST_HOT groups
     done = marked.where(F.col(size).isNotNull())
     rest = marked.where(F.col(size).isNull()).select(rows.columns).join(groups.where(~hot), key)
     return done.unionByName(rest)
@@ -102,32 +111,50 @@ def fresh(df: DataFrame, name: str) -> str:
 def drop_rows(docs: DataFrame, ids: DataFrame, id_column: str, same: Column | None = None, other: str | None = None) -> DataFrame:
     """docs without the rows whose doc_id is in ids[id_column] (and whose `same` equals ids[other]); all columns stay.
 
-    Only rows that may be hit, by a filter of fixed size, are shuffled."""
+    Only rows that may be hit, by a filter of bounded size, are shuffled."""
     gone_id, gone_other = fresh(docs, "_gone_id"), fresh(docs, "_gone_other")
     gone = ids.select(F.col(id_column).alias(gone_id), *([F.col(other).alias(gone_other)] if other else []))
-    sure, maybe = maybe_in(docs, "doc_id", gone, gone_id, False), maybe_in(docs, "doc_id", gone, gone_id)
+    maybe, sure = split_by(docs, "doc_id", gone, gone_id)
     hit = F.col("doc_id") == F.col(gone_id)
     return sure.unionByName(maybe.join(gone, hit & (same == F.col(gone_other)) if other else hit, "left_anti"))
 
 
-#: 64-bit words of the row filter: its size does not depend on the data.
-FILTER_WORDS = 1 << 17
+#: Bits of the row filter for each id, and the bounds of its size in 64-bit words (the largest is 64 MB to broadcast).
+FILTER_BITS, LEAST_WORDS, MOST_WORDS = 8, 1 << 10, 1 << 22
+
+
+def filter_words(ids: int) -> int:
+    """64-bit words of the row filter for so many ids."""
+    return max(LEAST_WORDS, min(MOST_WORDS, 1 << (ids * FILTER_BITS // 64).bit_length()))
+
 
+def passes(ids: int) -> float:
+    """The share of other rows that a filter for so many ids lets through, about."""
+    return 1 - math.exp(-ids / (64 * filter_words(ids)))
 
-def maybe_in(rows: DataFrame, column: str, ids: DataFrame, id_column: str, wanted: bool = True) -> DataFrame:
-    """Rows whose id may be among the ids (wanted) or surely is not (not wanted); a null id surely is not.
 
-    A one-hash Bloom filter of FILTER_WORDS words is broadcast; false hits are left to an exact join."""
+def split_by(rows: DataFrame, column: str, ids: DataFrame, id_column: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose id may be among the ids, and those whose id surely is not; a null id surely is not.
+
+    A one-hash Bloom filter, sized by the number of ids within bounds, is broadcast; false hits are left to an exact join."""
+    size = filter_words(ids.count())
+
     def place(c):
-        return F.pmod(F.xxhash64(c), F.lit(FILTER_WORDS * 64))
+        return F.pmod(F.xxhash64(c), F.lit(size * 64))
 
     bits = F.expr("bit_or(shiftleft(1L, cast(place % 64 as int)))")
     word, held = fresh(rows, "_word"), fresh(rows, "_bits")
     words = ids.where(F.col(id_column).isNotNull()).select(place(F.col(id_column).cast("long")).alias("place"))
     words = words.groupBy((F.col("place") / 64).cast("long").alias(word)).agg(bits.alias(held))
-    words = staged(words, "row-filter")  # FILTER_WORDS rows at most
+    words = staged(words, "row-filter")  # MOST_WORDS rows at most
     at = place(F.col(column).cast("long"))
     marked = rows.join(F.broadcast(words), (at / 64).cast("long") == words[word], "left")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))
     hit = F.coalesce(F.col(held).bitwiseAND(bit) != 0, F.lit(False))
-    return marked.where(hit if wanted else ~hit).select(*[F.col(f"`{c}`") for c in rows.columns])
+    own = [F.col(f"`{c}`") for c in rows.columns]
+    return marked.where(hit).select(*own), marked.where(~hit).select(*own)
+
+
+def maybe_in(rows: DataFrame, column: str, ids: DataFrame, id_column: str) -> DataFrame:
+    """Rows whose id may be among the ids."""
+    return split_by(rows, column, ids, id_column)[0]

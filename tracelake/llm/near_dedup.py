@@ -314,7 +314,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     total = classes.agg(F.sum("group_size")).first()[0] or 0
     reps = classes.where("rep is not null").select("rep", *[F.col(k).alias(f"_{k}") for k in key])
     first = signed.join(reps, (signed["doc_id"] == reps["rep"]) & (signed["set_a"] == reps["_set_a"]) & (signed["set_b"] == reps["_set_b"]))
-    first = first.select("rep", F.col("n_shingles").alias("n"), "signature").dropDuplicates(["rep", "n"])
+    first = first.select("rep", F.col("n_shingles").alias("n"), "set_a", "set_b", "signature").dropDuplicates(["rep", "n", "set_a", "set_b"])
     width = 4 * DEPTH
     cut = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring(F.col("signature"), t * width + 1, F.lit(width)))
     trees = first.select(F.posexplode(cut).alias("tree", "key"), "rep", "n")

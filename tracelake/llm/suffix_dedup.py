@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import attach_groups, maybe_in, shuffle_partitions, staged, table
+from tracelake.llm.common import attach_groups, maybe_in, shuffle_partitions, split_by, staged, table
 from tracelake.llm.decontaminate import WaveletMatrix, suffix_array
 from tracelake.llm.textbytes import U64, byte_texts, chunks, joined, mix64, noise64
 
@@ -538,8 +538,9 @@ def first_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     total = small.count()
     later = attach_groups(small, groups, ["sha", "n_bytes"], "rows", total).where("doc > least").select("doc", "mark", "n_bytes").distinct()
     later = staged(later, "text-copies")
-    unsure = maybe_in(rows, "doc", later, "doc").join(later.select("doc", "mark"), ["doc", "mark"], "left_anti")
-    return maybe_in(rows, "doc", later, "doc", False).unionByName(staged(unsure.select("doc", "mark", "text"), "unsure-copies")), later
+    unsure, sure = split_by(rows, "doc", later, "doc")
+    unsure = unsure.join(later.select("doc", "mark"), ["doc", "mark"], "left_anti")
+    return sure.unionByName(staged(unsure.select("doc", "mark", "text"), "unsure-copies")), later
 
 
 def removed_spans(rows: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
@@ -591,7 +592,7 @@ def suffix_dedup(docs: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
     every = spans.unionByName(whole).groupBy("doc", "mark").agg(F.collect_list("spans").alias("spans"))
     rows = _keyed(docs)
     hit = spans.select("doc").unionByName(copies.select("doc"))
-    touched, rest = maybe_in(rows, "doc", hit, "doc"), maybe_in(rows, "doc", hit, "doc", False)
+    touched, rest = split_by(rows, "doc", hit, "doc")
     cut = touched.join(every, ["doc", "mark"], "left").select("doc", "text", "spans")
     done = cut.where("spans is not null").mapInArrow(
         _finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
