@@ -23,5 +23,5 @@ def test_a_set_of_six_languages():
     counts = np.zeros((op.BUCKETS, 8), np.int64)
     for i in range(8):
         np.add.at(counts[:, i], op._words(pa.array([" ".join([word(i)] * 500)]))[0], 1)
-    _, _, k, shares = op.infer(op.Model(languages, counts), pa.array([" ".join(word(i) for i in range(6) for _ in range(40)), word(1)]))
+    _, _, k, shares, _ = op.infer(op.Model(languages, counts), pa.array([" ".join(word(i) for i in range(6) for _ in range(40)), word(1)]))
     assert k.tolist() == [6, 1] and np.allclose(shares[0][:6], 1 / 6, atol=0.02) and max(shares[0][6:]) < 0.01

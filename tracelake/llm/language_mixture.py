@@ -5,13 +5,14 @@ language is the product over its trigrams (word borders included).  For every do
 the proportions of the languages its words come from; nested sets (the strongest language, the two strongest, ...)
 are refitted and the set with the best log-likelihood less log(words) / 2 per free
 proportion (BIC) is selected.  The prediction is the largest proportion of that set, the score is
-that proportion.
+that proportion.  A further EM weighs the found mixture against a background under which all trigrams are alike: the
+background's proportion is the share of words that fit no learned language (`unknown`), by which `accepted` rejects documents.
 
 Training reads text and lang of rows that are not held out, at most TRAIN_PER_LANGUAGE documents of a
 language (chosen by a hash of the id); every label is learned, so the table has BUCKETS x labels numbers.  Inference is a map over whole texts; nothing is shuffled.
 
 Defined results: a null text or one without a letter is `und` with score 0, as is everything when there
-is no labelled row; labels that are null are not learned from; equal texts get equal
+is no labelled row (`accepted` then keeps nothing); labels that are null are not learned from; equal texts get equal
 predictions; ties go to the language first in code point order; extra columns are ignored.
 """
 
@@ -34,6 +35,8 @@ TRAIN_PER_LANGUAGE = 3000
 TRIED = 4
 CHUNK_BYTES = 3 << 20
 UNKNOWN = "und"
+#: A document is rejected if a larger share of its words than this fits no learned language.
+MAX_UNKNOWN = 0.5
 _LETTER = re.compile(r"[^\W\d_]")
 #: Bytes of words in lower-cased text: a-z and everything beyond ASCII.
 _WORD = np.zeros(256, bool)
@@ -114,18 +117,21 @@ def _em(like: np.ndarray, first: np.ndarray, size: np.ndarray, pi: np.ndarray, r
     return pi, np.add.reduceat(np.log(total), first)
 
 
-def infer(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, list[list[float]]]:
-    """Per text: language, score, size of the selected set, proportions (by model.languages)."""
+def infer(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, list[list[float]], np.ndarray]:
+    """Per text: language, score, size of the selected set, proportions (by model.languages), share of words of no language."""
     n, langs = len(column), len(model.languages)
-    names, score, chosen = [UNKNOWN] * n, np.zeros(n), np.zeros(n, np.int64)
+    names, score, chosen, unknown = [UNKNOWN] * n, np.zeros(n), np.zeros(n, np.int64), np.ones(n)
     shares = np.zeros((n, langs))
     letters = np.array([t is not None and _LETTER.search(t) is not None for t in column.to_pylist()], bool)
     grams, start, owner = _words(column)
     if not langs or not len(start):
         # letters outside the learned alphabet only, or nothing learned
-        return names, score, chosen, shares.tolist()
+        return names, score, chosen, shares.tolist(), unknown
     like = np.add.reduceat(model.table[grams], start, axis=0)
-    like = np.exp(np.maximum(like - like.max(1, keepdims=True), -60.0))
+    best = like.max(1)
+    even = np.diff(np.append(start, len(grams))) * -np.log(BUCKETS)
+    noise = np.exp(np.clip(even - best, -60.0, 60.0))
+    like = np.exp(np.maximum(like - best[:, None], -60.0))
     docs, first = np.unique(owner, return_index=True)
     size = np.diff(np.append(first, len(owner)))
     pi, _ = _em(like, first, size, np.full((len(docs), langs), 1.0 / langs, np.float32), 6)
@@ -145,42 +151,45 @@ def infer(model: Model, column: pa.Array) -> tuple[list[str], np.ndarray, np.nda
         best_pi[better] = 0
         rows = np.flatnonzero(better)
         best_pi[rows[:, None], top[rows]] = fit[rows]
+    mixed = (like * np.repeat(best_pi, size, axis=0)).sum(1)
+    unknown[docs] = _em(np.stack([mixed, noise], 1), first, size, np.full((len(docs), 2), 0.5), 8)[0][:, 1]
     for row, d in enumerate(docs.tolist()):
         if letters[d]:
             best = int(best_pi[row].argmax())
             names[d], score[d], chosen[d] = model.languages[best], min(1.0, float(best_pi[row, best])), best_k[row]
             shares[d] = best_pi[row]
-    return names, score, chosen, shares.tolist()
+    return names, score, chosen, shares.tolist(), unknown
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """Per document: doc_id, lang_pred, score, n_languages (of the selected set), proportions."""
+    """Per document: doc_id, lang_pred, score, n_languages (of the selected set), unknown, proportions."""
     names = model.languages
     held = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x labels floats
 
     def run(batches):
         for batch in chunks(batches, CHUNK_BYTES):
-            lang, score, k, shares = infer(held.value, batch.column(1))
+            lang, score, k, shares, unknown = infer(held.value, batch.column(1))
             made = [[(a, b) for a, b in zip(names, own, strict=True) if b > 0] for own in shares]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(lang), pa.array(score), pa.array(k), pa.array(made, pa.map_(pa.string(), pa.float64()))],
-                names=["doc_id", "lang_pred", "score", "n_languages", "proportions"],
+                [batch.column(0), pa.array(lang), pa.array(score), pa.array(k), pa.array(unknown), pa.array(made, pa.map_(pa.string(), pa.float64()))],
+                names=["doc_id", "lang_pred", "score", "n_languages", "unknown", "proportions"],
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, n_languages long, proportions map<string,double>")
+    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, n_languages long, unknown double, proportions map<string,double>")
 
 
-def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents of a known language (lang_pred is not `und`), with all their columns."""
+def accepted(docs: DataFrame, model: Model, max_unknown: float = MAX_UNKNOWN) -> DataFrame:
+    """The documents written in learned languages, with all their columns: lang_pred is not `und` and at most max_unknown of the
+    words fit none of the languages found in them. """
     small_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x labels floats
     at = docs.columns.index("text")
 
     def run(batches):
         for batch in chunks(batches, CHUNK_BYTES):
-            lang = infer(held.value, batch.column(at))[0]
-            yield batch.filter(pa.array([x != UNKNOWN for x in lang]))
+            lang, _, _, _, unknown = infer(held.value, batch.column(at))
+            yield batch.filter(pa.array([x != UNKNOWN and u <= max_unknown for x, u in zip(lang, unknown.tolist(), strict=True)]))
 
     return docs.mapInArrow(run, docs.schema)
 
@@ -188,7 +197,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
 def op1_language_mixture(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, train(docs))
-    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "n_languages")
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "n_languages", "unknown")
 
 
 QUERIES = {"op1_language_mixture": op1_language_mixture}
