@@ -15,7 +15,7 @@ from tracelake.llm.common import staged, table
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a known language (those without a letter go)."""
+    """Documents written in learned languages: those go whose words, by the inferred mixture, mostly fit none of them."""
     return language_mixture.accepted(docs, language_mixture.train(docs))
 
 
