@@ -37,7 +37,7 @@ def test_index_counts_and_locates(n, size):
     index = op.FMIndex(text, size)
     for length in (1, 2, 5):
         phrases = np.array([text[i : i + length] for i in rng.integers(0, n - length, 10)] + [rng.integers(1, size, length)])
-        low, high = index.ranges(phrases, np.full(len(phrases), length))
+        low, high = index.ranges(phrases.reshape(-1), np.arange(len(phrases)) * length, np.full(len(phrases), length))
         for a, b, p in zip(low, high, phrases, strict=True):
             want = [i for i in range(n - length + 1) if (text[i : i + length] == p).all()]
             assert sorted(index.locate(np.arange(a, b)).tolist()) == want
@@ -96,3 +96,30 @@ def test_removal_does_not_depend_on_the_blocks(spark, documents):
     assert {(r["doc_id"], r["text"]) for r in left.collect()} == want
     texts = [(r["doc_id"], r["text"]) for r in left.collect()]
     assert not any(r[5] for r in brute(texts, items))
+
+
+def test_items_larger_than_a_block(spark, documents):
+    rng = np.random.default_rng(8)
+    long = [f"w{i}" for i in rng.integers(0, 400, 700)]
+    items = [(1, " ".join(long)), (2, "short one"), (3, "x" * 900), (4, " ".join(long[:30]))]
+    docs = [(1, "pre " + " ".join(long[93:130]) + " post"), (2, "a short one here"), (3, "x" * 900), (4, " ".join(long) + " and " + " ".join(long)), (5, " ".join(long[60:69]))]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    for limit in (op.BLOCK_BYTES, 300):
+        assert sorted([tuple(r) for r in op.decontaminate(documents(docs), benchmark, block_bytes=limit).collect()], key=str) == brute(docs, items)
+
+
+def test_very_long_text(spark, documents):
+    """A text of some MB in one row, with a passage at its end."""
+    passage = " ".join(f"w{i}" for i in range(12))
+    docs = [(1, "the of and " * 400_000 + passage), (2, passage.upper())]
+    got = {r["doc_id"]: r for r in op.decontaminate(documents(docs), spark.createDataFrame([(7, passage)], "item_id long, text string"), shard=100_000).collect()}
+    assert got[1]["n_words"] == 1_200_012 and got[1]["n_hit"] == got[2]["n_hit"] == 12
+
+
+def test_phrases_stay_small():
+    """A block holds about 16 bytes for each word of the benchmark."""
+    rng = np.random.default_rng(1)
+    texts = [(str(k), " ".join(f"w{i}" for i in rng.integers(0, 5000, 400)).encode()) for k in range(250)]
+    block = op.Phrases(texts)
+    held = sum(getattr(block, n).nbytes for n in ("stream", "start", "lengths", "item", "item_begin", "vocabulary"))
+    assert held < 25 * 100_000 and len(block.start) == 250 * 391

@@ -8,9 +8,10 @@ wavelet ranks; each occurrence is located by walking LF steps to the nearest sam
 Occurrences are merged into removal spans.
 
 Shards are cut at SHARD symbols with an overlap of one phrase less a word, so a very long document is
-searched whole.  Training rows never move: the operator is a map.  Only phrases are broadcast, in
-blocks of at most BLOCK_BYTES of benchmark text; a larger benchmark takes several passes whose spans are
-merged per row.
+searched whole.  Of the phrases only those are searched all of whose words occur in the shard.  Training rows never
+move: the operator is a map.  Only phrases are broadcast, in
+blocks of at most BLOCK_BYTES of benchmark text (some 16 bytes a word: the words once, and where each phrase starts; a larger item is cut
+between words with the overlap of a phrase); a larger benchmark takes several passes whose spans are merged per row.
 
 Defined results: a null or wordless text has no words and no hits; a null, empty or wordless item has
 no window; a null item_id counts as the empty string; an item_id that comes with several texts
@@ -31,7 +32,7 @@ from tracelake.llm.textbytes import ALNUM, LOWER, byte_texts, chunks, joined, wo
 WINDOW = 10
 SHARD = 1_000_000
 SAMPLE = 16
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 CHUNK_BYTES = 3 << 20
 #: Symbols: the one end of a shard (smallest), document ends, runs of other words, then phrase words.
 _STOP, _END, _OTHER, _FIRST = 0, 1, 2, 3
@@ -126,15 +127,15 @@ class FMIndex:
         self.kept_before = np.cumsum(kept) - kept
         self.positions = order[kept]
 
-    def ranges(self, phrases: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First and last (exclusive) row of the suffixes that start with each phrase (padded rows)."""
-        low, high = np.zeros(len(phrases), np.int64), np.full(len(phrases), self.n, np.int64)
-        alive = np.arange(len(phrases))
-        for back in range(1, phrases.shape[1] + 1):
+    def ranges(self, stream: np.ndarray, start: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and last (exclusive) row of the suffixes that start with each phrase, phrase i being stream[start[i]:][:lengths[i]]."""
+        low, high = np.zeros(len(start), np.int64), np.full(len(start), self.n, np.int64)
+        alive = np.arange(len(start))
+        for back in range(1, int(lengths.max(initial=0)) + 1):
             alive = alive[(lengths[alive] >= back) & (low[alive] < high[alive])]
             if not len(alive):
                 break
-            symbol = phrases[alive, lengths[alive] - back]
+            symbol = stream[start[alive] + lengths[alive] - back].astype(np.int64)
             base = self.before[symbol]
             low[alive] = base + self.wavelet.rank(symbol, low[alive])
             high[alive] = base + self.wavelet.rank(symbol, high[alive])
@@ -156,27 +157,41 @@ class FMIndex:
 
 
 class Phrases:
-    """The windows of a block of benchmark items, as symbols."""
+    """The distinct windows of a block of benchmark items, as stretches of the items' symbols, and the items of each."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
-        seen: dict[bytes, set[str]] = {}
         hashes = []
-        for name, text in items:
+        for _, text in items:
             data = LOWER[joined([text])[0]]
-            h = word_hashes(data, *word_edges(data, ALNUM))
-            if len(h):
-                hashes.append(h)
-            for i in range(max(1, len(h) - window + 1) if len(h) else 0):
-                seen.setdefault(h[i : i + window].tobytes(), set()).add(name)
-        self.vocabulary = np.unique(np.concatenate(hashes)) if hashes else np.empty(0, np.uint64)
+            hashes.append(word_hashes(data, *word_edges(data, ALNUM)))
+        size = np.array([len(h) for h in hashes], np.int64)
+        every = np.concatenate([*hashes, np.empty(0, np.uint64)])
+        self.longest = window
+        self.vocabulary = np.unique(every)
         self.size = len(self.vocabulary) + _FIRST
-        keys = sorted(seen)
-        self.lengths = np.array([len(k) // 8 for k in keys], np.int64)
-        self.symbols = np.zeros((len(keys), max([window, *self.lengths])), np.int64)
-        for row, k in enumerate(keys):
-            words = np.frombuffer(k, np.uint64)
-            self.symbols[row, : len(words)] = np.searchsorted(self.vocabulary, words) + _FIRST
-        self.items = [sorted(seen[k]) for k in keys]
+        self.stream = (np.searchsorted(self.vocabulary, every) + _FIRST).astype(np.int32)
+        many = np.where(size > 0, np.maximum(size - window + 1, 1), 0)
+        start = np.repeat(np.cumsum(size) - size - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        lengths = np.repeat(np.minimum(size, window), many)
+        self.names, name = np.unique(np.array([n for n, _ in items], object), return_inverse=True) if items else (np.empty(0, object), np.empty(0, np.int64))
+        padded = np.append(self.stream, np.zeros(window, np.int32))
+        rows = padded[start[:, None] + np.arange(window)] * (np.arange(window) < lengths[:, None])
+        rows = np.ascontiguousarray(rows, np.int32).view(np.dtype((np.void, 4 * window))).reshape(-1)
+        _, first, phrase = np.unique(rows, return_index=True, return_inverse=True) if len(rows) else (None, *[np.empty(0, np.int64)] * 2)
+        self.start, self.lengths = start[first].astype(np.int32), lengths[first].astype(np.int32)
+        pairs = np.unique(phrase.astype(np.int64) * max(1, len(self.names)) + np.repeat(name, many))
+        self.item = (pairs % max(1, len(self.names))).astype(np.int32)
+        self.item_begin = np.searchsorted(pairs // max(1, len(self.names)), np.arange(len(first) + 1)).astype(np.int32)
+
+    def items_of(self, phrase: int) -> list[str]:
+        return self.names[self.item[self.item_begin[phrase] : self.item_begin[phrase + 1]]].tolist()
+
+    def met(self, symbols: np.ndarray) -> np.ndarray:
+        """The phrases all of whose words are among the symbols."""
+        there = np.zeros(self.size, bool)
+        there[symbols] = True
+        missing = np.concatenate([[0], np.cumsum(~there[self.stream])])
+        return np.flatnonzero(missing[self.start + self.lengths] == missing[self.start])
 
     def encode(self, hashes: np.ndarray) -> np.ndarray:
         """Symbols of words; those not in any phrase are _OTHER."""
@@ -203,21 +218,23 @@ def search(phrases: Phrases, texts: list[bytes], shard: int = SHARD):
     ends = np.flatnonzero(new_doc[word] & (symbol != _END))  # a document that starts with a phrase word
     symbol = np.insert(symbol, ends, _END)
     word = np.insert(word, ends, -1)
-    overlap = phrases.symbols.shape[1] - 1
+    overlap = phrases.longest - 1
     hit_word, hit_size, hit_phrase = [], [], []
     at = 0
     while at < len(symbol) and len(phrases.lengths):
         stop = min(len(symbol), at + max(shard, 2 * overlap + 1))
         piece = np.append(symbol[at:stop], _STOP)
-        index = FMIndex(piece, phrases.size)
-        low, high = index.ranges(phrases.symbols, phrases.lengths)
-        some = np.flatnonzero(high > low)
-        count = (high - low)[some]
-        if len(some):
-            rows = np.repeat(low[some] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-            hit_word.append(word[at + index.locate(rows)])
-            hit_phrase.append(np.repeat(some, count))
-            hit_size.append(phrases.lengths[hit_phrase[-1]])
+        asked = phrases.met(piece)
+        if len(asked):
+            index = FMIndex(piece, phrases.size)
+            low, high = index.ranges(phrases.stream, phrases.start[asked], phrases.lengths[asked])
+            some = np.flatnonzero(high > low)
+            count = (high - low)[some]
+            if len(some):
+                rows = np.repeat(low[some] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+                hit_word.append(word[at + index.locate(rows)])
+                hit_phrase.append(np.repeat(asked[some], count))
+                hit_size.append(phrases.lengths[hit_phrase[-1]])
         if stop == len(symbol):
             break
         at = stop - overlap
@@ -228,7 +245,7 @@ def search(phrases: Phrases, texts: list[bytes], shard: int = SHARD):
         first, size, phrase = np.concatenate(hit_word), np.concatenate(hit_size), np.concatenate(hit_phrase)
         doc = owner[first]
         for d, p in np.unique(np.stack([doc, phrase]), axis=1).T.tolist():
-            names[d].update(phrases.items[p])
+            names[d].update(phrases.items_of(p))
         change = np.zeros(len(start) + 1, np.int64)
         np.add.at(change, first, 1)
         np.add.at(change, first + size, -1)
@@ -245,6 +262,35 @@ def search(phrases: Phrases, texts: list[bytes], shard: int = SHARD):
     return n_words, spans, byte_spans, names
 
 
+def _pieces(text: bytes, limit: int, window: int):
+    """A text, or stretches of its words of about `limit` bytes that overlap by a window less a word."""
+    start, end = word_edges(joined([text])[0], ALNUM) if len(text) > limit else (np.empty(0), np.empty(0))
+    if len(start) <= window:
+        yield text
+        return
+    at = 0
+    while True:
+        stop = min(len(start), max(at + window, int(np.searchsorted(end, start[at] + limit, side="right"))))
+        yield text[int(start[at]) : int(end[stop - 1])]
+        if stop == len(start):
+            return
+        at = stop - window + 1
+
+
+def _blocks(spark, benchmark: DataFrame, window: int, block_bytes: int) -> list:
+    """Broadcast blocks of the benchmark's phrases, at least one; the driver reads a partition of items at a time."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").alias("text"))
+    out, held, size = [], [], 0
+    for r in items.where("text is not null and text <> ''").toLocalIterator():
+        for piece in _pieces(r["text"].encode(), block_bytes, window):
+            if held and size + len(piece) > block_bytes:
+                out.append(spark.sparkContext.broadcast(Phrases(held, window)))
+                held, size = [], 0
+            held.append((r["item"], piece))
+            size += len(piece)
+    return [*out, spark.sparkContext.broadcast(Phrases(held, window))]
+
+
 _FOUND = "doc_row long, doc_id long, n_words long, words array<int>, bytes array<int>, items array<string>"
 
 
@@ -291,16 +337,9 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard: int
     """Per document row: doc_row, doc_id, n_words, words and bytes (flat hit spans), items."""
     spark = docs.sparkSession
     small_batches(spark)
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").alias("text"))
-    items = items.where("text is not null and text <> ''")
-    blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
     rows = docs.select(F.monotonically_increasing_id().alias("doc_row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    passes = []
-    for b in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)  # block_bytes of text, about
-        block = Phrases([(r["item"], r["text"].encode()) for r in own.toLocalIterator()], window)
-        passes.append(rows.mapInArrow(_scan(spark.sparkContext.broadcast(block), shard), _FOUND))
-    if blocks == 1:
+    passes = [rows.mapInArrow(_scan(block, shard), _FOUND) for block in _blocks(spark, benchmark, window, block_bytes)]
+    if len(passes) == 1:
         return passes[0]
     every = passes[0]
     for other in passes[1:]:
@@ -348,9 +387,7 @@ def without_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
     several blocks a task holds one at a time and loads them anew for every chunk of rows."""
     spark = docs.sparkSession
     small_batches(spark)
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").alias("text"))
-    items = items.where("text is not null and text <> ''")
-    blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
+    every = _blocks(spark, benchmark, window, block_bytes)
     at = docs.columns.index("text")
 
     def remove(batches):
@@ -370,11 +407,6 @@ def without_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
                 todo = [i for i, flat in zip(todo, spans, strict=True) if flat]
             yield batch.set_column(at, batch.schema.field(at), pa.array(made, batch.schema.field(at).type))
 
-    every = []
-    for b in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
-        block = Phrases([(r["item"], r["text"].encode()) for r in own.toLocalIterator()], window)
-        every.append(spark.sparkContext.broadcast(block))
     return docs.mapInArrow(remove, docs.schema)
 
 
