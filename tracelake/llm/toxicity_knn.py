@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tracelake.llm.common import held_out, staged, table
 from tracelake.llm.textbytes import U64, byte_texts, chunks, joined, mix64, noise64, word_edges
 
-MAX_LABELLED = 4000
+MAX_LABELLED = 3000
 NEIGHBOURS = 15
 BLOCK = 64
 POWER = 4
