@@ -241,6 +241,80 @@ def test_tagger_on_held_out_examples():
     assert hit / sum(map(len, found)) > 0.95 and hit / sum(len(b) for _, b in labelled) > 0.9
 
 
+def plain_tags(tagger, text):
+    """Window scores averaged over the whole text, then Viterbi by plain loops."""
+    code = pii_tagger.codes(text)
+    size, total, weight = len(code), np.zeros((len(code), pii_tagger.TAGS)), np.zeros(len(code))
+    for at in range(0, max(1, size - pii_tagger.STEP), pii_tagger.STEP):
+        window = np.zeros((1, pii_tagger.WINDOW), np.uint8)
+        window[0, : len(code[at : at + pii_tagger.WINDOW])] = code[at : at + pii_tagger.WINDOW]
+        emit = tagger.emissions(window)[0][:, 0]
+        for i in range(min(pii_tagger.WINDOW, size - at)):
+            near = 1 + min(i, pii_tagger.WINDOW - 1 - i)
+            total[at + i] += near * emit[i]
+            weight[at + i] += near
+    score = total / weight[:, None]
+    best = [{k: score[0, k] + tagger.w["start"][k] for k in range(pii_tagger.TAGS) if k == 0 or k % 2}]
+    back = []
+    for t in range(1, size):
+        now, come = {}, {}
+        for k in range(pii_tagger.TAGS):
+            way = {j: v + tagger.w["move"][j, k] for j, v in best[-1].items() if tagger.allowed[j, k]}
+            if way:
+                come[k] = max(way, key=way.get)
+                now[k] = way[come[k]] + score[t, k]
+        best.append(now)
+        back.append(come)
+    out = [max(best[-1], key=best[-1].get)]
+    for come in reversed(back):
+        out.append(come[out[-1]])
+    return out[::-1]
+
+
+def test_streamed_decoding_against_plain_loops(monkeypatch):
+    tagger = pii_tagger.trained()
+    texts = [t for t, _ in pii_tagger.examples(25, seed=3)] + [" ".join(t for t, _ in pii_tagger.examples(6, seed=4)), "7", "a" * 24, "1" * 48, "x" * 49]
+    want = [plain_tags(tagger, t) for t in texts]
+    for batch in (512, 7, 1):
+        monkeypatch.setattr(pii_tagger, "BATCH", batch)
+        assert [t.tolist() for t in pii_tagger.tagged(tagger, texts)] == want
+
+
+def test_loose_forms_in_held_out_documents(spark):
+    """Base spans of held-out documents, rewritten into loose forms where they stand, are added; nothing else is."""
+    docs = table(spark, "/root/testdata/sf0.1", "documents")
+    tagger = pii_tagger.train(docs)
+    texts = [r["text"] for r in docs.where(held_out(F.col("doc_id")) & F.col("text").rlike("[0-9@]")).select("text").collect()]
+    labelled = pii_tagger.stretch_examples(texts, 2000, 17)
+    base = [pii_tagger.base_spans(t) for t, _ in labelled]
+    found = pii_tagger.added_spans(tagger, [t for t, _ in labelled], base)
+    for kind in range(4):
+        planted = [(n, s) for n, (_, spans) in enumerate(labelled) for s in spans if s[2] == kind and s not in base[n]]
+        assert len(planted) > 20 and sum(s in found[n] for n, s in planted) >= 0.9 * len(planted), pii_tagger.KINDS[kind]
+    made = {(n, s) for n, own in enumerate(found) for s in own}
+    right = {(n, s) for n, (_, spans) in enumerate(labelled) for s in spans}
+    assert len(made - right) <= 0.03 * len(made)
+
+
+def test_long_words_are_spanned_whole():
+    long = "abcdefgh" * 12
+    text = f"write {long} (at) {long} (dot) com or call"
+    a, b = pii_tagger.stretches(text)[0]
+    assert a <= 6 and text[:b].endswith(long)
+    assert pii_tagger.stretches("x" * 500 + "7" + "y" * 500 + " z" * 60) == [(0, 1001)]
+
+
+def test_a_text_full_of_seeds_is_decoded_as_a_stream():
+    import tracemalloc
+
+    text = "12 345 a@ 6.7 " * 20_000
+    tracemalloc.start()
+    pii_tagger.added_spans(pii_tagger.trained(), [text], [pii_tagger.base_spans(text)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 * len(text)
+
+
 def test_tag_query_edge_cases(spark, documents):
     text = "é mail a.b@c.de or john [at] host [dot] com, call +1 (386) 555-1832"
     rows = [(1, text), (1, text), (2, None), (3, ""), (4, "no data"), (None, "9.9.9.9"), (5, "word " * 50_000 + "x@y.zz")]
@@ -248,7 +322,7 @@ def test_tag_query_edge_cases(spark, documents):
     first = [r for r in got if r["doc_id"] == 1]
     assert len(first) == 2 and first[0] == first[1] and (first[0]["n_email"], first[0]["n_phone"]) == (1, 1)
     base = set(pii_tagger.joined_spans(pii_tagger.base_spans(text)).split(","))
-    assert base <= set(first[0]["spans"].split(",")) and first[0]["n_added"] == len(first[0]["spans"].split(",")) - 2
+    assert base <= set(first[0]["spans"].split(",")) and first[0]["n_added"] == len(first[0]["spans"].split(",")) - 2 == first[0]["n_spans"] - 2
     assert all(r["spans"] == "" for r in got if r["doc_id"] in (2, 3, 4))
     assert [r["n_ip"] for r in got if r["doc_id"] is None] == [1] and [r["n_email"] for r in got if r["doc_id"] == 5] == [1]
     assert pii_tagger.tag(documents([])).collect() == []

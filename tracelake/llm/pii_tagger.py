@@ -1,24 +1,28 @@
 """Personal data: base patterns and a character BiLSTM with CRF transitions, trained in numpy.
 
 The base finds strict spans by pattern (`base_spans`); they always stay.  The tagger adds looser forms: it is a
-bidirectional LSTM over characters with a CRF over B/I tags per kind, trained from labelled spans that
-`examples` generates (seeded; strict and loose forms, and look-alikes that are no personal data).
+bidirectional LSTM over characters with a CRF over B/I tags per kind.  It is trained from labelled spans of two sources: texts
+that `examples` generates (seeded; strict and loose forms, and look-alikes that are no personal data), and stretches of at most about
+SAMPLED documents that are not held out (`stretch_examples`), labelled by their base spans, as they stand and with each span rewritten
+into a loose form (`loosened`); whatever else holds digits there is a look-alike to it.
 A text is decoded around its seeds, the characters every labelled form holds (an ASCII digit, `@`, or an at-word in
-brackets): stretches of REACH characters around seeds are covered by overlapping windows of WINDOW characters,
-each scored by the network; a character's scores are averaged over its windows by closeness to their
-middle, and one Viterbi pass over the whole stretch reconciles them.  An added span must hold the digits or marks of
-its kind (`plausible`) and overlap no base span.
+brackets): stretches of REACH characters around seeds, up to the ends of words, are covered by overlapping windows of WINDOW
+characters, each scored by the network; a character's scores are averaged over its windows by closeness to their
+middle, and one Viterbi pass over the whole stretch reconciles them.  A span that is tagged is added if it overlaps no base span
+and its digits are what its kind means (`sound`: Luhn and the number of digits, parts of an address up to 255); its form is the tagger's to judge.
 
-Whole texts are scanned; everything is a map; the weights (a few thousand numbers) are broadcast with the code.
-Training takes seconds and happens once per session.
+Whole texts are scanned; everything is a map; the weights (a few thousand numbers) are broadcast.  A long
+stretch is scored and decoded as a stream: what is kept of it are its characters and 9 bytes of back pointers for each.
+Training takes seconds.
 
 Defined results: a null or empty text has no spans; offsets are code points, ends exclusive; the spans of
 one place are ordered by kind (email, ip, card, phone); repeated rows give repeated results; the counts and
-base_sha256 are of the base spans, `spans` of all.
+base_sha256 are of the base spans, `spans` of all.  An empty table trains on the generated texts alone.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import re
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import table
+from tracelake.llm.common import held_out, small_batches, table
 from tracelake.llm.textbytes import chunks
 
 KINDS = ("email", "ip", "card", "phone")
@@ -36,6 +40,10 @@ WINDOW, STEP, REACH = 48, 24, 36
 EMBED, HIDDEN = 10, 14
 TAGS = 1 + 2 * len(KINDS)  # outside, then B and I of each kind
 CHUNK_BYTES = 4 << 20
+#: Documents to learn from, and stretches of them, at most (about).
+SAMPLED, STRETCHES = 3000, 700
+#: Windows scored at once.
+BATCH = 512
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
@@ -153,13 +161,58 @@ def examples(count: int = 900, seed: int = 7) -> list[tuple[str, list[tuple[int,
     return out
 
 
+def loosened(text: str, kind: int, rng) -> str:
+    """A strict span in a form that the patterns do not know."""
+
+    def pick(items):
+        return items[int(rng.integers(len(items)))]
+
+    digits = _digits(text)
+    if kind == 0:
+        user, _, domain = text.partition("@")
+        at, dot = pick([(" (at) ", " (dot) "), (" [at] ", " [dot] "), ("(at)", "(dot)"), ("[at]", "[dot]"), (" [at] ", "."), ("(at)", "."), (" @ ", ".")])
+        return user + at + domain.replace(".", dot)
+    if kind == 1:
+        return text.replace(".", pick([" . ", ",", "[.]", ". "]))
+    if kind == 2:
+        return pick([".", "/", "  ", "_", "\u00a0"]).join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    area, mid, last = digits[-10:-7], digits[-7:-4], digits[-4:]
+    return pick([f"({area}) {mid}-{last}", f"({area}) {mid} {last}", f"{area}-{mid}-{last}", f"{area}.{mid}.{last}", f"001 {area} {mid} {last}", f"1 ({area}) {mid}-{last}"])
+
+
+def stretch_examples(texts: list[str], count: int = STRETCHES, seed: int = 13) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """At most `count` labelled stretches of texts and as many with their spans loosened."""
+    found = []
+    for text in texts:
+        base = base_spans(text)
+        for a, b in stretches(text):
+            if b - a <= 4 * WINDOW:
+                found.append((text[a:b], [(x - a, y - a, k) for x, y, k in base if a <= x and y <= b]))
+    rng = np.random.default_rng(seed)
+    out = []
+    for i in rng.permutation(len(found))[:count].tolist():
+        text, spans = found[i]
+        # of overlapping spans the first is the label
+        spans = [s for n, s in enumerate(spans) if all(s[0] >= t[1] for t in spans[:n])]
+        out.append((text, spans))
+        if spans:
+            made, moved, at = "", [], 0
+            for x, y, k in spans:
+                made += text[at:x]
+                loose = loosened(text[x:y], k, rng)
+                moved.append((len(made), len(made) + len(loose), k))
+                made, at = made + loose, y
+            out.append((made + text[at:], moved))
+    return out
+
+
 # ---- the network -----------------------------------------------------------------------------------------------------
 
 
 def codes(text: str) -> np.ndarray:
     """Character classes: ASCII as it is, everything else 127."""
     raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.where(raw < 127, raw, 127).astype(np.int64)
+    return np.minimum(raw, 127).astype(np.uint8)
 
 
 def _sigmoid(x):
@@ -213,20 +266,9 @@ class Tagger:
 
     def viterbi(self, scores: np.ndarray) -> np.ndarray:
         """Best tags of one stretch (steps, TAGS)."""
-        moves = self._moves()
-        start = np.where(np.arange(TAGS) % 2 == 0, -1e4, 0.0)
-        start[0] = 0.0
-        best = scores[0] + self.w["start"] + start
-        back = np.zeros(scores.shape, np.int64)
-        for t in range(1, len(scores)):
-            step = best[:, None] + moves
-            back[t] = step.argmax(0)
-            best = step.max(0) + scores[t]
-        path = np.empty(len(scores), np.int64)
-        path[-1] = best.argmax()
-        for t in range(len(scores) - 1, 0, -1):
-            path[t - 1] = back[t, path[t]]
-        return path
+        decoder = Decoder(self)
+        decoder.feed(scores)
+        return decoder.path()
 
     def gradients(self, chars, tags, mask):
         """Negative log-likelihood per window and its gradients; tags and mask are (batch, steps)."""
@@ -302,6 +344,34 @@ class Tagger:
         return float(np.mean(losses))
 
 
+class Decoder:
+    """Viterbi over a stretch whose scores come in pieces; keeps one byte per character and tag."""
+
+    def __init__(self, tagger: Tagger):
+        self.moves, self.first = tagger._moves(), tagger.w["start"] + np.where((np.arange(TAGS) % 2 == 0) & (np.arange(TAGS) > 0), -1e4, 0.0)
+        self.best, self.back = None, []
+
+    def feed(self, scores: np.ndarray) -> None:
+        back = np.zeros(scores.shape, np.int8)
+        for t, row in enumerate(scores):
+            if self.best is None:
+                self.best = row + self.first
+                continue
+            step = self.best[:, None] + self.moves
+            back[t] = step.argmax(0)
+            self.best = step.max(0) + row
+        self.back.append(back)
+
+    def path(self) -> np.ndarray:
+        back = np.concatenate(self.back)
+        out = np.empty(len(back), np.int8)
+        tag = int(self.best.argmax())
+        for t in range(len(back) - 1, -1, -1):
+            out[t] = tag
+            tag = back[t, tag]
+        return out
+
+
 def _training_windows(labelled):
     chars, tags, mask = [], [], []
     for text, spans in labelled:
@@ -321,21 +391,47 @@ def _training_windows(labelled):
 
 
 @functools.cache
-def trained() -> Tagger:
-    """The tagger, trained on the generated examples (once per process that asks)."""
+def trained(texts: tuple[str, ...] = ()) -> Tagger:
+    """The tagger, trained on the generated examples and on stretches of the texts (once per process that asks)."""
     tagger = Tagger()
-    tagger.fit(examples())
+    tagger.fit(examples() + stretch_examples(list(texts)))
     return tagger
 
 
+def train(docs: DataFrame, sampled: int = SAMPLED) -> Tagger:
+    """Learn from a bounded sample of documents that are not held out, chosen by a hash of the id."""
+    small_batches(docs.sparkSession)
+    total = docs.count()
+    ticket = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("pii")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    rows = docs.where(~held_out(F.col("doc_id")) & (ticket < sampled / max(1, total)))
+
+    def run(batches):
+        for batch in chunks(batches, CHUNK_BYTES):
+            own = [t or "" for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([t[a:b] for t in own for a, b in stretches(t) if b - a <= 4 * WINDOW], pa.string())], names=["text"])
+
+    found = rows.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "text string")
+    # `sampled` documents, about; their stretches come in any order, so the tie-free order by text makes reruns agree
+    return trained(tuple(r["text"] for r in found.distinct().orderBy(F.xxhash64("text"), "text").limit(4 * STRETCHES).collect()))
+
+
 # ---- decoding --------------------------------------------------------------------------------------------------------
 
 
 def stretches(text: str) -> list[tuple[int, int]]:
-    """Parts of a text around its seeds."""
+    """Parts of a text around its seeds, from and to the ends of words."""
     out: list[list[int]] = []
     for m in _SEED.finditer(text):
         a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
+        if out and b <= out[-1][1]:
+            continue
+        while b < len(text) and not text[b].isspace():
+            b += 1
+        if out and a <= out[-1][1]:
+            out[-1][1] = b
+            continue
+        while a > 0 and not text[a - 1].isspace():
+            a -= 1
         if out and a <= out[-1][1]:
             out[-1][1] = b
         else:
@@ -343,70 +439,82 @@ def stretches(text: str) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def plausible(text: str, kind: int) -> bool:
-    """What every loose form of a kind must hold."""
-    digits = len(_digits(text))
-    if kind == 0:
-        return re.search(r"@|[(\[]\s?at\s?[)\]]", text) is not None and re.search(r"\w\s?(?:\.|[(\[]\s?dot\s?[)\]])\s?[A-Za-z]{2}", text) is not None
+def sound(text: str, kind: int) -> bool:
+    """Whether the digits of a tagged span are what its kind means, whatever its form."""
+    digits = _digits(text)
     if kind == 1:
-        return re.fullmatch(r"(?:[0-9]{1,3}[.,\s]\s?){3}[0-9]{1,3}", text) is not None
+        parts = re.findall("[0-9]+", text)
+        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
     if kind == 2:
-        return 14 <= digits <= 19 and luhn(_digits(text))
-    return 10 <= digits <= 15 and re.fullmatch(r"[+0-9().\s-]+", text) is not None and not text.isdigit()
+        return 14 <= len(digits) <= 19 and luhn(digits)
+    return kind == 0 or 10 <= len(digits) <= 15
 
 
 _AVERAGE = 1.0 + np.minimum(np.arange(WINDOW), WINDOW - 1 - np.arange(WINDOW))
 
 
+def tagged(tagger: Tagger, parts: list[str]):
+    """Tags of the characters of each part, in order; parts are scored window by window, BATCH at a time, across their borders."""
+    decoder, whole, tail = Decoder(tagger), None, None  # of the part at hand: its decoder, its length, the second half of its last window
+    queue: list[tuple[np.ndarray, int, int]] = []  # window, its place in the part, the part's length
+
+    def run():
+        nonlocal decoder, tail
+        emit, _ = tagger.emissions(np.array([w for w, _, _ in queue]))
+        emit *= _AVERAGE[:, None, None]
+        for k, (_, at, size) in enumerate(queue):
+            own, weight = emit[:STEP, k], _AVERAGE[:STEP].copy()
+            if at:
+                own, weight = own + tail, weight + _AVERAGE[STEP:]
+            tail = emit[STEP:, k]
+            decoder.feed((own / weight[:, None])[: size - at])
+            if at + STEP >= size - STEP:  # the last window: what follows is its second half alone
+                decoder.feed((tail / _AVERAGE[STEP:, None])[: max(0, size - at - STEP)])
+                yield decoder.path()
+                decoder = Decoder(tagger)
+        queue.clear()
+
+    for part in parts:
+        code = codes(part)
+        for at in range(0, max(1, len(code) - STEP), STEP):
+            piece = code[at : at + WINDOW]
+            queue.append((np.pad(piece, (0, WINDOW - len(piece))), at, len(code)))
+            if len(queue) >= BATCH:
+                yield from run()
+    if queue:
+        yield from run()
+
+
 def added_spans(tagger: Tagger, texts: list[str], base: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
     """Spans the tagger finds in each text besides its base spans."""
     parts = [(n, a, b) for n, text in enumerate(texts) for a, b in stretches(text)]
     out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
-    windows, place = [], []
-    scores = [np.zeros((b - a, TAGS)) for _, a, b in parts]
-    weight = [np.zeros((b - a, 1)) for _, a, b in parts]
-
-    def score():
-        emit, _ = tagger.emissions(np.array(windows))
-        for k, (p, at) in enumerate(place):
-            size = min(WINDOW, len(scores[p]) - at)
-            scores[p][at : at + size] += emit[:size, k] * _AVERAGE[:size, None]
-            weight[p][at : at + size] += _AVERAGE[:size, None]
-        windows.clear()
-        place.clear()
-
-    for p, (n, a, b) in enumerate(parts):
-        code = codes(texts[n][a:b])
-        for at in range(0, max(1, len(code) - STEP), STEP):
-            windows.append(np.pad(code[at : at + WINDOW], (0, max(0, WINDOW - len(code) + at))))
-            place.append((p, at))
-            if len(windows) >= 512:
-                score()
-    if windows:
-        score()
-    for p, (n, a, b) in enumerate(parts):
-        tags = tagger.viterbi(scores[p] / weight[p])
-        begin = np.flatnonzero((tags > 0) & (tags % 2 == 1))
-        for at in begin.tolist():
+    kinds = [[[s for s in own if s[2] == k] for k in range(len(KINDS))] for own in base]
+    for (n, a, _), tags in zip(parts, tagged(tagger, [texts[n][a:b] for n, a, b in parts]), strict=True):
+        for at in np.flatnonzero((tags > 0) & (tags % 2 == 1)).tolist():
             stop = at + 1
             while stop < len(tags) and tags[stop] == tags[at] + 1:
                 stop += 1
             kind, piece = int(tags[at] - 1) // 2, texts[n][a + at : a + stop]
-            lead = len(piece) - len(piece.lstrip())
-            start, end = a + at + lead, a + at + len(piece.rstrip())
-            clash = any(x < end and start < y for x, y, _ in base[n])
-            if not clash and plausible(texts[n][start:end], kind):
+            start, end = a + at + len(piece) - len(piece.lstrip()), a + at + len(piece.rstrip())
+            if not any(_meets(own, start, end) for own in kinds[n]) and sound(texts[n][start:end], kind):
                 out[n].append((start, end, kind))
     return out
 
 
+def _meets(spans: list[tuple[int, int, int]], start: int, end: int) -> bool:
+    """Whether [start, end) overlaps one of the spans, which are in order and apart: the last that begins before `end` tells."""
+    at = bisect.bisect_left(spans, (end,))
+    return at > 0 and spans[at - 1][1] > start
+
+
 def joined_spans(spans) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, b, k in sorted(spans, key=lambda s: (s[0], s[2], s[1])))
 
 
-def tag(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, counts of base spans, base_sha256, spans (all), n_added."""
-    held = docs.sparkSession.sparkContext.broadcast(trained())
+def tag(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
+    """Per document: doc_id, counts of base spans, base_sha256, spans (all), n_added, n_spans (all)."""
+    held = docs.sparkSession.sparkContext.broadcast(tagger or trained())
 
     def run(batches):
         tagger = held.value
@@ -419,11 +527,12 @@ def tag(docs: DataFrame) -> DataFrame:
             cols.append(pa.array([hashlib.sha256(joined_spans(own).encode()).hexdigest() for own in base]))
             cols.append(pa.array([joined_spans([*a, *b]) for a, b in zip(base, more, strict=True)]))
             cols.append(pa.array([len(own) for own in more], pa.int64()))
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
+            cols.append(pa.array([len(a) + len(b) for a, b in zip(base, more, strict=True)], pa.int64()))
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "n_spans"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    return rows.mapInArrow(run, f"doc_id long, {counts}, base_sha256 string, spans string, n_added long")
+    return rows.mapInArrow(run, f"doc_id long, {counts}, base_sha256 string, spans string, n_added long, n_spans long")
 
 
 def redact(text: str | None, tagger: Tagger | None = None) -> str | None:
@@ -441,7 +550,8 @@ def redact(text: str | None, tagger: Tagger | None = None) -> str | None:
 
 
 def op6_pii_tagger(spark, sf_dir):
-    return tag(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return tag(docs, train(docs))
 
 
 QUERIES = {"op6_pii_tagger": op6_pii_tagger}
