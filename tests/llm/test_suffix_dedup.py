@@ -117,3 +117,34 @@ def test_hot_windows_are_collapsed_where_they_are_read():
 
 def test_empty_table(documents):
     assert op.suffix_dedup(documents([])).collect() == []
+
+
+def test_classes_whose_first_hashes_collide():
+    """With all first class hashes equal the second one still tells runs apart."""
+    class Colliding(op.Anchors):
+        def __init__(self, texts, full):
+            super().__init__(texts, full)
+            if full:
+                self.ctx = np.zeros(len(self.ctx), np.uint64)
+
+    rows = [(i, t) for i, t in corpus() if i is not None]
+    texts = [(t or "").encode() for _, t in rows]
+    plain, odd = op.Anchors(texts, True), Colliding(texts, True)
+    for found in (plain, odd):
+        rec = np.zeros(len(found.at), op._RECORD)
+        rec["ctx"], rec["more"] = found.ctx, found.more
+        order = np.lexsort((rec["more"], rec["ctx"]))
+        group = np.empty(len(rec), np.int64)
+        group[order] = np.cumsum(op._opens(rec[order]))
+        content = [texts[o][a : a + (s >> 8) + 50] + bytes([s & 255]) for o, a, s in zip(found.owner.tolist(), found.at.tolist(), found.span.tolist(), strict=True)]
+        assert len(set(group.tolist())) == len(set(content)) == len(set(zip(group.tolist(), content, strict=True)))
+
+
+def test_a_text_of_some_megabytes(documents):
+    rng = np.random.default_rng(6)
+    passage = "".join(rng.choice(list("abcdefgh "), 3000))
+    filler = "".join(rng.choice(list("ijklmnop "), 2_500_000))
+    rows = [(1, passage), (2, filler[:1_200_000] + passage[100:2900] + filler[1_200_000:]), (3, filler[5000:6000])]
+    got = {r["doc_id"]: r for r in op.suffix_dedup(documents(rows)).collect()}
+    assert (got[1]["n_removed"], got[2]["n_removed"], got[3]["n_removed"]) == (0, 2800, 1000)
+    assert got[2]["kept"] == filler.encode()

@@ -17,7 +17,9 @@ What must be compared is brought together first, exactly (later copies of a whol
    of about SHARD bytes cut between keys.  Keys of more than HOT_KEY runs are split by window content.
 
 Removed runs are merged per document.  Texts move only for documents with partly equal runs or removals (chosen by a filter
-of fixed size, then joined exactly).  Run contents and anchors are compared by 64-bit hashes.
+of fixed size, then joined exactly).  Anchors, which only bring runs together, are compared by 64-bit hashes; whole runs, where equality
+is the verdict, by 96 bits of two independent hashes (one wrong class is to be expected among 10^14 runs).
+There are as many buckets as shuffle partitions, more where a bucket would otherwise stand for over BUCKET_BYTES of text.
 
 Defined results: null text counts as empty; a null doc_id is neither smaller nor larger than another, its row
 keeps all bytes; rows that repeat a doc_id are one document, never smaller than itself;
@@ -46,10 +48,11 @@ FLUSH = 500_000
 SHARD = 1 << 20
 HOT_KEY = 20_000
 CHUNK_BYTES = 1 << 18
-_BYTE = noise64(256, 5)
+BUCKET_BYTES = 256 << 20
+_BYTE, _OTHER_BYTE = noise64(256, 5), noise64(256, 7)
 _MUL = noise64(8, 6) | U64(1)
-#: Columns of a packed run: class hash, document, mark of its text, first window, windows << 8 | anchor offset, side hashes.
-_RECORD = np.dtype([("ctx", "u8"), ("doc", "i8"), ("mark", "i4"), ("at", "i4"), ("span", "u2"), ("l", "u4"), ("r", "u4")])
+#: Columns of a packed run: class hash and 32 bits of another one, document, mark of its text, first window, windows << 8 | anchor offset, side hashes.
+_RECORD = np.dtype([("ctx", "u8"), ("more", "u4"), ("doc", "i8"), ("mark", "i4"), ("at", "i4"), ("span", "u2"), ("l", "u4"), ("r", "u4")])
 _REQUEST = np.dtype([("key", "u8"), ("first", "i4"), ("last", "i4")])
 
 
@@ -170,6 +173,15 @@ class Anchors:
                 return (x16[i] * _MUL[6] + x16[i + 16]) * _MUL[7] + x16[i + 32] * _MUL[5] + x2[i + 48]
 
             self.ctx = mix64(fifty(s0) ^ mix64(fifty(s1) + self.span.astype(U64)))
+            # the same of another family, over the places that are asked for alone
+            y16 = _OTHER_BYTE[padded]
+            for k in range(4):
+                y16 = y16[: -(1 << k)] * _MUL[7 - k] + y16[1 << k :]
+
+            def other(i):
+                return (y16[i] * _MUL[0] + y16[i + 16]) * _MUL[1] + y16[i + 32] * _MUL[2] + y16[i + 34]
+
+            self.more = (mix64(other(s0) ^ mix64(other(s1) + self.span.astype(U64))) >> U64(32)).astype(np.uint32)
             left, right = place - s0 >= SIDE, s1 >= place - SIDE + 1
             lead, tail = np.maximum(place - SIDE, 0), place + K
             self.l = np.where(left, mix64(x8[lead] * _MUL[6] + x4[lead + 8] + self.k) >> U64(32) | U64(1), U64(0)).astype(np.uint32)
@@ -256,6 +268,13 @@ _OUT = "kind int, bucket int, doc long, mark int, payload binary"
 _SPANS, _RECORDS, _REQUESTS = 0, 1, 2
 
 
+def _opens(rec: np.ndarray) -> np.ndarray:
+    """Where a class of equal runs begins in sorted records."""
+    new = np.ones(len(rec), bool)
+    new[1:] = (rec["ctx"][1:] != rec["ctx"][:-1]) | (rec["more"][1:] != rec["more"][:-1])
+    return new
+
+
 def _packed(rec: np.ndarray) -> bytes:
     """Records column by column, by document, so that blocks compress."""
     rec = rec[np.argsort(rec["doc"], kind="stable")]
@@ -324,9 +343,9 @@ def _collect_runs(bits: int, buckets: int, held_filter):
 
         def flush():
             rec, bucket = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((rec["doc"], rec["ctx"]))
+            order = np.lexsort((rec["doc"], rec["more"], rec["ctx"]))
             rec, bucket = rec[order], bucket[order]
-            new = np.diff(rec["ctx"], prepend=rec["ctx"][:1] ^ U64(1)) != 0
+            new = _opens(rec)
             least = rec["doc"][np.flatnonzero(new)][np.cumsum(new) - 1]
             gone = rec[rec["doc"] > least]
             yield from _spans_out(gone["doc"], gone["mark"], gone["at"], gone["at"] + (gone["span"] >> 8).astype(np.int64) + MIN_LENGTH, buckets)
@@ -347,7 +366,7 @@ def _collect_runs(bits: int, buckets: int, held_filter):
             for at in _bits(found.k, bits):
                 keep &= (bitmap[bucket, at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
             rec = np.zeros(int(keep.sum()), _RECORD)
-            for name in ("ctx", "at", "span", "l", "r"):
+            for name in ("ctx", "more", "at", "span", "l", "r"):
                 rec[name] = getattr(found, name)[keep]
             rec["doc"] = batch.column(0).to_numpy()[found.owner[keep]]
             rec["mark"] = batch.column(1).to_numpy()[found.owner[keep]]
@@ -380,8 +399,8 @@ def _settle(buckets: int, hot_key: int):
         if not parts:
             return
         rec = np.concatenate(parts)
-        rec = rec[np.lexsort((rec["doc"], rec["ctx"]))]
-        new = np.diff(rec["ctx"], prepend=rec["ctx"][:1] ^ U64(1)) != 0
+        rec = rec[np.lexsort((rec["doc"], rec["more"], rec["ctx"]))]
+        new = _opens(rec)
         head = np.flatnonzero(new)
         least = rec["doc"][head][np.cumsum(new) - 1]
         lost = rec["doc"] > least
@@ -527,26 +546,28 @@ def _apply(text: bytes, payloads: list[bytes]) -> tuple[int, int, bytes]:
     return int((merged[:, 1] - merged[:, 0]).sum()), len(merged), b"".join(kept)
 
 
-def first_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc, mark, text) that can share a string, without later copies of a text; and those copies (doc, mark, n_bytes).
+def first_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Rows (doc, mark, text) that can share a string, without later copies of a text; those copies (doc, mark, n_bytes); bytes in all.
 
     All strings of a copy start in the first one too, so the copy loses everything and need not be searched."""
     rows = _keyed(docs).where("doc is not null and octet_length(text) >= %d" % MIN_LENGTH)
     digest = F.unhex(F.sha2("text", 256))
     small = staged(rows.select("doc", "mark", digest.alias("sha"), F.octet_length("text").cast("long").alias("n_bytes")), "text-digests")
     groups = staged(small.groupBy("sha", "n_bytes").agg(F.min("doc").alias("least"), F.count("*").alias("rows")).where("rows > 1"), "text-classes")
-    total = small.count()
+    total, n_bytes = small.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
     later = attach_groups(small, groups, ["sha", "n_bytes"], "rows", total).where("doc > least").select("doc", "mark", "n_bytes").distinct()
     later = staged(later, "text-copies")
     unsure, sure = split_by(rows, "doc", later, "doc")
     unsure = unsure.join(later.select("doc", "mark"), ["doc", "mark"], "left_anti")
-    return sure.unionByName(staged(unsure.select("doc", "mark", "text"), "unsure-copies")), later
+    return sure.unionByName(staged(unsure.select("doc", "mark", "text"), "unsure-copies")), later, n_bytes
+
 
+def removed_spans(rows: DataFrame, hot_key: int = HOT_KEY, n_bytes: int = 0) -> DataFrame:
+    """doc, mark (low bits of the text's hash), spans: packed (first, stop) byte spans to remove, several per document.
 
-def removed_spans(rows: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
-    """doc, mark (low bits of the text's hash), spans: packed (first, stop) byte spans to remove, several per document."""
+    n_bytes: the size of all texts, if known; it sets the least number of buckets."""
     spark = rows.sparkSession
-    buckets = shuffle_partitions(spark)
+    buckets = max(shuffle_partitions(spark), n_bytes // BUCKET_BYTES)
     bits = FILTER_BYTES * 8 // buckets // 8 * 8
     seen = rows.mapInArrow(_collect_anchors(buckets), "bucket int, once binary, often binary")
     seen = seen.repartitionById(buckets, F.col("bucket")).mapInArrow(_repeated(bits), "bucket int, bits binary")
@@ -586,8 +607,8 @@ def _finish(batches):
 
 def suffix_dedup(docs: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
     """Per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (null where nothing is removed)."""
-    first, copies = first_copies(docs)
-    spans = staged(removed_spans(first, hot_key), "spans")
+    first, copies, n_bytes = first_copies(docs)
+    spans = staged(removed_spans(first, hot_key, n_bytes), "spans")
     whole = copies.select("doc", "mark", F.lit(None).cast("binary").alias("spans"))  # an empty list of spans: all of it
     every = spans.unionByName(whole).groupBy("doc", "mark").agg(F.collect_list("spans").alias("spans"))
     rows = _keyed(docs)
