@@ -67,10 +67,12 @@ def _rule(rules):
 
 def host_edges(split: DataFrame) -> DataFrame:
     """src, dst, n: links between different hosts and their number."""
-    attribute = r"(?i)<{tag}\b[^>]*?\shref\s*=\s*[\"']?([^\"'\s>]+)"
-    base = F.regexp_extract("html", attribute.format(tag="base"), 1)
-    links = F.regexp_extract_all(F.col("html"), F.lit(attribute.format(tag="(?:a|area|link)")), F.lit(1))
-    found = split.where(F.col("host") != "").select("host", _absolute(base).alias("base"), F.explode(links).alias("link"))
+    away = F.regexp_extract_all(F.col("html"), F.lit(r"(?i)href\s*=\s*[\"']?((?:https?:)?//[^\"'\s>]+)"), F.lit(1))
+    every = F.regexp_extract_all(F.col("html"), F.lit(r"(?i)<(?:a|area|link)\b[^>]*?\shref\s*=\s*[\"']?([^\"'\s>]+)"), F.lit(1))
+    base = F.when(F.lower("html").contains("<base"), F.regexp_extract("html", r"(?i)<base\b[^>]*?\shref\s*=\s*[\"']?([^\"'\s>]+)", 1))
+    based = split.where(F.col("host") != "").withColumn("base", _absolute(F.coalesce(base, F.lit(""))))
+    # pages that name another base are rare: only of them all links are read
+    found = based.select("host", "base", F.explode(F.when(F.col("base") == "", away).otherwise(every)).alias("link"))
     relative = ~F.col("link").rlike(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:|//|#)")
     full = F.when(relative, F.col("base")).otherwise(_absolute(F.col("link")))
     counted = found.select(F.col("host").alias("src"), _host(full).alias("dst")).where("dst <> '' and src <> dst")
