@@ -6,6 +6,7 @@ unique column, so results do not depend on file or partition order.
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,8 +18,6 @@ from tracelake.plans import vocabulary
 from tracelake.sources import schemas
 
 OCR_CUTOFF = 60.0
-#: A query runs against at most this many vectors at once as literals in one plan.
-MAX_VARIANTS = 64
 
 
 def empty(spark: SparkSession) -> DataFrame:
@@ -127,13 +126,17 @@ def event(events: DataFrame, query: str, k: int) -> DataFrame:
 def scored_texts(texts: DataFrame, query: str, column: str = "text") -> DataFrame:
     """Rows whose text holds the query (100) or is similar to it (OCR_CUTOFF at least).
 
-    Containment is decided in the JVM; only the other rows pass the Pandas UDF."""
+    Containment is decided in the JVM, as is whether enough of the query's characters occur at all (a similarity of s needs
+    s / (200 - s) of them); only the rows that are left pass the Pandas UDF."""
     wanted = "".join(query.casefold().split())
     rows = texts.withColumn("_t", text.normal_text(column)).where("_t <> ''")
     if not wanted:
         return rows.where("false").withColumn("similarity", F.lit(0.0)).drop("_t")
     held = rows.where(F.col("_t").contains(wanted)).withColumn("similarity", F.lit(100.0))
-    rest = rows.where(~F.col("_t").contains(wanted)).withColumn("similarity", fuzzy.similarity_to(wanted, F.col("_t")))
+    letters = Counter(wanted)
+    met = reduce(lambda a, b: a + b, [F.when(F.col("_t").contains(c), F.lit(n)).otherwise(0) for c, n in letters.items()])
+    near = rows.where(~F.col("_t").contains(wanted) & (met >= OCR_CUTOFF / (200 - OCR_CUTOFF) * len(wanted)))
+    rest = near.withColumn("similarity", fuzzy.similarity_to(wanted, F.col("_t")))
     return held.unionByName(rest.where(F.col("similarity") >= OCR_CUTOFF)).drop("_t")
 
 
@@ -159,18 +162,20 @@ def nearest(table: DataFrame, query, k: int, tie: str, column: str = "vec", norm
 def nearest_variants(table: DataFrame, queries: list, k: int, tie: str, over: int = 3, column: str = "vec") -> DataFrame:
     """Best score of each row over several query vectors, `over` * k candidates of each; one scan for all.
 
-    The scores of all variants are columns of the same projection; a row stays if it is among the best of any."""
-    if not queries or len(queries) > MAX_VARIANTS:
-        raise ValueError(f"1 to {MAX_VARIANTS} query vectors are needed")
-    scored = table
-    for i, q in enumerate(queries):
+    All scores of a row are one array; the best of each variant are kept per partition before anything is shuffled."""
+    if not queries:
+        raise ValueError("at least one query vector is needed")
+    unit = []
+    for q in queries:
         size = sum(float(x) ** 2 for x in q) ** 0.5 or 1.0
-        scored = scored.withColumn(f"_s{i}", vectors.dot(F.col(column), vectors.literal([float(x) / size for x in q])))
-    names = [f"_s{i}" for i in range(len(queries))]
-    parts = [top(scored, over * k, F.desc(n), tie).withColumn("score", F.col(n)).drop(*names) for n in names]
-    merged = reduce(DataFrame.unionByName, parts)
-    best = merged.withColumn("_n", F.row_number().over(Window.partitionBy(tie).orderBy(F.desc("score")))).where("_n = 1").drop("_n")
-    return top(best, over * k, F.desc("score"), tie)
+        unit.append([float(x) / size for x in q])
+    scores = F.transform(vectors.literal_rows(unit), lambda q: vectors.dot(F.col(column), q))
+    rest = [c for c in table.columns if c != column]
+    scored = table.select(*rest, F.posexplode(scores).alias("_variant", "score"))
+    place = F.row_number().over(Window.partitionBy("_variant").orderBy(F.desc("score"), tie))
+    some = scored.withColumn("_n", place).where(F.col("_n") <= over * k).drop("_n")
+    best = some.withColumn("_n", F.row_number().over(Window.partitionBy(tie).orderBy(F.desc("score"), "_variant"))).where("_n = 1")
+    return top(best.drop("_n", "_variant"), over * k, F.desc("score"), tie)
 
 
 def vector(table: DataFrame, queries: list, k: int, segments: bool = True, parity: bool = False) -> DataFrame:

@@ -28,6 +28,13 @@ def precision_recall(results: DataFrame, expected: DataFrame, k: int) -> DataFra
     return joined.select("query_id", "hits", (F.col("hits") / F.lit(k)).alias("precision_at_k"), recall.alias("recall"))
 
 
+def by_mode(reports: DataFrame, places: int = 4) -> DataFrame:
+    """Macro means per mode of the queries' precision and recall (mode, precision_at_k, recall)."""
+    return reports.groupBy("mode").agg(
+        F.count("*").alias("n_queries"), F.round(F.avg("precision_at_k"), places).alias("precision_at_k"), F.round(F.avg("recall"), places).alias("recall")
+    )
+
+
 def first_relevant(results: DataFrame, expected: DataFrame) -> DataFrame:
     """Per query the first rank (0: none) whose video is expected, and whether it is at 1 or up to 5."""
     own = results.select("query_id", "rank", text.folded_stem("video_name").alias("_s"))
@@ -74,6 +81,6 @@ def event_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("video_id").agg(F.count("*").alias("n_events"), F.array_sort(F.collect_set("event_type")).alias("event_types"))
 
 
-def ingest_totals(videos: DataFrame, nested: str) -> DataFrame:
+def ingest_totals(rows: DataFrame, nested: str, key: str = "video_id") -> DataFrame:
     """Videos and elements of a nested layer column in all."""
-    return videos.agg(F.count("*").alias("n_videos"), F.coalesce(F.sum(F.size(nested)), F.lit(0)).alias("n_items"))
+    return rows.agg(F.count_distinct(key).alias("n_videos"), F.coalesce(F.sum(F.size(nested)), F.lit(0)).alias("n_items"))

@@ -72,7 +72,7 @@ def points_in_intervals(points: DataFrame, key: str, at: str, intervals: DataFra
 
 
 def nearest_state(points: DataFrame, key: str, at: str, row_id: str, states: DataFrame, state_at: str, rank: list, within: float, columns: list[str]) -> DataFrame:
-    """As-of join, both sides: each point with the state nearest in time, at most `within` away; ties by rank.
+    """As-of join, both sides: each point with the state nearest in time, at most `within` away; ties by rank.  row_id names a point within its key.
 
     States are entered in their own and both neighbouring buckets of width `within`; points without a state go."""
     lane = F.floor(F.col(state_at) / within).cast("long")
@@ -81,8 +81,9 @@ def nearest_state(points: DataFrame, key: str, at: str, row_id: str, states: Dat
     gap = F.abs(F.col("_t") - F.col(at))
     met = own.join(near, (F.col(key) == F.col("_k")) & (F.col("_lane") == F.col("_lane_of")) & (gap <= within))
     order = F.struct(gap.alias("gap"), *[F.col(f"_r{i}") for i in range(len(rank))])
-    best = met.groupBy(*points.columns).agg(F.min_by(F.struct(*[F.col(f"state_{c}") for c in columns], F.col("_t").alias("state_at")), order).alias("_s"))
-    return best.select(*points.columns, "_s.*")
+    state = F.struct(*[F.col(f"state_{c}") for c in columns], F.col("_t").alias("state_at"))
+    own = F.first(F.struct(*[F.col(f"`{c}`") for c in points.columns])).alias("_p")
+    return met.groupBy(F.col(key).alias("_g"), F.col(row_id).alias("_id")).agg(own, F.min_by(state, order).alias("_s")).select("_p.*", "_s.*")
 
 
 def overlapping(a: DataFrame, b: DataFrame, key: str, a_span: tuple[str, str], b_span: tuple[str, str], how: str = "inner") -> DataFrame:

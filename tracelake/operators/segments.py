@@ -60,9 +60,19 @@ def build(events: DataFrame, durations: DataFrame | None = None, frames: DataFra
     return own.unionByName(rest).withColumn("segment_id", text.segment_id("video_id", number)).drop("_kind")
 
 
-def status(videos: DataFrame, events: DataFrame, segments: DataFrame) -> DataFrame:
-    """video_id and where segment building stands: no_events, empty_segments or built."""
+def status(videos: DataFrame, events: DataFrame, segments: DataFrame, failures: DataFrame | None = None) -> DataFrame:
+    """video_id and where segment building stands: no_events, build_failed, empty_segments, pipeline_failed or built.
+
+    failures (video_id, stage): the stage that raised, `build` or anything after it."""
     has_event = events.select("video_id").distinct().withColumn("_e", F.lit(True))
     has_segment = segments.select("video_id").distinct().withColumn("_s", F.lit(True))
-    state = F.when(F.col("_e").isNull(), F.lit("no_events")).when(F.col("_s").isNull(), F.lit("empty_segments")).otherwise("built")
-    return videos.select("video_id").distinct().join(has_event, "video_id", "left").join(has_segment, "video_id", "left").select("video_id", state.alias("status"))
+    rows = videos.select("video_id").distinct().join(has_event, "video_id", "left").join(has_segment, "video_id", "left")
+    if failures is None:
+        rows = rows.withColumn("_f", F.lit(None).cast("string"))
+    else:
+        rows = rows.join(failures.groupBy("video_id").agg(F.min(F.when(F.col("stage") == "build", F.lit("build")).otherwise("later")).alias("_f")), "video_id", "left")
+    state = (
+        F.when(F.col("_e").isNull(), F.lit("no_events")).when(F.col("_f") == "build", F.lit("build_failed")).when(F.col("_s").isNull(), F.lit("empty_segments"))
+        .when(F.col("_f") == "later", F.lit("pipeline_failed")).otherwise("built")
+    )
+    return rows.select("video_id", state.alias("status"))

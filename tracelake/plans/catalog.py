@@ -375,8 +375,8 @@ def frames_by_video(spark, sf_dir):
 
 
 def ingest_totals(spark, sf_dir):
-    rows = observations(spark, sf_dir).groupBy("video").agg(F.collect_list("event_id").alias("items"))
-    return evaluate.ingest_totals(rows, "items")
+    rows = observations(spark, sf_dir).groupBy("video", "track", "day").agg(F.collect_list("event_id").alias("items"))
+    return evaluate.ingest_totals(rows, "items", "video")
 
 
 def event_id_migration(spark, sf_dir):
@@ -452,7 +452,7 @@ def stream_red_phases(spark, sf_dir):
 def stream_retained(spark, sf_dir):
     """Rows at most five after a purchase, kept by a state per video."""
     rows = _event_stream(spark, sf_dir).select((F.col("user_id") % 10).alias("video"), "event_id", (F.col("event_type") == "purchase").alias("hit"), "at")
-    return _once(streams.retained(rows, "video", "event_id", "hit", "at", 5), "retained")
+    return _once(streams.retained(rows, "video", "event_id", "hit", "at", 5, idle="365 days"), "retained")
 
 
 QUERIES = {
@@ -706,7 +706,7 @@ ORACLE_SQL = {
         g AS (SELECT video, u, CASE WHEN u - lag(u) OVER (PARTITION BY video ORDER BY u) <= 7200000000 THEN 0 ELSE 1 END AS opens FROM r),
         i AS (SELECT *, sum(opens) OVER (PARTITION BY video ORDER BY u ROWS UNBOUNDED PRECEDING) AS island FROM g)
         SELECT video, min(u) AS phase_start, max(u) AS phase_end FROM i, m GROUP BY video, island, mark HAVING max(u) + 7200000000 <= mark""",
-    "stream_retained": """WITH n AS (SELECT event_id, user_id % 10 AS video, event_type, row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_id) AS n FROM events),
+    "stream_retained": """WITH m AS (SELECT epoch_ms(max(ts)) - 10000 AS mark FROM events), n AS (SELECT event_id, ts, user_id % 10 AS video, event_type, row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_id) AS n FROM events),
         h AS (SELECT *, last_value(CASE WHEN event_type = 'purchase' THEN n END IGNORE NULLS) OVER (PARTITION BY video ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS hit FROM n)
-        SELECT video, event_id FROM h WHERE n - hit <= 5""",
+        SELECT video, event_id FROM h, m WHERE n - hit <= 5 AND epoch_ms(ts) < mark""",
 }

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import text
 from tracelake.operators import rules, segments, tracking, tracks
+from tracelake.sources import sinks, staging
 
 
 def track_points(detections: DataFrame) -> DataFrame:
@@ -33,12 +34,47 @@ def track_table(points: DataFrame) -> DataFrame:
     )
 
 
-def run(spark: SparkSession, detections: DataFrame, lights: DataFrame, configs: dict[str, dict], durations: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All layers derived from detections (sources.layers.detections)."""
-    points = track_points(detections)
-    events = rules.run(spark, points, lights, configs)
-    built = segments.build(events, durations)
-    return {"points": points, "tracks": track_table(points), "events": events, "segments": built, "status": segments.status(detections, events, built)}
+def run(spark: SparkSession, detections: DataFrame, lights: DataFrame, configs: dict[str, dict], durations: DataFrame | None = None, path: str | None = None, frames: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All layers derived from detections (sources.layers.detections).
+
+    Points and events are written (below `path`, or as intermediate tables) before anything is built on them, so that tracking runs once."""
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        if path is None:
+            return staging.staged(df, f"ingest-{name}")
+        sinks.write_layer(df, f"{path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{name}").select(df.columns)
+
+    points = kept(track_points(detections), "points")
+    events = kept(rules.run(spark, points, lights, configs), "events")
+    built = kept(segments.build(events, durations, frames), "segments")
+    return {"points": points, "tracks": kept(track_table(points), "tracks"), "events": events, "segments": built, "status": segments.status(detections, events, built)}
+
+
+#: The classes that the detection layer keeps.
+TRAFFIC_LABELS = ("car", "truck", "bus", "motorcycle", "person", "traffic light")
+
+
+def traffic_only(detections: DataFrame) -> DataFrame:
+    """Detections of the classes the layer keeps."""
+    return detections.where(text.normal_label("label").isin(*TRAFFIC_LABELS))
+
+
+def with_class_labels(detections: DataFrame, classes: DataFrame) -> DataFrame:
+    """Labels by class_id within a frame: classes (frame_path, class_id, label, position), of a class given twice the last one counts."""
+    last = classes.groupBy("frame_path", "class_id").agg(F.max_by("label", "position").alias("_label"))
+    return detections.join(last, ["frame_path", "class_id"], "left").withColumn("label", F.coalesce("_label", "label")).drop("_label")
+
+
+def with_files(frames: DataFrame, files: DataFrame, column: str = "frame_path") -> DataFrame:
+    """Frames whose file is in the listing (path)."""
+    there = files.select(text.normal_path("path").alias("_there")).distinct()
+    return frames.withColumn("_own", text.normal_path(column)).join(there, F.col("_own") == F.col("_there"), "left_semi").drop("_own")
+
+
+def tracks_in_order(rows: DataFrame) -> DataFrame:
+    """Tracks as the trajectory layer lists them."""
+    return rows.orderBy("video_id", "label", "start_ts", "track_id")
 
 
 def named_videos(detections: DataFrame, sources: DataFrame) -> DataFrame:

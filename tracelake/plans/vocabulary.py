@@ -164,6 +164,12 @@ EVENT_SYNONYMS = {
     "闯红灯": ("车辆闯红灯", "冲红灯", "红灯违规", "红灯违章"),
     "压线": ("车辆压线", "压线行驶", "跨线行驶", "车辆越线"),
 }
+#: What an event's description says after the label.
+EVENT_DESCRIPTIONS = {
+    "vehicle_crosses_line": "越过车道线（压线）",
+    "wrong_way_driving": "沿车道反向行驶（逆行）",
+    "red_light_violation": "在红灯状态下越过停止线",
+}
 EVENT_ZH = {"wrong_way_driving": "逆行", "red_light_violation": "闯红灯", "vehicle_crosses_line": "压线"}
 ENTITY_ZH = {
     "car": "汽车", "truck": "货车", "bus": "公交车", "motorcycle": "摩托车", "person": "行人", "traffic_light": "交通信号灯",
