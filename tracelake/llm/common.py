@@ -2,52 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
 import math
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see (spark.checkpoint.dir); a private one only where none is set and all runs in one process."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
-        path = "file://" + tempfile.mkdtemp(prefix="tracelake-")
-        spark.sparkContext.setCheckpointDir(path)
-        path = spark.sparkContext.getCheckpointDir()
-    return path.rstrip("/")
+from tracelake.sources import staging
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    small_batches(spark)
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release() -> None:
-    """Delete the intermediate tables written so far (also done when Python ends)."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session has ended: nothing can be deleted through it
-            continue
-
-
-atexit.register(release)
+    small_batches(df.sparkSession)
+    return staging.staged(df, label)
 
 
 #: Rows of an Arrow batch: texts are long, and a batch is held several times over.
@@ -119,8 +85,8 @@ def drop_rows(docs: DataFrame, ids: DataFrame, id_column: str, same: Column | No
     return sure.unionByName(maybe.join(gone, hit & (same == F.col(gone_other)) if other else hit, "left_anti"))
 
 
-#: Bits of the row filter for each id, and the bounds of its size in 64-bit words (the largest is 64 MB to broadcast).
-FILTER_BITS, LEAST_WORDS, MOST_WORDS = 8, 1 << 10, 1 << 22
+#: Bits of the row filter for each id, and the bounds of its size in 64-bit words (the largest is 32 MB to broadcast); words of a row of it.
+FILTER_BITS, LEAST_WORDS, MOST_WORDS, LINE = 8, 1 << 10, 1 << 22, 64
 
 
 def filter_words(ids: int) -> int:
@@ -143,14 +109,17 @@ def split_by(rows: DataFrame, column: str, ids: DataFrame, id_column: str) -> tu
         return F.pmod(F.xxhash64(c), F.lit(size * 64))
 
     bits = F.expr("bit_or(shiftleft(1L, cast(place % 64 as int)))")
-    word, held = fresh(rows, "_word"), fresh(rows, "_bits")
+    line, held = fresh(rows, "_line"), fresh(rows, "_words")
     words = ids.where(F.col(id_column).isNotNull()).select(place(F.col(id_column).cast("long")).alias("place"))
-    words = words.groupBy((F.col("place") / 64).cast("long").alias(word)).agg(bits.alias(held))
-    words = staged(words, "row-filter")  # MOST_WORDS rows at most
+    words = words.groupBy((F.col("place") / 64).cast("long").alias("word")).agg(bits.alias("bits"))
+    lines = words.groupBy((F.col("word") / LINE).cast("long").alias(line)).agg(F.map_from_entries(F.collect_list(F.struct(F.col("word") % LINE, "bits"))).alias("m"))
+    full = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(LINE - 1).cast("long")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long")))
+    lines = staged(lines.select(line, full.alias(held)), "row-filter")  # MOST_WORDS / LINE rows at most
     at = place(F.col(column).cast("long"))
-    marked = rows.join(F.broadcast(words), (at / 64).cast("long") == words[word], "left")
+    marked = rows.join(F.broadcast(lines), (at / (64 * LINE)).cast("long") == lines[line], "left")
+    word = F.element_at(held, ((at / 64).cast("long") % LINE + 1).cast("int"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int"))
-    hit = F.coalesce(F.col(held).bitwiseAND(bit) != 0, F.lit(False))
+    hit = F.coalesce(word.bitwiseAND(bit) != 0, F.lit(False))
     own = [F.col(f"`{c}`") for c in rows.columns]
     return marked.where(hit).select(*own), marked.where(~hit).select(*own)
 
