@@ -52,10 +52,10 @@ def fallback_segments(events: DataFrame, durations: DataFrame | None = None, fra
     return rows.select("video_id", "start_ts", "end_ts", "frame_paths", none.alias("events"), none.alias("event_ids"), none.alias("tracks"), text.segment_text("video_id", "start_ts", F.lit("")).alias("text"), F.lit("时间窗兜底").alias("text_source"))
 
 
-def build(events: DataFrame, durations: DataFrame | None = None, frames: DataFrame | None = None) -> DataFrame:
+def build(events: DataFrame, durations: DataFrame | None = None, frames: DataFrame | None = None, width: float = intervals.SEGMENT_SECONDS) -> DataFrame:
     """All segments, numbered events first, then windows; segment_id is {video_id}_segNNN."""
     own = event_segments(events).withColumn("_kind", F.lit(0))
-    rest = fallback_segments(events, durations, frames).withColumn("_kind", F.lit(1))
+    rest = fallback_segments(events, durations, frames, width).withColumn("_kind", F.lit(1))
     number = F.row_number().over(Window.partitionBy("video_id").orderBy("_kind", "start_ts", "end_ts"))
     return own.unionByName(rest).withColumn("segment_id", text.segment_id("video_id", number)).drop("_kind")
 

@@ -475,7 +475,7 @@ _SPANS = f"""{OBS},
   s AS (SELECT *, sum(opens) OVER (PARTITION BY track ORDER BY t, event_id) AS island FROM g),
   spans AS (SELECT track, island, min(t) AS start_ts, max(t) AS end_ts, min(event_id) AS first_id, max(label) AS event_type FROM s GROUP BY track, island)"""
 
-_PLACED = f"""{OBS},
+PLACED = f"""{OBS},
   p AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY track) AS n, lag(cx) OVER w AS px, lag(cy) OVER w AS py,
                first_value(cx) OVER w AS fx, first_value(cy) OVER w AS fy,
                last_value(cx) OVER (PARTITION BY track ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS lx,
@@ -549,16 +549,16 @@ ORACLE_SQL = {
         s AS (SELECT video, t - lag(t) OVER (PARTITION BY video ORDER BY t) AS step FROM d),
         m AS (SELECT video, list_sort(list(step))[len(list(step)) // 2 + 1] AS median_step FROM s WHERE step > 0 GROUP BY video)
         SELECT video, round(median_step, 6) AS median_step, greatest(round_even(1 / m.median_step, 0), 1) AS rate FROM m""",
-    "line_contact": f"WITH {_PLACED} SELECT video::VARCHAR AS video_id, track::VARCHAR AS track_id, contact_i, contact_t, mode FROM contact",
-    "line_contact_center_path": f"""WITH {_PLACED} SELECT video::VARCHAR AS video_id, track::VARCHAR AS track_id, ci AS contact_i, ct AS contact_t, 'trajectory_center' AS mode
+    "line_contact": f"WITH {PLACED} SELECT video::VARCHAR AS video_id, track::VARCHAR AS track_id, contact_i, contact_t, mode FROM contact",
+    "line_contact_center_path": f"""WITH {PLACED} SELECT video::VARCHAR AS video_id, track::VARCHAR AS track_id, ci AS contact_i, ct AS contact_t, 'trajectory_center' AS mode
         FROM c WHERE n >= 2 AND moved >= 10 AND ci IS NOT NULL""",
-    "event_crosses_line": f"""WITH {_PLACED},
+    "event_crosses_line": f"""WITH {PLACED},
         s AS (SELECT track, min(t) AS start_ts, max(t) AS end_ts, avg(conf) AS avg_conf FROM obs GROUP BY track),
         ev AS (SELECT p.track, string_agg('f_' || lpad(event_id::VARCHAR, 12, '0') || '.jpg', ',' ORDER BY p.i) AS evidence
                FROM p JOIN contact USING (track) WHERE p.i BETWEEN contact_i - 1 AND contact_i + 1 GROUP BY p.track)
         SELECT video || ':vehicle_crosses_line:' || track AS event_id, 'vehicle_crosses_line' AS event_type, start_ts, end_ts,
                round(least(avg_conf, 1), 6) AS confidence, contact_t AS cross_ts, mode, evidence FROM contact JOIN s USING (track) JOIN ev USING (track)""",
-    "wrong_way": f"""WITH {_PLACED},
+    "wrong_way": f"""WITH {PLACED},
         ix AS (SELECT *, round_even((n - 1) * 0.25, 0) AS lo, round_even((n - 1) * 0.75, 0) AS hi FROM p),
         jx AS (SELECT *, CASE WHEN hi <= lo THEN least(lo + 1, n - 1) ELSE hi END AS h2 FROM ix WHERE n >= 3),
         ab AS (SELECT track, any_value(video) AS video, max(cx) FILTER (i = lo) AS ax, max(cy) FILTER (i = lo) AS ay, max(cx) FILTER (i = h2) AS bx, max(cy) FILTER (i = h2) AS yb,
@@ -569,7 +569,7 @@ ORACLE_SQL = {
         SELECT video || ':wrong_way_driving:' || track AS event_id, start_ts, end_ts, round(d, 6) AS dot,
                round(least(1, avg_conf * (1 + least(abs(d), 1)) / 2), 6) AS confidence FROM u WHERE d <= -0.3""",
     "red_intervals": f"{WITH_OBS_MORE} {_LIGHTS} SELECT video::VARCHAR AS video_id, phase_start, phase_end FROM reds",
-    "red_light_crossing": f"""WITH {_PLACED}, {_LIGHTS},
+    "red_light_crossing": f"""WITH {PLACED}, {_LIGHTS},
         af AS (SELECT p.track, count(*) - 1 AS after, arg_min(cx, i) AS ax, arg_min(cy, i) AS ay, arg_max(cx, i) AS bx, arg_max(cy, i) AS yb
                FROM p JOIN contact USING (track) WHERE i >= contact_i GROUP BY p.track),
         ok AS (SELECT contact.* FROM contact JOIN af USING (track) WHERE after >= 2 AND sqrt((bx - ax)^2 + (yb - ay)^2) >= 15),

@@ -108,3 +108,9 @@ def bundle_vectors(spark: SparkSession, path: str, meta_schema) -> DataFrame:
     sized = vectors.groupBy("bundle").agg(F.count("*").alias("rows"))
     good = meta.join(sized, "bundle").where("n = rows").drop("n", "rows")
     return vectors.join(good, ["bundle", "position"]).select("bundle", "position", "vec", "meta.*")
+
+
+def legacy_index(spark: SparkSession, path: str, meta_schema: str) -> DataFrame:
+    """Metadata of an index in its old form, one JSON list: the place in the list is the vector's id (ext_id)."""
+    docs = spark.read.text(path, wholetext=True, pathGlobFilter="*.json")
+    return docs.select(F.posexplode(F.from_json("value", f"array<{meta_schema}>")).alias("ext_id", "meta")).select(F.col("ext_id").cast("long"), "meta.*")

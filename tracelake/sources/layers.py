@@ -14,22 +14,22 @@ from pyspark.sql import types as T
 _BAD = "_corrupt_record"
 
 
-def _documents(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def _documents(spark: SparkSession, path: str, schema: T.StructType, pattern: str) -> DataFrame:
     """One row per file: file, its text, and the parsed document with the text again if it does not parse."""
     with_bad = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
-    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.json").withColumn("file", F.input_file_name())
+    files = spark.read.text(path, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=True).withColumn("file", F.input_file_name())
     return files.withColumn("doc", F.from_json("value", with_bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}))
 
 
-def scan(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def scan(spark: SparkSession, path: str, schema: T.StructType, pattern: str = "*.json") -> DataFrame:
     """Valid documents of a layer with the file they come from."""
     good = F.col("doc").isNotNull() & F.col(f"doc.{_BAD}").isNull()
-    return _documents(spark, path, schema).where(good).select("doc.*", "file").drop(_BAD)
+    return _documents(spark, path, schema, pattern).where(good).select("doc.*", "file").drop(_BAD)
 
 
-def bad_documents(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def bad_documents(spark: SparkSession, path: str, schema: T.StructType, pattern: str = "*.json") -> DataFrame:
     bad = F.col("doc").isNull() | F.col(f"doc.{_BAD}").isNotNull()
-    return _documents(spark, path, schema).where(bad).select("file", F.col("value").alias("document"))
+    return _documents(spark, path, schema, pattern).where(bad).select("file", F.col("value").alias("document"))
 
 
 def box(c: Column) -> Column:
@@ -86,3 +86,25 @@ def video_of_frame(detection_rows: DataFrame) -> DataFrame:
 def frames_by_video(frames: DataFrame) -> DataFrame:
     """video_id with its frames (ts, frame_path) in order of time.  One row holds one video's frames."""
     return frames.groupBy("video_id").agg(F.sort_array(F.collect_set(F.struct("ts", "frame_path"))).alias("frames"))
+
+
+class LayerCache:
+    """Flat layers kept in memory while their files are unchanged; over `most` entries everything is let go."""
+
+    def __init__(self, most: int = 1024):
+        self.most, self.held = most, {}
+
+    def read(self, spark: SparkSession, path: str, schema: T.StructType, flatten, pattern: str = "*.json") -> DataFrame:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+        state = files.agg(F.count("*"), F.max("modificationTime"), F.sum("length")).first()
+        key = (path, flatten)
+        if key in self.held and self.held[key][0] == state:
+            return self.held[key][1]
+        if key in self.held:
+            self.held.pop(key)[1].unpersist()
+        if len(self.held) >= self.most:
+            for _, df in self.held.values():
+                df.unpersist()
+            self.held.clear()
+        self.held[key] = (state, flatten(scan(spark, path, schema, pattern)).cache())
+        return self.held[key][1]
