@@ -12,8 +12,8 @@ that order until the source's missing words are met as nearly as whole documents
 that of the sample in words, as the targets are in words: the number of documents varies with their lengths,
 and inclusion probabilities are met as closely as Pareto sampling meets them, up to that last document.
 
-Scale: no window spans a source.  The rank is cut by two rounds of 4096 buckets whose word sums are
-pre-aggregated; only the documents of the one crossing bucket of a source are put in exact order.
+Scale: no window spans a source.  The rank is cut in 4096 buckets of 4096 cells each; the cells' word sums are
+pre-aggregated in one pass, and only the documents of the one crossing cell of a source are put in exact order.
 
 Defined results: null text has size 0 and is never sampled (taken 0); a null source is a source of
 its own, the last; ties of the random rank go by doc_id, then by a hash of the text; repeated rows are
@@ -92,22 +92,28 @@ def _uniform():
     return (bits.cast("long").cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
-def _crossing(parts: DataFrame, level: str) -> DataFrame:
-    """Per source the running words before and after each bucket of `level`."""
+def _cut(sums: DataFrame, level: str) -> DataFrame:
+    """Per source the first bucket of `level` with which the missing words are exceeded, and the words taken before it.
+
+    sums: skey, level, n (words of the bucket), missing, base (words taken before the first bucket)."""
     upto = Window.partitionBy("skey").orderBy(level).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = parts.groupBy("skey", level).agg(F.sum("size").alias("_in"), F.first("missing").alias("_missing"), F.first("base").alias("_base"))
-    return sums.withColumn("after", F.col("_base") + F.sum("_in").over(upto)).select(
-        F.col("skey").alias("_s"), F.col(level).alias("_b"), "after", (F.col("after") - F.col("_in")).alias("before")
-    )
+    after = sums.withColumn("after", F.col("base") + F.sum("n").over(upto)).where("after > missing")
+    return after.groupBy("skey").agg(F.min_by(F.struct(F.col(level).alias("at"), (F.col("after") - F.col("n")).alias("before")), level).alias("c"))
+
 
+def _cuts(rows: DataFrame) -> DataFrame:
+    """Per source (skey) what is missing after the certain copies, and where the cut lies: c1, before1, c2, before2 (null: nowhere).
 
-def _decide(parts: DataFrame, level: str) -> DataFrame:
-    """all: the bucket is taken whole; part: the cut lies inside it."""
-    edges = _crossing(parts, level)
-    met = parts.join(edges, (F.col("skey") == F.col("_s")) & (F.col(level) == F.col("_b")))
-    whole = F.col("after") <= F.col("missing")
-    part = (F.col("before") < F.col("missing")) & ~whole
-    return met.withColumn("whole", whole).withColumn("part", part).withColumn("base", F.col("before")).drop("_s", "_b", "after", "before")
+    One aggregation of the rows by cells of both levels; all that follows is at most BUCKETS rows a source."""
+    drawn = F.col("rank").isNotNull() & (F.col("size") > 0)
+    cells = rows.groupBy("skey", F.when(drawn, F.col("b1")).alias("b1"), F.when(drawn, F.col("b2")).alias("b2"))
+    cells = staged(cells.agg(F.sum("size").alias("n"), F.sum(F.col("certain") * F.col("size")).alias("sure"), F.first("target").alias("target")), "mix-cells")
+    missing = cells.groupBy("skey").agg((F.first("target") - F.sum("sure")).alias("missing"))
+    first = cells.where("b1 is not null").groupBy("skey", "b1").agg(F.sum("n").alias("n")).join(missing, "skey").withColumn("base", F.lit(0).cast("long"))
+    one = _cut(first, "b1").select("skey", F.col("c.at").alias("c1"), F.col("c.before").alias("before1"))
+    second = cells.join(one, "skey").where("b1 = c1").select("skey", "b2", "n", F.col("before1").alias("base")).join(missing, "skey")
+    two = _cut(second, "b2").select("skey", F.col("c.at").alias("c2"), F.col("c.before").alias("before2"))
+    return staged(missing.join(one, "skey", "left").join(two, "skey", "left"), "mix-cuts")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT, carry_tie: bool = False) -> DataFrame:
@@ -141,20 +147,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = M
     rows = rows.withColumn("b2", F.least(F.floor(inner * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
     rows = staged(rows.select("doc_id", "skey", "size", "source_size", "target", "certain", "rank", "b1", "b2", "tie"), "mix-ranked")
 
-    sure = rows.groupBy("skey").agg(F.sum(F.col("certain") * F.col("size")).alias("_sure"), F.first("target").alias("_t"))
-    sure = sure.select("skey", (F.col("_t") - F.col("_sure")).alias("missing"))
-    drawn = rows.where("rank is not null and size > 0").join(per_source(sure), "skey").withColumn("base", F.lit(0).cast("long"))
-    first = _decide(drawn, "b1")
-    second = _decide(first.where("part").drop("whole", "part"), "b2")
-    order = Window.partitionBy("skey").orderBy("rank", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = second.where("part").withColumn("upto", F.col("base") + F.sum("size").over(order))
-    last = last.withColumn("whole", 2 * F.col("upto") - F.col("size") < 2 * F.col("missing")).drop("upto")
+    rows = rows.join(per_source(_cuts(rows)), "skey")
     keep = ["doc_id", "size", "source_size", "target", "certain", "tie"]
-    out = first.where("not part").select(*keep, "whole")
-    out = out.unionByName(second.where("not part").select(*keep, "whole")).unionByName(last.select(*keep, "whole"))
-    rest = rows.where("rank is null or size = 0").select(*keep, F.lit(False).alias("whole"))
+    drawn = F.col("rank").isNotNull() & (F.col("size") > 0)
+    here = (F.col("b1") == F.col("c1")) & (F.col("before1") < F.col("missing"))
+    inside = F.coalesce(drawn & here & (F.col("b2") == F.col("c2")) & (F.col("before2") < F.col("missing")), F.lit(False))
+    whole = F.coalesce(drawn & (F.col("c1").isNull() | (F.col("b1") < F.col("c1")) | (here & (F.col("b2") < F.col("c2")))), F.lit(False))
+    order = Window.partitionBy("skey").orderBy("rank", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = rows.where(inside).withColumn("upto", F.col("before2") + F.sum("size").over(order))
+    last = last.withColumn("whole", 2 * F.col("upto") - F.col("size") < 2 * F.col("missing"))
+    out = rows.where(~inside).select(*keep, whole.alias("whole")).unionByName(last.select(*keep, "whole"))
     copies = F.least(F.col("certain") + F.col("whole").cast("long"), F.lit(max_repeat).cast("long"))
-    out = out.unionByName(rest).withColumn("copies", copies)
+    out = out.withColumn("copies", copies)
     out = out.withColumn("taken", F.col("copies") * F.col("size"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies", *(["tie"] if carry_tie else []))
 
