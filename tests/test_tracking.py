@@ -5,7 +5,9 @@ import itertools
 import numpy as np
 import pandas as pd
 
+from tests.conftest import SMALL
 from tracelake.operators import tracking
+from tracelake.plans import adapters, catalog
 
 
 def test_assignment_against_all_permutations():
@@ -65,3 +67,15 @@ def test_rows_without_a_box_and_empty_input():
     rows = frames({"a": {t: (10.0, 10.0) for t in range(3)}})
     rows.loc[1, "x1"] = np.nan
     assert len(tracking.track_video(rows)) == 2 and tracking.track_video(rows[:0]).empty
+
+
+def test_the_tracking_query_against_a_plain_run(spark):
+    rows = adapters.boxed(adapters.observations(spark, SMALL)).select("track", "t", "event_id", "box.*").toPandas()
+    rows = rows.assign(video_id=rows["track"].astype(str), label="car", t=np.floor(rows["t"]), frame_path=rows["event_id"].map("f_{:012d}.jpg".format), conf=0.9)
+    want = {}
+    for video, own in rows.groupby("video_id"):
+        found = tracking.track_video(own)
+        if len(found):
+            want[video] = (found["track_id"].nunique(), len(found))
+    got = {r["video_id"]: (r["n_tracks"], r["n_points"]) for r in catalog.tracked_detections(spark, SMALL).collect()}
+    assert got == want and got

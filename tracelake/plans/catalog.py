@@ -196,24 +196,28 @@ def vector_variants(spark, sf_dir):
 
 def vector_normalised(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").withColumn("unit", vectors.normalised(F.transform("embedding", lambda x: x * 3)))
-    return rows.select("vec_id", F.round(vectors.norm(F.col("unit")), 4).alias("norm"))
+    return rows.select("vec_id", F.round(vectors.norm(F.col("unit")), 4).alias("norm"), F.round(F.element_at("unit", 2).cast("double"), 3).alias("second"))
 
 
 def _table_and_new(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("video_id"))
-    return rows, rows.where("video_id in (1, 2) and vec_id % 2 = 0").select((F.col("vec_id") + 1_000_000).alias("vec_id"), "video_id")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("video_id"), F.col("embedding").alias("vec"))
+    return rows, rows.where("video_id in (1, 2) and vec_id % 2 = 0").select((F.col("vec_id") + 1_000_000).alias("vec_id"), "video_id", F.reverse("vec").alias("vec"))
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    return rows.select("vec_id", "video_id", F.round(F.element_at("vec", 1).cast("double"), 4).alias("first"))
 
 
 def vector_upsert_overwrite(spark, sf_dir):
-    return index.upserted(*_table_and_new(spark, sf_dir))
+    return _shown(index.upserted(*_table_and_new(spark, sf_dir)))
 
 
 def vector_upsert_append(spark, sf_dir):
-    return index.upserted(*_table_and_new(spark, sf_dir), overwrite=False)
+    return _shown(index.upserted(*_table_and_new(spark, sf_dir), overwrite=False))
 
 
 def vector_remove(spark, sf_dir):
-    return index.removed(_table_and_new(spark, sf_dir)[0], 3)
+    return _shown(index.removed(_table_and_new(spark, sf_dir)[0], 3))
 
 
 def index_build(spark, sf_dir):
@@ -412,7 +416,7 @@ def first_relevant(spark, sf_dir):
 
 
 def tracked_detections(spark, sf_dir):
-    """Tracks of boxes made of the first week's observations (sequential; no SQL)."""
+    """Tracks of boxes made of all observations (sequential; no SQL, held to a plain run of the tracker on a small table)."""
     rows = adapters.boxed(observations(spark, sf_dir)).select(F.col("track").cast("string").alias("video_id"), F.lit("car").alias("label"), F.floor("t").cast("double").alias("t"), F.format_string("f_%012d.jpg", "event_id").alias("frame_path"), "box.*", F.lit(0.9).alias("conf"))
     return tracking.tracked(rows).groupBy("video_id").agg(F.count_distinct("track_id").alias("n_tracks"), F.count("*").alias("n_points"))
 
@@ -614,11 +618,13 @@ ORACLE_SQL = {
         t AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) <= 30),
         m AS (SELECT vec_id, max(score) AS score FROM t GROUP BY vec_id)
         SELECT vec_id, round(score, 4) AS score FROM m ORDER BY m.score DESC, vec_id LIMIT 30""",
-    "vector_normalised": "SELECT vec_id, round(CASE WHEN list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) = 0 THEN 0 ELSE 1 END::DOUBLE, 4) AS norm FROM embeddings",
-    "vector_upsert_overwrite": """SELECT vec_id, label AS video_id FROM embeddings WHERE label NOT IN (SELECT label FROM embeddings WHERE label IN (1, 2) AND vec_id % 2 = 0)
-        UNION ALL SELECT vec_id + 1000000, label FROM embeddings WHERE label IN (1, 2) AND vec_id % 2 = 0""",
-    "vector_upsert_append": """SELECT vec_id, label AS video_id FROM embeddings UNION ALL SELECT vec_id + 1000000, label FROM embeddings WHERE label IN (1, 2) AND vec_id % 2 = 0""",
-    "vector_remove": "SELECT vec_id, label AS video_id FROM embeddings WHERE label <> 3",
+    "vector_normalised": """SELECT vec_id, round(CASE WHEN list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) = 0 THEN 0 ELSE 1 END::DOUBLE, 4) AS norm,
+        round(embedding[2] / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 3) AS second FROM embeddings""",
+    "vector_upsert_overwrite": """SELECT vec_id, label AS video_id, round(embedding[1]::DOUBLE, 4) AS first FROM embeddings WHERE label NOT IN (SELECT label FROM embeddings WHERE label IN (1, 2) AND vec_id % 2 = 0)
+        UNION ALL SELECT vec_id + 1000000, label, round(embedding[-1]::DOUBLE, 4) FROM embeddings WHERE label IN (1, 2) AND vec_id % 2 = 0""",
+    "vector_upsert_append": """SELECT vec_id, label AS video_id, round(embedding[1]::DOUBLE, 4) AS first FROM embeddings
+        UNION ALL SELECT vec_id + 1000000, label, round(embedding[-1]::DOUBLE, 4) FROM embeddings WHERE label IN (1, 2) AND vec_id % 2 = 0""",
+    "vector_remove": "SELECT vec_id, label AS video_id, round(embedding[1]::DOUBLE, 4) AS first FROM embeddings WHERE label <> 3",
     "index_build": "SELECT min(vec_id) AS vec_id, 'k' || (vec_id % 97) AS frame_id FROM embeddings GROUP BY vec_id % 97",
     "index_stats": "SELECT count(*) AS n_vectors, count(DISTINCT label) AS n_videos FROM embeddings",
     "text_contains_topk": r"""SELECT conv_id, turn, role, length(text)::INT AS size FROM conversations WHERE contains(regexp_replace(lower(text), '\s+', '', 'g'), 'theof')

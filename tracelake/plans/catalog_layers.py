@@ -214,6 +214,14 @@ def search_without_a_channel(spark, sf_dir):
     return found.select("video_id", "start_ts", "end_ts", F.array_join("matched_by", ",").alias("matched_by"), "label", F.round("best_score", 4).alias("best_score"))
 
 
+def search_speech(spark, sf_dir):
+    """A further channel, spoken text, alone."""
+    spoken = _texts(spark, sf_dir).where("score >= 0.3")
+    tables = hybrid.Tables(detections=_detections(spark, sf_dir), more={"speech": hybrid.speech(spoken)})
+    (only,) = hybrid.channel_plans(tables, "The OF", intent.parse("The OF"), 12, frozenset())
+    return only.where("score = 1").select("channel", "frame_id", "video_name", "ts", "score")
+
+
 def fused_segments(spark, sf_dir):
     """Hits with a segment are one per segment; of a window's hits the best stays and shares the channels of its ties."""
     rows = observations(spark, sf_dir)
@@ -527,7 +535,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         json_detections, json_tracks, json_events, json_texts, bad_layer_files, cached_layer, frame_videos, search_detections, search_detections_alone, search_tracks, search_events,
-        search_texts, search_vectors, search_hybrid, search_without_a_channel, fused_segments, intents_parsed, intent_rewrites, english_queries, rule_events, wrong_way_in_region,
+        search_texts, search_vectors, search_hybrid, search_speech, search_without_a_channel, fused_segments, intents_parsed, intent_rewrites, english_queries, rule_events, wrong_way_in_region,
         frame_lights, python_rule_events, segments_numbered, segment_groups, window_frames, segment_states, segment_tables, segment_texts, clip_links, vectors_checked,
         vectors_numbered, vector_tables, vector_bundle, encoded_names, layer_rewritten, listed_videos, imported_sequences, named_sources, class_labels, layers_in_order,
         moved_frames, eval_by_mode, right_of_frames, stream_upserted, stream_tracks,
@@ -599,6 +607,8 @@ ORACLE_SQL = {
         FROM ev WHERE event_type = 'Wrong Way  Driving' ORDER BY ev.confidence DESC, video_name, start_ts, event_type, event_id LIMIT 30""",
     "search_texts": r"""SELECT 'ocr::c' || conv_id || '.mp4' AS video_id, 'c' || conv_id || '.mp4' AS video_name, 'ocr::c' || conv_id || '.mp4::' || turn || '.0::t' || turn AS frame_id, turn::DOUBLE AS ts, 1.0::DOUBLE AS score
         FROM conversations WHERE contains(regexp_replace(lower(text), '\s+', '', 'g'), 'theof') ORDER BY video_name, turn LIMIT 25""",
+    "search_speech": r"""SELECT 'ocr' AS channel, 'ocr::c' || conv_id || '.mp4::' || turn || '.0::t' || turn AS frame_id, 'c' || conv_id || '.mp4' AS video_name, turn::DOUBLE AS ts, 1.0::DOUBLE AS score
+        FROM conversations WHERE turn >= 3 AND contains(regexp_replace(lower(text), '\s+', '', 'g'), 'theof') ORDER BY video_name, turn LIMIT 12""",
     "search_vectors": f"""WITH {_VECTORS} SELECT 'v' || vec_id AS frame_id, video_id, segment_id, tm AS start_ts, CASE WHEN isseg THEN tm + 4 ELSE tm END AS end_ts, tm AS ts, round(score, 4) AS score
         FROM vec ORDER BY vec.score DESC, vec_id LIMIT 30""",
     "search_hybrid": f"""WITH {_DETECTIONS}, {_TRACKS.replace(OBS + ",", "").strip()}, {_VECTORS}, {_BEST_DETECTIONS.format(k=45)},
