@@ -65,8 +65,17 @@ def test_rest_works_without_the_subpackage(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     copy = tmp_path / "repo"
     shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", "corpus_pipeline.py"))
-    code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') for n in q); e.oracle_sql()"
-    subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env={**os.environ, "PYTHONPATH": str(copy)})
+    code = """
+import __spark_entry__ as e
+from pyspark.sql import SparkSession
+q = e.queries()
+assert q and not any(n.startswith("op") or n == "pipeline" for n in q) and set(e.oracle_sql()) <= set(q)
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+assert e.entry(spark).count() > 0 and q["track_summary"](spark, e.SMOKE_DIR).count() > 0
+"""
+    env = {**os.environ, "PYTHONPATH": str(copy)}
+    subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env=env)
+    subprocess.run([sys.executable, "-m", "pytest", "-q", "-x", "tests/test_functions.py", "tests/test_tracking.py"], cwd=copy, check=True, env=env)
 
 
 def test_row_filter(spark):
@@ -89,3 +98,15 @@ def test_benchmark_windows_are_gone(spark):
     docs = table(spark, DATA, "documents").where("doc_id < 150")
     left = dict(corpus_pipeline.STAGES)["benchmark"](spark, docs, DATA)
     assert not any(r[5] for r in test_decontaminate.brute([(r["doc_id"], r["text"]) for r in left.collect()], items))
+
+
+def test_clashing_names_and_ties(spark, documents, tmp_path):
+    """Columns with the names the stages make themselves, equal texts, equal ids: the last stage's columns win, nothing fails."""
+    path = str(tmp_path / "d")
+    text = "the thing of that and this with from the other one of them"
+    rows = [(1, text), (2, text), (2, text), (3, text + " more"), (4, "und der die das nicht mit sich auch " * 3), (None, "the last of that thing and this")]
+    os.mkdir(path)
+    documents(rows, extra=True).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, "no such words here at all in any of these texts")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, path)
+    assert {"kept", "sha", "_word", "doc", "size", "copies"} <= set(got.columns) and {r["doc_id"] for r in got.collect()} <= {2, 3, 4, None}
