@@ -9,16 +9,17 @@ What must be compared is brought together first, exactly (later copies of a whol
    have equal anchors, and the windows of a text fall into runs by anchor.  Anchor hashes are
    deduplicated per task and shuffled as packed 5-byte values; those of two documents or more go into a filter of
    fixed size (FILTER_BYTES, false hits only cost work).
-2. Anchors that pass the filter are classed by the content of their whole run.  In a class, all but the
-   smallest document lose the run: decided per task first, then per bucket of hashes, so a
-   class sends one document per task however many hold it.
+2. Anchors that pass the filter are classed by a hash of their whole run.  A run whose class has a smaller document is a
+   candidate, with that document as its source: found per task first, then per bucket of hashes, so a class sends one document per task
+   however many hold it.  A document's candidates of one source are joined to stretches and keyed by pieces of the source.
 3. Where the smallest documents of different classes share an anchor and at least SIDE more bytes before or after it, the runs
-   are partly equal at most: their bytes are fetched and compared by transform, in shards
-   of about SHARD bytes cut between keys.  Keys of more than HOT_KEY runs are split by window content.
+   are partly equal at most, and are keyed by what they share.  Keys of more than HOT_KEY runs are split by window content.
+4. The bytes of all keyed stretches are fetched and compared by transform, in shards of about SHARD bytes cut between keys: only here it
+   is decided what is removed.  (Of partly equal runs, those that equal a smaller document's byte for byte are taken out before.)
 
 Removed runs are merged per document.  Texts move only for documents with partly equal runs or removals (chosen by a filter
-of fixed size, then joined exactly).  Anchors, which only bring runs together, are compared by 64-bit hashes; whole runs, where equality
-is the verdict, by 96 bits of two independent hashes (one wrong class is to be expected among 10^14 runs).
+of fixed size, then joined exactly).  Anchors, which only bring runs together, are compared by 64-bit hashes; classes of
+runs, whose larger documents are asked for nothing but their source, by 96 bits of two (a wrong class, one to be expected among 10^14 runs, can hide a match, not make one).
 There are as many buckets as shuffle partitions, more where a bucket would otherwise stand for over BUCKET_BYTES of text.
 
 Defined results: null text counts as empty; a null doc_id is neither smaller nor larger than another, its row
@@ -33,6 +34,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +49,8 @@ FILTER_BYTES = 16 << 20
 FLUSH = 500_000
 SHARD = 1 << 20
 HOT_KEY = 20_000
+#: Windows of a source that make one key, and documents of a class that share a key at most (about).
+PIECE, PER_SALT = 4096, 512
 CHUNK_BYTES = 1 << 18
 BUCKET_BYTES = 256 << 20
 _BYTE, _OTHER_BYTE = noise64(256, 5), noise64(256, 7)
@@ -54,6 +58,8 @@ _MUL = noise64(8, 6) | U64(1)
 #: Columns of a packed run: class hash and 32 bits of another one, document, mark of its text, first window, windows << 8 | anchor offset, side hashes.
 _RECORD = np.dtype([("ctx", "u8"), ("more", "u4"), ("doc", "i8"), ("mark", "i4"), ("at", "i4"), ("span", "u2"), ("l", "u4"), ("r", "u4")])
 _REQUEST = np.dtype([("key", "u8"), ("first", "i4"), ("last", "i4")])
+#: A stretch of windows that a source should have too, `shift` further on.
+_CANDIDATE = np.dtype([("src", "i8"), ("smark", "i4"), ("salt", "i4"), ("shift", "i4"), ("first", "i4"), ("last", "i4")])
 
 
 # ---- the transform ---------------------------------------------------------------------------------------------
@@ -265,7 +271,7 @@ def _repeated(bits: int):
 # ---- runs and classes ----------------------------------------------------------------------------------------------
 
 _OUT = "kind int, bucket int, doc long, mark int, payload binary"
-_SPANS, _RECORDS, _REQUESTS = 0, 1, 2
+_SPANS, _RECORDS, _REQUESTS, _CANDIDATES = 0, 1, 2, 3
 
 
 def _opens(rec: np.ndarray) -> np.ndarray:
@@ -335,6 +341,76 @@ def _spans_out(doc, mark, first, stop, buckets):
     yield from _by_doc(_SPANS, d, m, spans.view([("a", "i4"), ("b", "i4")]).reshape(-1), buckets)
 
 
+def _joined_candidates(doc, mark, cand):
+    """Candidates in order, touching ones of the same source and shift joined."""
+    order = np.lexsort((cand["first"], cand["shift"], cand["salt"], cand["smark"], cand["src"], mark, doc))
+    doc, mark, cand = doc[order], mark[order], cand[order]
+    if not len(doc):
+        return doc, mark, cand
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (mark[1:] != mark[:-1])
+    for name in ("src", "smark", "salt", "shift"):
+        new[1:] |= cand[name][1:] != cand[name][:-1]
+    lift = (np.cumsum(new) - 1) * (1 << 33)
+    reach = np.maximum.accumulate(cand["last"] + lift)
+    opens = new.copy()
+    opens[1:] |= cand["first"][1:] + lift[1:] > reach[:-1] + 1
+    at = np.flatnonzero(opens)
+    out = cand[at].copy()
+    out["last"] = reach[np.append(at[1:], len(doc)) - 1] - lift[at]
+    return doc[at], mark[at], out
+
+
+def _candidates_out(rec, new, buckets: int):
+    """Candidates of sorted records (new: where classes begin), and which records they are."""
+    head = np.flatnonzero(new)
+    of = np.cumsum(new) - 1
+    size = np.diff(np.append(head, len(rec)))
+    lost = rec["doc"] > rec["doc"][head][of]
+    own, source = rec[lost], rec[head[of[lost]]]
+    cand = np.zeros(len(own), _CANDIDATE)
+    cand["src"], cand["smark"], cand["shift"] = source["doc"], source["mark"], source["at"] - own["at"]
+    cand["first"], cand["last"] = own["at"], own["at"] + (own["span"] >> 8)
+    salts = U64(1) << np.maximum(0, np.ceil(np.log2(size[of[lost]] / PER_SALT))).astype(U64)
+    cand["salt"] = (mix64(own["doc"].astype(U64)) & (salts - U64(1))).astype(np.int32)
+    return lost, _by_doc(_CANDIDATES, *_joined_candidates(own["doc"], own["mark"], cand), buckets)
+
+
+def _requested(batches):
+    """What candidates ask for: (key, doc, mark, first, last) of a document and of its source, by pieces of the source."""
+    for batch in batches:
+        parts = [np.frombuffer(b"".join(p), _CANDIDATE) for p in batch.column(2).to_pylist()]
+        if not parts:
+            continue
+        sizes = [len(p) for p in parts]
+        doc, mark, cand = _joined_candidates(np.repeat(batch.column(0).to_numpy(), sizes), np.repeat(batch.column(1).to_numpy(), sizes), np.concatenate(parts))
+        shift = cand["shift"].astype(np.int64)
+        low, high = cand["first"] + shift, cand["last"] + shift
+        many = high // PIECE - low // PIECE + 1
+        row = np.repeat(np.arange(len(doc)), many)
+        piece = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many) + (low // PIECE)[row]
+        a, b, shift = np.maximum(low[row], piece * PIECE), np.minimum(high[row], piece * PIECE + PIECE - 1), shift[row]
+        with np.errstate(over="ignore"):
+            key = mix64(cand["src"][row].astype(U64) ^ mix64(cand["smark"][row].astype(U64) << U64(32) | piece.astype(U64)) + mix64(cand["salt"][row].astype(U64) + U64(1)))
+        key = (key & ~U64(1) | U64(2)).view(np.int64)  # even: candidates; odd: partly equal runs
+        for whose, own, first, last in ((doc[row], mark[row], a - shift, b - shift), (cand["src"][row], cand["smark"][row], a, b)):
+            cols = [pa.array(key), pa.array(whose), pa.array(own), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "doc", "mark", "first", "last"])
+
+
+def _packed_requests(batches):
+    """Requests of a document as packed rows."""
+    for batch in batches:
+        asked = batch.column(2)
+        rows = asked.flatten()
+        out = np.zeros(len(rows), _REQUEST)
+        for k, name in enumerate(_REQUEST.names):
+            out[name] = rows.field(k).to_numpy().astype(_REQUEST[name])
+        size = np.append(0, np.cumsum(pc.list_value_length(asked).to_numpy(zero_copy_only=False)))
+        raw = [out[i:j].tobytes() for i, j in zip(size[:-1].tolist(), size[1:].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(raw, pa.binary())], names=["doc", "mark", "payload"])
+
+
 def _collect_runs(bits: int, buckets: int, held_filter):
     def run(batches):
         bitmap = held_filter.value
@@ -345,12 +421,9 @@ def _collect_runs(bits: int, buckets: int, held_filter):
             rec, bucket = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.lexsort((rec["doc"], rec["more"], rec["ctx"]))
             rec, bucket = rec[order], bucket[order]
-            new = _opens(rec)
-            least = rec["doc"][np.flatnonzero(new)][np.cumsum(new) - 1]
-            gone = rec[rec["doc"] > least]
-            yield from _spans_out(gone["doc"], gone["mark"], gone["at"], gone["at"] + (gone["span"] >> 8).astype(np.int64) + MIN_LENGTH, buckets)
-            own = rec["doc"] == least
-            rec, bucket = rec[own], bucket[own]
+            lost, found = _candidates_out(rec, _opens(rec), buckets)
+            yield from found
+            rec, bucket = rec[~lost], bucket[~lost]
             order = np.argsort(bucket, kind="stable")
             rec, bucket = rec[order], bucket[order]
             edge = np.searchsorted(bucket, np.arange(buckets + 1))
@@ -382,7 +455,7 @@ def _collect_runs(bits: int, buckets: int, held_filter):
 
 
 def _settle(buckets: int, hot_key: int):
-    """Classes of a bucket: runs lost to a smaller document of the class, and requests for partial comparison."""
+    """Classes of a bucket: candidates for a smaller document of the class, and requests for partial comparison."""
 
     def run(batches):
         parts: list[np.ndarray] = []
@@ -400,12 +473,8 @@ def _settle(buckets: int, hot_key: int):
             return
         rec = np.concatenate(parts)
         rec = rec[np.lexsort((rec["doc"], rec["more"], rec["ctx"]))]
-        new = _opens(rec)
-        head = np.flatnonzero(new)
-        least = rec["doc"][head][np.cumsum(new) - 1]
-        lost = rec["doc"] > least
-        gone = rec[lost]
-        yield from _spans_out(gone["doc"], gone["mark"], gone["at"], gone["at"] + (gone["span"] >> 8).astype(np.int64) + MIN_LENGTH, buckets)
+        lost, found = _candidates_out(rec, _opens(rec), buckets)
+        yield from found
         rec = rec[~lost]
         # sides that smallest documents of different classes share
         for side in ("l", "r"):
@@ -456,7 +525,7 @@ def _fetch(batches):
             where = np.arange(offset[-1]) - np.repeat(offset[:-1] - text_start[row[own]] - first[own], size[own])
             taken, keys, whose, some = data[where], key[own].copy(), doc[row[own]], np.flatnonzero(hot[own])
             for i in some.tolist():
-                keys[i] = _content(taken[offset[i] : offset[i + 1]].tobytes())
+                keys[i] = _content(taken[offset[i] : offset[i + 1]].tobytes()) | 1
             if len(some):  # equal windows of larger documents are lost here: an empty block says so
                 _, same = np.unique(keys[some], return_inverse=True)
                 least = np.full(same.max() + 1, np.iinfo(np.int64).max)
@@ -468,7 +537,7 @@ def _fetch(batches):
                 taken = taken[np.repeat(stay, left)]
                 left[lost] = 0
                 offset = np.concatenate([[0], np.cumsum(left)])
-                keys[lost] = mix64(whose[lost].view(U64) + U64(1)).view(np.int64)
+                keys[lost] = mix64(whose[lost].view(U64) + U64(1)).view(np.int64) | 1
             raw = taken.tobytes()
             blocks = pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(offset.astype(np.int32).tobytes()), pa.py_buffer(raw)])
             cols = [pa.array(keys), pa.array(whose), pa.array(mark[row[own]]), pa.array(first[own].astype(np.int32)), blocks]
@@ -486,12 +555,13 @@ def _compare(buckets: int):
         key, doc, mark, first = (np.concatenate([p.column(i).to_numpy() for p in parts]) for i in range(4))
         blocks = [b for p in parts for b in p.column(4).to_pylist()]
         least: dict[bytes, int] = {}
-        for b, d in zip(blocks, doc.tolist(), strict=True):
-            if d < least.get(b, d + 1):
+        partly = (key & 1).tolist()
+        for b, d, odd in zip(blocks, doc.tolist(), partly, strict=True):
+            if odd and d < least.get(b, d + 1):
                 least[b] = d
-        # lost whole: what _fetch says (empty blocks), and a block that a smaller document has as well
+        # lost whole: what _fetch says (empty blocks), and a partly equal run that a smaller document has as well
         size = np.fromiter((len(b) or MIN_LENGTH for b in blocks), np.int64, len(blocks))
-        gone = np.fromiter((not b or d > least[b] for b, d in zip(blocks, doc.tolist(), strict=True)), bool, len(blocks))
+        gone = np.fromiter((odd and (not b or d > least[b]) for b, d, odd in zip(blocks, doc.tolist(), partly, strict=True)), bool, len(blocks))
         spans = [(doc[gone], mark[gone], first[gone].astype(np.int64), (first + size)[gone])]
         rest = np.flatnonzero(~gone)
         if len(rest) > 1:
@@ -505,9 +575,20 @@ def _compare(buckets: int):
         size = 0
         for batch in batches:
             while batch.num_rows:
+                cut = np.cumsum(np.diff(_offsets(batch.column(4))))
                 if size >= SHARD:  # up to the end of the key that is being gathered
                     last = held[-1].column(0)[held[-1].num_rows - 1].as_py()
                     same = int(np.searchsorted(batch.column(0).to_numpy(), last, side="right"))
+                    if same and last % 2 == 0:  # a source with many candidates: each needs no other than it
+                        if size >= 2 * SHARD:
+                            source = _first_of(held, last)
+                            yield from settle(held)
+                            held, size = [source], source.num_rows * (PIECE + MIN_LENGTH)
+                        stop = min(same, int(np.searchsorted(cut, SHARD)) + 1)
+                        held.append(batch.slice(0, stop))
+                        size += int(cut[stop - 1])
+                        batch = batch.slice(stop)
+                        continue
                     if same:
                         held.append(batch.slice(0, same))
                     batch = batch.slice(same)
@@ -515,7 +596,6 @@ def _compare(buckets: int):
                         yield from settle(held)
                         held, size = [], 0
                     continue
-                cut = np.cumsum(np.diff(_offsets(batch.column(4))))
                 stop = min(batch.num_rows, int(np.searchsorted(cut, SHARD - size)) + 1)
                 held.append(batch.slice(0, stop))
                 size += int(cut[stop - 1])
@@ -526,6 +606,16 @@ def _compare(buckets: int):
     return run
 
 
+def _first_of(held: list[pa.RecordBatch], key: int) -> pa.RecordBatch:
+    """The rows of the smallest document of a key, whose rows come by document."""
+    for part in held:
+        at = np.flatnonzero(part.column(0).to_numpy() == key)
+        if len(at):
+            doc = part.column(1).to_numpy()
+            return part.take(pa.array(at[doc[at] == doc[at[0]]]))
+    raise KeyError(key)
+
+
 def _offsets(column: pa.Array) -> np.ndarray:
     """Byte offsets of the values of a binary column (a slice too)."""
     return np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
@@ -576,13 +666,16 @@ def removed_spans(rows: DataFrame, hot_key: int = HOT_KEY, n_bytes: int = 0) ->
         bitmap[row["bucket"]] = np.frombuffer(row["bits"], np.uint8)
     runs = rows.mapInArrow(_collect_runs(bits, buckets, spark.sparkContext.broadcast(bitmap)), _OUT)
     settled = staged(runs.repartitionById(buckets, F.col("bucket")).mapInArrow(_settle(buckets, hot_key), _OUT), "runs")
-    asked = settled.where(F.col("kind") == _REQUESTS).select("doc", "mark", "payload")
+    mine = settled.where(F.col("kind") == _CANDIDATES).groupBy("doc", "mark").agg(F.collect_list("payload").alias("payloads"))
+    mine = mine.mapInArrow(_requested, "key long, doc long, mark int, first int, last int")
+    mine = mine.groupBy("key", "doc", "mark").agg(F.min("first").alias("first"), F.max("last").alias("last"))  # a source is asked for once a key
+    mine = mine.groupBy("doc", "mark").agg(F.collect_list(F.struct("key", "first", "last")).alias("asked")).mapInArrow(_packed_requests, "doc long, mark int, payload binary")
+    asked = staged(settled.where(F.col("kind") == _REQUESTS).select("doc", "mark", "payload").unionByName(mine), "requests")
     wanted = maybe_in(rows, "doc", asked, "doc")
     met = wanted.dropDuplicates(["doc", "mark"]).join(asked, ["doc", "mark"]).select("doc", "mark", "text", "payload")
     blocks = met.mapInArrow(_fetch, "key long, doc long, mark int, first int, bytes binary")
-    blocks = blocks.repartition(buckets, "key").sortWithinPartitions("key")
-    partly = staged(blocks.mapInArrow(_compare(buckets), _OUT), "partly-equal")
-    return settled.where(F.col("kind") == _SPANS).unionByName(partly).select("doc", "mark", F.col("payload").alias("spans"))
+    blocks = blocks.repartition(buckets, "key").sortWithinPartitions("key", "doc")
+    return staged(blocks.mapInArrow(_compare(buckets), _OUT), "shared-runs").select("doc", "mark", F.col("payload").alias("spans"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
