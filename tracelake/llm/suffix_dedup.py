@@ -3,7 +3,7 @@
 Shared strings are found with a threshold-bounded interval expansion over Burrows-Wheeler transforms:
 a breadth-first backward extension sets common prefixes by increasing value and stops at
 MIN_LENGTH; suffixes between which nothing was set share MIN_LENGTH bytes (see `equal_windows`).
-What must be compared is brought together first, exactly (later copies of a whole text are set aside before: they lose all):
+What must be compared is brought together first, exactly (a later copy of a whole text is a candidate of the first one from the start):
 
 1. Every 50-byte window picks one anchor, the K-gram of smallest hash in it (leftmost on ties), so equal windows
    have equal anchors, and the windows of a text fall into runs by anchor.  Anchor hashes are
@@ -622,9 +622,7 @@ def _offsets(column: pa.Array) -> np.ndarray:
 
 
 def _apply(text: bytes, payloads: list[bytes]) -> tuple[int, int, bytes]:
-    """Bytes removed, runs removed, what remains; no spans stand for the whole text."""
-    if not payloads:
-        return len(text), 1, b""
+    """Bytes removed, runs removed, what remains."""
     spans = np.concatenate([np.frombuffer(p, np.int32).reshape(-1, 2) for p in payloads])
     zero = np.zeros(len(spans), np.int64)
     _, _, merged = _merged_spans(zero, zero, spans[:, 0], spans[:, 1])
@@ -637,25 +635,36 @@ def _apply(text: bytes, payloads: list[bytes]) -> tuple[int, int, bytes]:
 
 
 def first_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """Rows (doc, mark, text) that can share a string, without later copies of a text; those copies (doc, mark, n_bytes); bytes in all.
+    """Rows (doc, mark, text) that can share a string, without later copies of a text; those copies (doc, mark, n_bytes, least, rows); bytes in all.
 
-    All strings of a copy start in the first one too, so the copy loses everything and need not be searched."""
+    All strings of a copy start in the first one too, so the copy needs no anchors: it is a candidate as a whole, the first copy its source."""
     rows = _keyed(docs).where("doc is not null and octet_length(text) >= %d" % MIN_LENGTH)
     digest = F.unhex(F.sha2("text", 256))
     small = staged(rows.select("doc", "mark", digest.alias("sha"), F.octet_length("text").cast("long").alias("n_bytes")), "text-digests")
     groups = staged(small.groupBy("sha", "n_bytes").agg(F.min("doc").alias("least"), F.count("*").alias("rows")).where("rows > 1"), "text-classes")
     total, n_bytes = small.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
-    later = attach_groups(small, groups, ["sha", "n_bytes"], "rows", total).where("doc > least").select("doc", "mark", "n_bytes").distinct()
+    later = attach_groups(small, groups, ["sha", "n_bytes"], "rows", total).where("doc > least").select("doc", "mark", "n_bytes", "least", "rows").distinct()
     later = staged(later, "text-copies")
     unsure, sure = split_by(rows, "doc", later, "doc")
     unsure = unsure.join(later.select("doc", "mark"), ["doc", "mark"], "left_anti")
     return sure.unionByName(staged(unsure.select("doc", "mark", "text"), "unsure-copies")), later, n_bytes
 
 
-def removed_spans(rows: DataFrame, hot_key: int = HOT_KEY, n_bytes: int = 0) -> DataFrame:
+def _copy_requests(copies: DataFrame) -> DataFrame:
+    """What copies ask for, as `_requested` has it: (key, doc, mark, first, last) of a copy and of the first one, by pieces."""
+    salts = F.pow(F.lit(2.0), F.greatest(F.lit(0.0), F.ceil(F.log2(F.col("rows") / PER_SALT)))).cast("long")
+    pieces = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_bytes") - MIN_LENGTH) / PIECE))).alias("piece")
+    cut = copies.select("doc", "least", "mark", "n_bytes", F.pmod(F.xxhash64("doc"), salts).alias("salt"), pieces)
+    key = F.xxhash64("least", "mark", "piece", "salt").bitwiseAND(~1).bitwiseOR(2)  # even, as a candidate's
+    first, last = F.col("piece") * PIECE, F.least(F.col("piece") * PIECE + PIECE - 1, F.col("n_bytes") - MIN_LENGTH)
+    rows = cut.select(key.alias("key"), F.explode(F.array("doc", "least")).alias("doc"), "mark", first.cast("int").alias("first"), last.cast("int").alias("last"))
+    return rows.select("key", "doc", "mark", "first", "last")
+
+
+def removed_spans(rows: DataFrame, copies: DataFrame, texts: DataFrame, hot_key: int = HOT_KEY, n_bytes: int = 0) -> DataFrame:
     """doc, mark (low bits of the text's hash), spans: packed (first, stop) byte spans to remove, several per document.
 
-    n_bytes: the size of all texts, if known; it sets the least number of buckets."""
+    rows and copies are those of first_copies, texts all rows; n_bytes, the size of all texts, sets the least number of buckets."""
     spark = rows.sparkSession
     buckets = max(shuffle_partitions(spark), n_bytes // BUCKET_BYTES)
     bits = FILTER_BYTES * 8 // buckets // 8 * 8
@@ -668,10 +677,10 @@ def removed_spans(rows: DataFrame, hot_key: int = HOT_KEY, n_bytes: int = 0) ->
     settled = staged(runs.repartitionById(buckets, F.col("bucket")).mapInArrow(_settle(buckets, hot_key), _OUT), "runs")
     mine = settled.where(F.col("kind") == _CANDIDATES).groupBy("doc", "mark").agg(F.collect_list("payload").alias("payloads"))
     mine = mine.mapInArrow(_requested, "key long, doc long, mark int, first int, last int")
-    mine = mine.groupBy("key", "doc", "mark").agg(F.min("first").alias("first"), F.max("last").alias("last"))  # a source is asked for once a key
+    mine = mine.unionByName(_copy_requests(copies)).groupBy("key", "doc", "mark").agg(F.min("first").alias("first"), F.max("last").alias("last"))  # a source is asked for once a key
     mine = mine.groupBy("doc", "mark").agg(F.collect_list(F.struct("key", "first", "last")).alias("asked")).mapInArrow(_packed_requests, "doc long, mark int, payload binary")
     asked = staged(settled.where(F.col("kind") == _REQUESTS).select("doc", "mark", "payload").unionByName(mine), "requests")
-    wanted = maybe_in(rows, "doc", asked, "doc")
+    wanted = maybe_in(texts.where("doc is not null"), "doc", asked, "doc")
     met = wanted.dropDuplicates(["doc", "mark"]).join(asked, ["doc", "mark"]).select("doc", "mark", "text", "payload")
     blocks = met.mapInArrow(_fetch, "key long, doc long, mark int, first int, bytes binary")
     blocks = blocks.repartition(buckets, "key").sortWithinPartitions("key", "doc")
@@ -701,12 +710,10 @@ def _finish(batches):
 def suffix_dedup(docs: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
     """Per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (null where nothing is removed)."""
     first, copies, n_bytes = first_copies(docs)
-    spans = staged(removed_spans(first, hot_key, n_bytes), "spans")
-    whole = copies.select("doc", "mark", F.lit(None).cast("binary").alias("spans"))  # an empty list of spans: all of it
-    every = spans.unionByName(whole).groupBy("doc", "mark").agg(F.collect_list("spans").alias("spans"))
     rows = _keyed(docs)
-    hit = spans.select("doc").unionByName(copies.select("doc"))
-    touched, rest = split_by(rows, "doc", hit, "doc")
+    spans = staged(removed_spans(first, copies, rows, hot_key, n_bytes), "spans")
+    every = spans.groupBy("doc", "mark").agg(F.collect_list("spans").alias("spans"))
+    touched, rest = split_by(rows, "doc", spans, "doc")
     cut = touched.join(every, ["doc", "mark"], "left").select("doc", "text", "spans")
     done = cut.where("spans is not null").mapInArrow(
         _finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
