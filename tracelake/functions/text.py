@@ -159,6 +159,20 @@ def is_ascii_query(c) -> Column:
     return F.regexp_replace(text_or_empty(c), r"[\s_\-]+", "").rlike(r"^[\x00-\x7F]+$")
 
 
+def safe_stem(c) -> Column:
+    """A name fit for a file: other characters become underscores, none at the ends; at most 80 characters, never empty."""
+    clean = F.regexp_replace(F.regexp_replace(text_or_empty(c), r"[^A-Za-z0-9._-]+", "_"), r"^[._]+|[._]+$", "")
+    return F.substring(F.when(clean == "", F.lit("clip")).otherwise(clean), 1, 80)
+
+
+def without_paths(c, *paths) -> Column:
+    """A message without these paths."""
+    out = text_or_empty(c)
+    for path in paths:
+        out = F.when(text_or_empty(path) == "", out).otherwise(F.replace(out, text_or_empty(path), F.lit("<path>")))
+    return out
+
+
 def anchor_seconds(ts, start, end) -> Column:
     ts, start, end = (_col(c).cast("double") for c in (ts, start, end))
     return F.coalesce(ts, (start + end) / 2, start, F.lit(0.0))

@@ -237,16 +237,17 @@ def fused_segments(spark, sf_dir):
 
 # ---- intents ---------------------------------------------------------------------------------------------------------
 
-#: Query, type, primary, context, relations, directions, motions, events, light, route, weights: what the described system's tests say of these queries.
+#: Query, type, primary, context, relations, directions, motions, events, light, route, confidence, candidates, weights: what the described system's tests say of these queries.
 PARSED = (
-    ("从左到右的行人", "motion", "person", "", "", "left_to_right", "", "", "", "clip_only", "vague"),
-    ("红绿灯附近的车", "relational", "car", "traffic_light", "near", "", "", "", "", "clip_only", "vague"),
-    ("路口左转的货车", "composite", "truck", "intersection", "", "", "turn_left", "", "", "clip_only", "attributes of entities"),
-    ("靠近停止线的车辆", "relational", "car,truck,bus,motorcycle", "stop_line", "near", "", "", "", "", "clip_only", "vague"),
-    ("逆行", "event", "", "", "", "", "", "wrong_way_driving", "", "event_primary", "sure event"),
-    ("压线", "event", "", "", "", "", "", "vehicle_crosses_line", "", "event_primary", "sure event"),
-    ("car", "object", "car", "", "", "", "", "", "", "clip_only", "vague"),
-    ("", "general", "", "", "", "", "", "", "", "clip_only", "vague"),
+    ("从左到右的行人", "motion", "person", "", "", "left_to_right", "", "", "", "clip_only", 0.0, 1, "vague"),
+    ("红绿灯附近的车", "relational", "car", "traffic_light", "near", "", "", "", "", "clip_only", 0.0, 1, "vague"),
+    ("路口左转的货车", "composite", "truck", "intersection", "", "", "turn_left", "", "", "clip_only", 0.0, 1, "attributes of entities"),
+    ("靠近停止线的车辆", "relational", "car,truck,bus,motorcycle", "stop_line", "near", "", "", "", "", "clip_only", 0.0, 1, "vague"),
+    ("逆行", "event", "", "", "", "", "", "wrong_way_driving", "", "event_primary", 1.0, 1, "sure event"),
+    ("压线", "event", "", "", "", "", "", "vehicle_crosses_line", "", "event_primary", 1.0, 1, "sure event"),
+    ("car", "object", "car", "", "", "", "", "", "", "clip_only", 0.0, 1, "vague"),
+    ("车辆违规", "object", "car,truck,bus,motorcycle", "", "", "", "", "", "", "vague_event", 0.0, 2, "vague"),
+    ("", "general", "", "", "", "", "", "", "", "clip_only", 0.0, 0, "vague"),
 )
 
 
@@ -256,9 +257,9 @@ def intents_parsed(spark, sf_dir):
     for n, (query, *_) in enumerate(PARSED):
         i = intent.parse(query)
         parts = [",".join(p) for p in (i.primary, i.context, i.relations, i.directions, i.motions, i.events)]
-        rows.append((n, query, i.query_type, *parts, i.attributes.get("light_state", ""), intent.route(i)["route"], *[float(w) for w in intent.channel_weights(i).values()]))
+        rows.append((n, query, i.query_type, *parts, i.attributes.get("light_state", ""), intent.route(i)["route"], i.event_confidence, len(i.candidates), *[float(w) for w in intent.channel_weights(i).values()]))
     names = ["n long", *(f"{c} string" for c in ("query", "query_type", "primary_entities", "context", "relations", "directions", "motions", "events", "light", "route"))]
-    return spark.createDataFrame(rows, ", ".join([*names, *(f"w_{c} double" for c in vocabulary.CHANNELS)]))
+    return spark.createDataFrame(rows, ", ".join([*names, "confidence double", "n_candidates long", *(f"w_{c} double" for c in vocabulary.CHANNELS)]))
 
 
 def intent_rewrites(spark, sf_dir):
@@ -384,6 +385,13 @@ def segment_texts(spark, sf_dir):
     return rows.select("p_partkey", F.when(F.col("p_partkey") % 3 == 2, F.substring(made, 1, 5)).otherwise(made).alias("text"), text.timestamp_text(F.when(F.col("p_partkey") % 2 == 0, F.col("p_size").cast("string")), path).alias("at"))
 
 
+def safe_names(spark, sf_dir):
+    """Names fit for files, and messages without the paths they speak of."""
+    rows = table(spark, sf_dir, "part")
+    said = F.concat(F.lit("bad /v/"), F.col("p_brand"), F.lit(".mp4 near /v/"), F.col("p_brand"), F.lit(".mp4"))
+    return rows.select("p_partkey", text.safe_stem(F.concat(F.lit("._ "), "p_name", F.lit("/é"))).alias("safe"), text.without_paths(said, F.concat(F.lit("/v/"), "p_brand", F.lit(".mp4"))).alias("message"))
+
+
 def clip_links(spark, sf_dir):
     """Download links of at least a second, and whether the file is there."""
     rows = table(spark, sf_dir, "customer").select(F.concat(F.lit("/d/a b/"), "c_custkey", F.lit(".mp4")).alias("video_path"), F.col("c_nationkey").cast("double").alias("start_ts"), (F.col("c_nationkey") % 3 * 10).cast("double").alias("end_ts"), F.when(F.col("c_custkey") % 2 == 0, F.lit("wrong_way_driving")).alias("event_type"))
@@ -469,6 +477,33 @@ def imported_sequences(spark, sf_dir):
     return rows.join(meta, "video_name", "left").select("video_name", "frame_index", "ts", "weather", "road", "frame")
 
 
+def archived_frames(spark, sf_dir):
+    """Frames in archives of arrays, in order of their numbers; a broken archive is left out."""
+    path, body = staging.new_path(spark, "archives"), io.BytesIO()
+    np.savez(body, **{f"arr_{i}": np.zeros(1) for i in (10, 2, 0, 7, 33)}, note=np.zeros(1))
+    staging.put(spark, f"{path}/crash.npz", body.getvalue())
+    staging.put(spark, f"{path}/broken.npz", "no archive")
+    return files.archive_frames(spark, path, 20.0, step=2).select("video_name", "frame", "frame_index", "ts")
+
+
+def ingest_chain(spark, sf_dir):
+    """Detections to points, tracks, events, segments and status: ten vehicles a video that drive over the line."""
+    of = F.concat(F.lit("r"), (F.col("id") % 5).cast("string"))
+    rows = spark.range(0, 5 * 10 * 40).select(of.alias("video_id"), (F.floor(F.col("id") / 5) % 10).alias("lane"), F.floor(F.col("id") / 50).cast("double").alias("ts"))
+    x, y = F.col("ts") * 4.0, F.col("lane") * 100.0
+    box = F.struct(x.alias("x1"), y.alias("y1"), (x + 50).alias("x2"), (y + 40).alias("y2"))
+    rows = _paths(rows).select("video_id", "video_name", "video_path", F.lit("car").alias("label"), "ts", F.format_string("f_%.2f.jpg", "ts").alias("frame_path"), F.lit(0.9).alias("confidence"), box.alias("box"))
+    lights = spark.createDataFrame([], "video_id string, t double, state string, conf double, frame_path string")
+    durations = rows.groupBy("video_id").agg(F.lit(60.0).alias("duration"))
+    made = ingest.run(spark, rows, lights, {"vehicle_crosses_line": {"line": [[100.0, -10.0], [100.0, 2000.0]]}}, durations, staging.new_path(spark, "ingest"))
+    n = {name: made[name].groupBy("video_id").agg(F.count("*").alias(f"n_{name}")) for name in ("points", "tracks", "events", "segments")}
+    out = made["status"]
+    for df in n.values():
+        out = out.join(df, "video_id")
+    way = made["tracks"].groupBy("video_id").agg(F.max("direction").alias("direction"), F.max("duration_sec").alias("duration"))
+    return out.join(way, "video_id").select("video_id", "status", *[f"n_{name}" for name in n], "direction", "duration")
+
+
 def named_sources(spark, sf_dir):
     """Detections with the canonical name and path of their source; without a source they are left out, as are classes the layer does not keep."""
     rows = ingest.traffic_only(_detections(spark, sf_dir))
@@ -536,8 +571,8 @@ QUERIES = {
     for f in (
         json_detections, json_tracks, json_events, json_texts, bad_layer_files, cached_layer, frame_videos, search_detections, search_detections_alone, search_tracks, search_events,
         search_texts, search_vectors, search_hybrid, search_speech, search_without_a_channel, fused_segments, intents_parsed, intent_rewrites, english_queries, rule_events, wrong_way_in_region,
-        frame_lights, python_rule_events, segments_numbered, segment_groups, window_frames, segment_states, segment_tables, segment_texts, clip_links, vectors_checked,
-        vectors_numbered, vector_tables, vector_bundle, encoded_names, layer_rewritten, listed_videos, imported_sequences, named_sources, class_labels, layers_in_order,
+        frame_lights, python_rule_events, segments_numbered, segment_groups, window_frames, segment_states, segment_tables, segment_texts, safe_names, clip_links, vectors_checked,
+        vectors_numbered, vector_tables, vector_bundle, encoded_names, layer_rewritten, listed_videos, imported_sequences, archived_frames, ingest_chain, named_sources, class_labels, layers_in_order,
         moved_frames, eval_by_mode, right_of_frames, stream_upserted, stream_tracks,
     )
 }
@@ -643,9 +678,9 @@ ORACLE_SQL = {
         t AS (SELECT *, max(best_score) OVER (PARTITION BY w) AS top FROM g),
         u AS (SELECT w, list_sort(list_distinct(flatten(list(m)))) AS shared FROM t WHERE best_score = top GROUP BY w)
         SELECT key, best_score, start_ts, end_ts, array_to_string(shared, ',') AS matched_by FROM t JOIN u USING (w) QUALIFY row_number() OVER (PARTITION BY w ORDER BY best_score DESC, start_ts, key) = 1""",
-    "intents_parsed": f"""SELECT n::BIGINT AS n, query, query_type, primary_entities, context, relations, directions, motions, events, light, route, w_clip::DOUBLE AS w_clip, w_detection::DOUBLE AS w_detection, w_trajectory::DOUBLE AS w_trajectory,
+    "intents_parsed": f"""SELECT n::BIGINT AS n, query, query_type, primary_entities, context, relations, directions, motions, events, light, route, confidence::DOUBLE AS confidence, n_candidates::BIGINT AS n_candidates, w_clip::DOUBLE AS w_clip, w_detection::DOUBLE AS w_detection, w_trajectory::DOUBLE AS w_trajectory,
         w_event::DOUBLE AS w_event, w_ocr::DOUBLE AS w_ocr
-        FROM (VALUES {_PARSED}) AS p(n, query, query_type, primary_entities, context, relations, directions, motions, events, light, route, w_clip, w_detection, w_trajectory, w_event, w_ocr)""",
+        FROM (VALUES {_PARSED}) AS p(n, query, query_type, primary_entities, context, relations, directions, motions, events, light, route, confidence, n_candidates, w_clip, w_detection, w_trajectory, w_event, w_ocr)""",
     "intent_rewrites": "SELECT query, n::BIGINT AS n, variant FROM (VALUES ('白色汽车', 0, 'white car'), ('白色汽车', 1, 'white sedan'), (' red car ', 0, 'red car'), ('逆行', 0, '逆行'), ('逆行', 1, 'wrong_way_driving')) AS p(query, n, variant)",
     "english_queries": r"SELECT doc_id, regexp_matches(regexp_replace(substr(text, 1, 8), '[\s_\-]+', '', 'g'), '^[\x00-\x7F]+$') AS english FROM documents",
     "rule_events": f"""WITH {PLACED}
@@ -689,6 +724,7 @@ ORACLE_SQL = {
     "segment_texts": """SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN '检测到 ' || CASE WHEN p_partkey % 2 = 0 THEN '公交车' ELSE 'boat' END || CASE WHEN p_partkey % 4 = 1 THEN '，识别到文本 ' || p_brand ELSE '' END
           ELSE CASE WHEN p_partkey % 4 = 1 THEN '识别到文本' ELSE '视频片段_' END END AS text,
         CASE WHEN p_partkey % 2 = 0 THEN p_size::DOUBLE ELSE p_size + 0.5 END::VARCHAR AS at FROM part""",
+    "safe_names": r"""SELECT p_partkey, substr(regexp_replace(regexp_replace('._ ' || p_name || '/é', '[^A-Za-z0-9._-]+', '_', 'g'), '^[._]+|[._]+$', '', 'g'), 1, 80) AS safe, 'bad <path> near <path>' AS message FROM part""",
     "clip_links": """SELECT '/d/a b/' || c_custkey || '.mp4' AS video_path,
         '/api/search/download_clip?video_path=%2Fd%2Fa%20b%2F' || c_custkey || '.mp4&start_ts=' || c_nationkey || '.0&end_ts=' || greatest(c_nationkey % 3 * 10, c_nationkey + 1) || '.0&output_name='
           || CASE WHEN c_custkey % 2 = 0 THEN 'wrong_way_driving' ELSE 'clip' END || '_' || c_nationkey || '.0s' AS clip_url,
@@ -704,6 +740,9 @@ ORACLE_SQL = {
     "listed_videos": "SELECT v AS video_id, i::INT AS frame_index, round(i / 25.0, 2)::DOUBLE AS ts FROM (VALUES ('a'), ('b')) AS x(v), unnest([0, 5, 10]) AS u(i)",
     "imported_sequences": """SELECT 'scene' AS video_name, i::BIGINT AS frame_index, round(i / 15.0, 3)::DOUBLE AS ts, NULL AS weather, NULL AS road, NULL AS frame FROM unnest([0, 3, 6]) AS u(i)
         UNION ALL SELECT 'crash', i, round(i / 20.0, 3)::DOUBLE, 'rain', 'wet', '77' FROM unnest([0, 2]) AS u(i)""",
+    "archived_frames": "SELECT 'crash' AS video_name, 'arr_' || i AS frame, i::BIGINT AS frame_index, round(i / 20.0, 3)::DOUBLE AS ts FROM unnest([0, 7, 33]) AS u(i)",
+    "ingest_chain": """SELECT 'r' || v AS video_id, 'built' AS status, 400::BIGINT AS n_points, 10::BIGINT AS n_tracks, 10::BIGINT AS n_events, 5::BIGINT AS n_segments, 'left_to_right' AS direction, 39.0::DOUBLE AS duration
+        FROM unnest(range(5)) AS a(v)""",
     "named_sources": f"""WITH {_DETECTIONS} SELECT 'U' || substr(video_id, 2) || '.AVI' AS video_name, '/src/U' || substr(video_id, 2) || '.AVI' AS video_path, count(*) AS n, count(DISTINCT label) AS n_labels
         FROM det WHERE label <> '' AND substr(video_id, 2)::BIGINT % 2 = 0 AND substr(video_id, 2)::BIGINT < 1500 GROUP BY video_id""",
     "class_labels": """WITH c AS (SELECT l_orderkey, l_linenumber % 2 AS k, arg_max(l_returnflag, l_linenumber * 1e9 + l_extendedprice) AS label FROM lineitem WHERE l_linenumber <= 4 GROUP BY ALL)

@@ -7,6 +7,7 @@ files, not their size.
 from __future__ import annotations
 
 import io
+import zipfile
 
 import numpy as np
 import pandas as pd
@@ -57,6 +58,29 @@ def image_sequences(spark: SparkSession, path: str, fps: float, step: int = 1, n
     return rows.withColumn("ts", F.round(F.col("frame_index") / F.lit(float(fps)), 3))
 
 
+def archive_frames(spark: SparkSession, path: str, fps: float, step: int = 1, limit: int | None = None) -> DataFrame:
+    """Frames held in .npz archives (path, video_name, frame, frame_index, ts): each archive is a video, its arrays are frames by the last number
+    of their names.  Only the archives' directories are read; every step-th frame in order stays, `limit` of a video at most."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.npz").load(path)
+
+    def names(frames):
+        for frame in frames:
+            for name, content in zip(frame["path"], frame["content"], strict=True):
+                try:
+                    held = [n.removesuffix(".npy") for n in zipfile.ZipFile(io.BytesIO(content)).namelist()]
+                except zipfile.BadZipFile:
+                    continue
+                yield pd.DataFrame({"path": name, "frame": held})
+
+    rows = files.select("path", "content").mapInPandas(names, "path string, frame string")
+    rows = rows.withColumn("frame_index", F.regexp_extract("frame", r"(\d+)\D*$", 1).try_cast("long")).where("frame_index is not null")
+    order = F.row_number().over(Window.partitionBy("path").orderBy("frame_index", "frame")) - 1
+    rows = rows.withColumn("_n", order).where(F.col("_n") % max(1, step) == 0)
+    if limit is not None:
+        rows = rows.where(F.col("_n") < limit * max(1, step))
+    return rows.select("path", text.stem("path").alias("video_name"), "frame", "frame_index", F.round(F.col("frame_index") / F.lit(float(fps)), 3).alias("ts"))
+
+
 #: Names of the positional fields of an accident meta file's first line.
 META_FIELDS = (
     "weather", "ego_agent_id", "ego_agent_type", "other_agent_id", "other_agent_type", "collision_distance", "spawn_side",
