@@ -1,4 +1,7 @@
+import random
+
 from tests.test_functions import common
+from tracelake.operators import channels
 from tracelake.plans import catalog
 
 PHRASE = "that and onesen erblest"
@@ -24,3 +27,15 @@ def test_fuzzy_topk_scores_whole_texts(spark, tmp_path):
     want = sorted(((-round(plain(squeezed(PHRASE), squeezed(t)), 4), i) for i, t in items))[:10]
     assert [i for i, _ in got] == [i for _, i in want] and got[0] == (20, 100.0)
     assert all(abs(s + w) < 1e-3 for (_, s), (w, _) in zip(got, want, strict=True))
+
+
+def test_no_text_is_lost_before_it_is_scored(spark):
+    """All texts of at least the cut-off stay, short ones and such that share few characters too."""
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(1, 24))) for _ in range(300)] + ["ab", "fgh", "zzz", "a"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n long, text string")
+    for query in ("abcdefgh", "ab", "hgfedcbaabcdefghhgfe"):
+        got = {r["n"]: r["similarity"] for r in channels.scored_texts(rows, query).collect()}
+        want = {n: plain(query, t.replace(" ", "")) for n, t in enumerate(texts)}
+        want = {n: s for n, s in want.items() if s >= channels.OCR_CUTOFF}
+        assert got.keys() == want.keys() and all(abs(got[n] - s) < 1e-9 for n, s in want.items())

@@ -127,7 +127,7 @@ def scored_texts(texts: DataFrame, query: str, column: str = "text") -> DataFram
     """Rows whose text holds the query (100) or is similar to it (OCR_CUTOFF at least).
 
     Containment is decided in the JVM, as is whether enough of the query's characters occur at all (a similarity of s needs
-    s / (200 - s) of them); only the rows that are left pass the Pandas UDF."""
+    s / (200 - s) of the shorter text's); only the rows that are left pass the Pandas UDF."""
     wanted = "".join(query.casefold().split())
     rows = texts.withColumn("_t", text.normal_text(column)).where("_t <> ''")
     if not wanted:
@@ -135,7 +135,8 @@ def scored_texts(texts: DataFrame, query: str, column: str = "text") -> DataFram
     held = rows.where(F.col("_t").contains(wanted)).withColumn("similarity", F.lit(100.0))
     letters = Counter(wanted)
     met = reduce(lambda a, b: a + b, [F.when(F.col("_t").contains(c), F.lit(n)).otherwise(0) for c, n in letters.items()])
-    near = rows.where(~F.col("_t").contains(wanted) & (met >= OCR_CUTOFF / (200 - OCR_CUTOFF) * len(wanted)))
+    least = OCR_CUTOFF / (200 - OCR_CUTOFF) * F.least(F.lit(len(wanted)), F.length("_t"))
+    near = rows.where(~F.col("_t").contains(wanted) & (met >= least))
     rest = near.withColumn("similarity", fuzzy.similarity_to(wanted, F.col("_t")))
     return held.unionByName(rest.where(F.col("similarity") >= OCR_CUTOFF)).drop("_t")
 
