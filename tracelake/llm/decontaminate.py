@@ -80,10 +80,18 @@ def suffix_array(symbols: np.ndarray, size: int, enough: int | None = None) -> n
     n = len(symbols)
     bits = max(1, int(size).bit_length())
     depth = max(1, 62 // bits)
-    key = np.zeros(n, np.int64)
-    for i in range(depth):  # a missing symbol past the end is 0, less than every symbol + 1
-        key <<= bits
-        key[: max(0, n - i)] |= symbols[i:].astype(np.int64) + 1
+    # the first `depth` symbols as one number, from stretches of 1, 2, 4, ... symbols; past the end stands 0, less than every symbol + 1
+    part, span, key, done = symbols.astype(np.int64) + 1, 1, np.zeros(n, np.int64), 0
+    while True:
+        if depth & span:
+            key <<= bits * span
+            key[: max(0, n - done)] |= part[done:]
+            done += span
+        if 2 * span > depth:
+            break
+        wide = part << (bits * span)
+        wide[: max(0, n - span)] |= part[span:]
+        part, span = wide, 2 * span
     order = np.argsort(key)
     sorted_key = key[order]
     new = np.ones(n, bool)
