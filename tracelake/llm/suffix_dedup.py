@@ -47,7 +47,7 @@ K = 26
 SIDE = (MIN_LENGTH - K) // 2
 FILTER_BYTES = 16 << 20
 FLUSH = 500_000
-SHARD = 1 << 20
+SHARD = 1 << 18
 HOT_KEY = 20_000
 #: Windows of a source that make one key, and documents of a class that share a key at most (about).
 PIECE, PER_SALT = 4096, 512
