@@ -32,6 +32,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of a corpus folder, dealt over all cores where the files give fewer partitions than there are cores (one
+    small file is one row group, which one task would read)."""
+    docs, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs._jdf.rdd().getNumPartitions() < cores else docs
+
+
 def ascii_lower(column: Column) -> Column:
     """Lower-case A-Z only, whatever the locale or script."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import small_batches, table
+from tracelake.llm.common import documents, small_batches, table
 from tracelake.llm.textbytes import ALNUM, LOWER, byte_texts, chunks, joined, word_edges, word_hashes
 
 WINDOW = 10
@@ -419,7 +419,7 @@ def without_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
 
 
 def op3_decontaminate(spark, sf_dir):
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {"op3_decontaminate": op3_decontaminate}

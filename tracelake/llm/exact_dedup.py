@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import attach_groups, drop_rows, fresh, shuffle_partitions, staged, table
+from tracelake.llm.common import attach_groups, documents, drop_rows, fresh, shuffle_partitions, staged
 
 _RUN = "slot int, sha binary, second long, n_bytes long, keep_id long, rows long, keep_row long"
 _RUN_COLUMNS = [field.split()[0] for field in _RUN.split(", ")]
@@ -146,7 +146,7 @@ def deduplicate(docs: DataFrame, radix: int = 4) -> DataFrame:
 
 
 def op5_exact_dedup(spark, sf_dir):
-    return exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup(documents(spark, sf_dir))
 
 
 QUERIES = {"op5_exact_dedup": op5_exact_dedup}

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import held_out, small_batches, table
+from tracelake.llm.common import documents, held_out, small_batches
 from tracelake.llm.textbytes import byte_texts, chunks, joined, word_edges
 
 BUCKETS = 1 << 16
@@ -195,7 +195,7 @@ def accepted(docs: DataFrame, model: Model, max_unknown: float = MAX_UNKNOWN) ->
 
 
 def op1_language_mixture(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     found = identify(docs, train(docs))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "n_languages", "unknown")
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelake.llm.common import fresh, staged, table
+from tracelake.llm.common import documents, fresh, staged
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEAT = 3
@@ -176,7 +176,7 @@ def sample(docs: DataFrame) -> DataFrame:
 
 
 def op2_mix(spark, sf_dir):
-    return mix(table(spark, sf_dir, "documents"))
+    return mix(documents(spark, sf_dir))
 
 
 QUERIES = {"op2_mix": op2_mix}

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import attach_groups, drop_rows, maybe_in, shuffle_partitions, staged, table
+from tracelake.llm.common import attach_groups, documents, drop_rows, maybe_in, shuffle_partitions, staged
 from tracelake.llm.components import components
 from tracelake.llm.textbytes import LOWER, NOT_SPACE, U64, byte_texts, chunks, joined, mix64, noise64, word_edges, word_hashes
 
@@ -347,7 +347,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
 
 def op9_near_dedup(spark, sf_dir):
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(documents(spark, sf_dir))
 
 
 QUERIES = {"op9_near_dedup": op9_near_dedup}

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import held_out, small_batches, table
+from tracelake.llm.common import documents, held_out, small_batches
 from tracelake.llm.textbytes import chunks
 
 KINDS = ("email", "ip", "card", "phone")
@@ -550,7 +550,7 @@ def redact(text: str | None, tagger: Tagger | None = None) -> str | None:
 
 
 def op6_pii_tagger(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return tag(docs, train(docs))
 
 

@@ -38,7 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import attach_groups, maybe_in, shuffle_partitions, split_by, staged, table
+from tracelake.llm.common import attach_groups, documents, maybe_in, shuffle_partitions, split_by, staged
 from tracelake.llm.decontaminate import WaveletMatrix, suffix_array
 from tracelake.llm.textbytes import U64, byte_texts, chunks, joined, mix64, noise64
 
@@ -725,7 +725,7 @@ def suffix_dedup(docs: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
 
 
 def op7_suffix_dedup(spark, sf_dir):
-    return suffix_dedup(table(spark, sf_dir, "documents")).drop("kept")
+    return suffix_dedup(documents(spark, sf_dir)).drop("kept")
 
 
 QUERIES = {"op7_suffix_dedup": op7_suffix_dedup}

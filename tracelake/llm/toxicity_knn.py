@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import held_out, staged, table
+from tracelake.llm.common import documents, held_out, staged, table
 from tracelake.llm.textbytes import U64, byte_texts, chunks, joined, mix64, noise64, word_edges
 
 MAX_LABELLED = 3000
@@ -376,7 +376,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
 
 
 def op10_toxicity_knn(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     found = score(docs, train(docs, table(spark, sf_dir, "labels")))
     return found.select(
         "doc_id",
