@@ -1,9 +1,11 @@
 import hashlib
+import time
 
 import numpy as np
 import pytest
 
 from tracelake.llm import suffix_dedup as op
+from tracelake.sources import staging
 
 
 def brute(rows, length=50):
@@ -148,3 +150,28 @@ def test_a_text_of_some_megabytes(documents):
     got = {r["doc_id"]: r for r in op.suffix_dedup(documents(rows)).collect()}
     assert (got[1]["n_removed"], got[2]["n_removed"], got[3]["n_removed"]) == (0, 2800, 1000)
     assert got[2]["kept"] == filler.encode()
+
+
+def shuffled(spark):
+    """Bytes of the shuffle files on disk."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    own = [files.apply(i) for i in range(files.length())]
+    return {f.getName(): f.length() for f in own if f.getName().startswith("shuffle_") and f.getName().endswith(".data")}
+
+
+def test_steps_leave_no_shuffle_files(spark, documents):
+    """Texts and anchors are shuffled several times over; what a finished step has shuffled must not wait for the driver's garbage collection."""
+    rng = np.random.default_rng(9)
+    passages = ["".join(rng.choice(list("abcdefghijklmnop "), 4000)) for _ in range(100)]
+    docs = documents([(i, passages[i % 100][i // 100 :] + str(i)) for i in range(400)]).repartition(4)
+    size = 400 * 4000
+    before = shuffled(spark)
+    got = op.suffix_dedup(docs)
+    for _ in range(20):  # files go a moment after the write
+        left = sum(n for f, n in shuffled(spark).items() if f not in before)
+        if left < size / 20:
+            break
+        time.sleep(0.5)
+    assert left < size / 20
+    assert spark.conf.get(staging.CLEANUP) == "false"  # the caller's own writes go on as they were
+    assert got.where("n_removed >= 3000").count() == 300

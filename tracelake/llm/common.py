@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from tracelake.sources import staging
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
+def staged(df: DataFrame, label: str, free: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors.  free: its shuffle files go at once."""
     small_batches(df.sparkSession)
-    return staging.staged(df, label)
+    return staging.staged(df, label, free)
 
 
 #: Rows of an Arrow batch: texts are long, and a batch is held several times over.

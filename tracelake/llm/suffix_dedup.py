@@ -21,6 +21,7 @@ Removed runs are merged per document.  Texts move only for documents with partly
 of fixed size, then joined exactly).  Anchors, which only bring runs together, are compared by 64-bit hashes; classes of
 runs, whose larger documents are asked for nothing but their source, by 96 bits of two (a wrong class, one to be expected among 10^14 runs, can hide a match, not make one).
 There are as many buckets as shuffle partitions, more where a bucket would otherwise stand for over BUCKET_BYTES of text.
+Every step is written before the next begins and its shuffle files go then: disk holds those of one step at a time.
 
 Defined results: null text counts as empty; a null doc_id is neither smaller nor larger than another, its row
 keeps all bytes; rows that repeat a doc_id are one document, never smaller than itself;
@@ -642,14 +643,14 @@ def first_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     All strings of a copy start in the first one too, so the copy loses everything and need not be searched."""
     rows = _keyed(docs).where("doc is not null and octet_length(text) >= %d" % MIN_LENGTH)
     digest = F.unhex(F.sha2("text", 256))
-    small = staged(rows.select("doc", "mark", digest.alias("sha"), F.octet_length("text").cast("long").alias("n_bytes")), "text-digests")
-    groups = staged(small.groupBy("sha", "n_bytes").agg(F.min("doc").alias("least"), F.count("*").alias("rows")).where("rows > 1"), "text-classes")
+    small = staged(rows.select("doc", "mark", digest.alias("sha"), F.octet_length("text").cast("long").alias("n_bytes")), "text-digests", free=True)
+    groups = staged(small.groupBy("sha", "n_bytes").agg(F.min("doc").alias("least"), F.count("*").alias("rows")).where("rows > 1"), "text-classes", free=True)
     total, n_bytes = small.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
     later = attach_groups(small, groups, ["sha", "n_bytes"], "rows", total).where("doc > least").select("doc", "mark", "n_bytes").distinct()
-    later = staged(later, "text-copies")
+    later = staged(later, "text-copies", free=True)
     unsure, sure = split_by(rows, "doc", later, "doc")
     unsure = unsure.join(later.select("doc", "mark"), ["doc", "mark"], "left_anti")
-    return sure.unionByName(staged(unsure.select("doc", "mark", "text"), "unsure-copies")), later, n_bytes
+    return sure.unionByName(staged(unsure.select("doc", "mark", "text"), "unsure-copies", free=True)), later, n_bytes
 
 
 def removed_spans(rows: DataFrame, hot_key: int = HOT_KEY, n_bytes: int = 0) -> DataFrame:
@@ -660,22 +661,22 @@ def removed_spans(rows: DataFrame, hot_key: int = HOT_KEY, n_bytes: int = 0) ->
     buckets = max(shuffle_partitions(spark), n_bytes // BUCKET_BYTES)
     bits = FILTER_BYTES * 8 // buckets // 8 * 8
     seen = rows.mapInArrow(_collect_anchors(buckets), "bucket int, once binary, often binary")
-    seen = seen.repartitionById(buckets, F.col("bucket")).mapInArrow(_repeated(bits), "bucket int, bits binary")
+    seen = staged(seen.repartitionById(buckets, F.col("bucket")).mapInArrow(_repeated(bits), "bucket int, bits binary"), "anchor-filter", free=True)
     bitmap = np.zeros((buckets, bits // 8), np.uint8)
     for row in seen.toLocalIterator():  # FILTER_BYTES in all
         bitmap[row["bucket"]] = np.frombuffer(row["bits"], np.uint8)
     runs = rows.mapInArrow(_collect_runs(bits, buckets, spark.sparkContext.broadcast(bitmap)), _OUT)
-    settled = staged(runs.repartitionById(buckets, F.col("bucket")).mapInArrow(_settle(buckets, hot_key), _OUT), "runs")
+    settled = staged(runs.repartitionById(buckets, F.col("bucket")).mapInArrow(_settle(buckets, hot_key), _OUT), "runs", free=True)
     mine = settled.where(F.col("kind") == _CANDIDATES).groupBy("doc", "mark").agg(F.collect_list("payload").alias("payloads"))
     mine = mine.mapInArrow(_requested, "key long, doc long, mark int, first int, last int")
     mine = mine.groupBy("key", "doc", "mark").agg(F.min("first").alias("first"), F.max("last").alias("last"))  # a source is asked for once a key
     mine = mine.groupBy("doc", "mark").agg(F.collect_list(F.struct("key", "first", "last")).alias("asked")).mapInArrow(_packed_requests, "doc long, mark int, payload binary")
-    asked = staged(settled.where(F.col("kind") == _REQUESTS).select("doc", "mark", "payload").unionByName(mine), "requests")
+    asked = staged(settled.where(F.col("kind") == _REQUESTS).select("doc", "mark", "payload").unionByName(mine), "requests", free=True)
     wanted = maybe_in(rows, "doc", asked, "doc")
     met = wanted.dropDuplicates(["doc", "mark"]).join(asked, ["doc", "mark"]).select("doc", "mark", "text", "payload")
     blocks = met.mapInArrow(_fetch, "key long, doc long, mark int, first int, bytes binary")
     blocks = blocks.repartition(buckets, "key").sortWithinPartitions("key", "doc")
-    return staged(blocks.mapInArrow(_compare(buckets), _OUT), "shared-runs").select("doc", "mark", F.col("payload").alias("spans"))
+    return staged(blocks.mapInArrow(_compare(buckets), _OUT), "shared-runs", free=True).select("doc", "mark", F.col("payload").alias("spans"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -701,7 +702,7 @@ def _finish(batches):
 def suffix_dedup(docs: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
     """Per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (null where nothing is removed)."""
     first, copies, n_bytes = first_copies(docs)
-    spans = staged(removed_spans(first, hot_key, n_bytes), "spans")
+    spans = staged(removed_spans(first, hot_key, n_bytes), "spans", free=True)
     whole = copies.select("doc", "mark", F.lit(None).cast("binary").alias("spans"))  # an empty list of spans: all of it
     every = spans.unionByName(whole).groupBy("doc", "mark").agg(F.collect_list("spans").alias("spans"))
     rows = _keyed(docs)
